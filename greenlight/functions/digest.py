@@ -18,11 +18,10 @@ def row_digest(columns) -> Column:
 
 
 def _folded(df: DataFrame, columns) -> list[Column]:
-    """Order-free fold of the row hashes: two independent 64-bit lanes and a count.
+    """Order-free fold of the row hashes: a count, a sum and an xor lane of 60 bits.
 
     Every term merges in partial aggregates, so no group is ever gathered in one
-    task. The sums run modulo 2**64 through two 32-bit halves, which cannot overflow
-    below 2**31 rows per group and are exact in decimal beyond.
+    task; the decimal sum cannot overflow below 2**66 rows.
     """
     digest = row_digest(columns)
     first = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)")
