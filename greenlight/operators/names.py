@@ -135,29 +135,20 @@ def name_counts(scoped: DataFrame, waivers: DataFrame, s: Settings) -> DataFrame
 
 def name_filter(name: str) -> Column:
     """Predicate of a name-count tab over ``name_counts``."""
+    over, repeats = F.col("over_limit"), F.col("n_repeat_records") > 0
     return {
-        "attention": (F.col("over_limit") & ~F.col("waiver_valid")) | (F.col("n_repeat_records") > 0),
-        "over_limit": F.col("status") == "Over limit",
-        "duplicates": F.col("n_repeat_records") > 0,
-        "allowed": F.col("status") == "Allowed",
+        "attention": over | repeats,
+        "over_limit": over,
+        "duplicates": repeats,
+        "allowed": over & F.col("waiver_valid"),
     }.get(name, F.lit(True))
 
 
 def name_order(sort: str) -> list[Column]:
     count, norm = F.col("n_records"), F.col("norm")
+    open_limit = F.col("over_limit") & ~F.col("waiver_valid")
     return {
         "count_desc": [count.desc(), norm.asc()],
         "count_asc": [count.asc(), norm.asc()],
         "name": [norm.asc()],
-    }.get(
-        sort,
-        [
-            F.when(F.col("status") == "Over limit", 0)
-            .when(F.col("n_repeat_records") > 0, 1)
-            .when(F.col("status") == "Allowed", 2)
-            .otherwise(3)
-            .asc(),
-            count.desc(),
-            norm.asc(),
-        ],
-    )
+    }.get(sort, [open_limit.desc(), (F.col("n_repeat_records") > 0).desc(), count.desc(), norm.asc()])
