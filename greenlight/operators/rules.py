@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from greenlight import catalog
+from greenlight.functions.scores import whole_percent_label as pct
 from greenlight.functions.text import filled, name_count, normalize_title, strip
 from greenlight.operators import duplicates, exceptions, files, names, scope, versions
 from greenlight.settings import Settings
@@ -213,29 +214,23 @@ def score_rules(s: Settings) -> list[Rule]:
                   "before publication."),
         ),
     ]
-    from greenlight.functions.scores import whole_percent_label as pct
-
     for kind, shown, column, limit in (
         ("plagiarism_percent", "Plagiarism %", "similarity", s.similarity_limit),
         ("single_percent", "Single %", "single", s.single_limit),
     ):
         status, key = exceptions.exception_status(kind, s), exceptions.exception_key(kind)
         prefix = exceptions.TYPES[kind][1]
-        score = _say(f"{shown} ", pct(column), " exceeds the threshold of ", f"{round(limit)}")
+        over = _say(pct(column), "% is over the threshold of ", f"{round(limit)}%.")
+        changed = _say(
+            f"Current {shown} is ", pct(column), "%, but the approved exception was for ",
+            pct(f"{prefix}_value"), "%.",
+        )
         rules += [
-            Rule(f"{shown} Over Threshold", status == "not_allowed", _say(score, "."), key),
-            Rule(
-                f"Stale {shown} Exception",
-                status == "stale",
-                _say(score, "; the approved exception is for ", pct(f"{prefix}_value"), "."),
-                key,
-            ),
+            Rule(f"{shown} Over Threshold", status == "not_allowed", over, key),
+            Rule(f"Stale {shown} Exception", status == "stale", changed, key),
             Rule(
-                f"Allowed {shown} Exception",
-                status == "allowed",
-                _say(score, ". Allowed: ", F.col(f"{prefix}_reason")),
-                key,
-                True,
+                f"Allowed {shown} Exception", status == "allowed",
+                _say(over, " Allowed: ", F.col(f"{prefix}_reason")), key, True,
             ),
         ]
     return rules
@@ -289,54 +284,63 @@ def _finding(df: DataFrame, category: str, message: Column, version=None, record
 
 
 def group_findings(m: DataFrame, v: DataFrame) -> DataFrame:
-    integrity = versions.decision_integrity(v, m)
+    """Rules about a record as a whole, all read off one ``versions.record_groups``."""
+    groups = versions.record_groups(v, m)
     shown = F.when(F.col("decision") == scope.EXCLUDED, "Not Publishing").otherwise("Publishing")
-    parts = [
-        _finding(
-            integrity,
+
+    def n(name) -> Column:
+        return F.col(name).cast("string")
+
+    rules = [
+        Rule(
             "Publication Decision Integrity Conflict",
+            versions.n_mismatched() > 0,
             _say("Paper Master is ", shown, ", but Final Submission decision mirrors disagree for ",
-                 F.col("n_versions").cast("string"), " version(s). Resolve the publication decision before "
-                 "any publication export."),
+                 versions.n_mismatched().cast("string"), " version(s). Resolve the publication decision "
+                 "before any publication export."),
         ),
-        _finding(
-            scope.scope_undecided(m),
+        Rule(
             "Publication Decision Required",
+            F.col("decision") == scope.UNDECIDED,
             F.lit("Legacy publication decisions for this Paper ID were inconsistent. Open Not Publishing "
                   "and explicitly choose Publishing or Not Publishing."),
         ),
-        _finding(
-            versions.mixed_decisions(v, m),
+        Rule(
             "Mixed Not Publishing Decision",
+            versions.is_mixed(),
             _say("Versions for this Paper ID disagree on the Not Publishing decision. Re-apply Mark Not "
-                 "Publishing or Undo Not Publishing before export. Excluded: ",
-                 F.col("n_excluded").cast("string"), "; included: ", F.col("n_included").cast("string"), "."),
+                 "Publishing or Undo Not Publishing before export. Excluded: ", n("n_excluded"),
+                 "; included: ", n("n_included"), "."),
         ),
-        _finding(
-            versions.multiple_active(v, m),
+        Rule(
             "Multiple Active Final Submissions",
+            versions.is_multiple_active(),
             F.lit("More than one active final submission exists for this Paper ID. Recalculate active "
                   "versions before publication."),
         ),
-        _finding(
-            versions.origin_conflicts(v, m),
+        Rule(
             "Start2/Editor Version Conflict",
+            versions.is_origin_conflict(),
             _say("Both Start2 and Editor-uploaded versions are undiscarded. Editor upload is currently "
-                 "prioritized; discard one side before final export. Start2: ",
-                 F.col("n_author").cast("string"), "; Editor: ", F.col("n_editor").cast("string"), "."),
-        ),
-        _finding(
-            scope.orphans(v, m),
-            "Unclassified Final Not In Master",
-            F.lit("Final submission is not in the Paper Master List. Correct the Paper ID or mark it as "
-                  "Not Publishing."),
-            version=F.col("version_id"),
+                 "prioritized; discard one side before final export. Start2: ", n("n_author"),
+                 "; Editor: ", n("n_editor"), "."),
         ),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    options = [
+        F.when(rule.when, F.struct(F.lit(rule.category).alias("category"), rule.message.alias("message")))
+        for rule in rules
+    ]
+    per_record = groups.select(
+        "record_id", F.inline(F.filter(F.array(*options), lambda f: f.isNotNull()))
+    ).select("category", "record_id", F.lit("").alias("version_id"), "message", F.lit("").alias("exception_key"))
+    unmapped = _finding(
+        scope.orphans(v, m),
+        "Unclassified Final Not In Master",
+        F.lit("Final submission is not in the Paper Master List. Correct the Paper ID or mark it as "
+              "Not Publishing."),
+        version=F.col("version_id"),
+    )
+    return per_record.unionByName(unmapped)
 
 
 def name_findings(counts: DataFrame, include_allowed: bool = False) -> DataFrame:
@@ -358,8 +362,6 @@ def name_findings(counts: DataFrame, include_allowed: bool = False) -> DataFrame
 
 def tracking_findings(m: DataFrame, v: DataFrame) -> DataFrame:
     """Informative rows: overrides, replaced, discarded and excluded versions or records."""
-    from greenlight.catalog import label
-
     live = ~F.col("discarded")
     options = [
         F.when(
@@ -388,7 +390,7 @@ def tracking_findings(m: DataFrame, v: DataFrame) -> DataFrame:
     per_version = v.select(
         "record_id", "version_id", F.inline(F.filter(F.array(*options), lambda f: f.isNotNull()))
     ).select("category", "record_id", "version_id", "message", F.lit("").alias("exception_key"))
-    reason = label("exclusion_reason", F.coalesce("exclusion_reason", F.lit("")))
+    reason = catalog.label("exclusion_reason", F.coalesce("exclusion_reason", F.lit("")))
     note = strip("exclusion_notes")
     excluded_masters = _finding(
         scope.scope_excluded(m),
@@ -476,17 +478,14 @@ def export_gate(findings: DataFrame, draft: bool = False) -> DataFrame:
 
 def batch_gate(m: DataFrame, v: DataFrame) -> DataFrame:
     """Why a batch may not go out: (reason, n_records), empty when it may."""
-    publishing_active = (
-        scope.in_scope(v, m).groupBy("record_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    publishing = F.col("decision") == scope.PUBLISHING
+    reasons = {
+        "integrity conflicts": versions.n_mismatched() > 0,
+        "unresolved decisions": F.col("decision") == scope.UNDECIDED,
+        "mixed decisions": versions.is_mixed(),
+        "multiple active versions": publishing & (F.col("n_active") > 1),
+    }
+    counted = versions.record_groups(v, m).agg(
+        *[F.count_if(test).alias(reason) for reason, test in reasons.items()]
     )
-    parts = [
-        ("integrity conflicts", versions.decision_integrity(v, m)),
-        ("unresolved decisions", scope.scope_undecided(m)),
-        ("mixed decisions", versions.mixed_decisions(v, m)),
-        ("multiple active versions", publishing_active),
-    ]
-    out = None
-    for reason, df in parts:
-        row = df.agg(F.lit(reason).alias("reason"), F.count(F.lit(1)).alias("n_records"))
-        out = row if out is None else out.unionByName(row)
-    return out.filter("n_records > 0")
+    return counted.unpivot([], list(reasons), "reason", "n_records").filter("n_records > 0")

@@ -7,7 +7,7 @@ one record, so one record may own any share of the table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from greenlight import catalog
@@ -65,38 +65,62 @@ def preview_rule_change(v: DataFrame, now: str, then: str) -> DataFrame:
     return active_change_diff(active_map(v, now), active_map(v, then))
 
 
+def record_groups(v: DataFrame, m: DataFrame) -> DataFrame:
+    """Every per-record count the group rules need, beside the master decision.
+
+    One aggregate over narrow columns (partial aggregation first) and one full join on
+    the record id; ``decision`` is NULL for an orphan id. Blank ids are left out.
+    """
+    live, excluded, editor = ~F.col("discarded"), F.col("excluded"), F.col("origin") == EDITOR
+    counts = {
+        "n_versions": F.count(F.lit(1)),
+        "n_all_excluded": F.count_if(excluded),
+        "n_active": F.count_if(live & F.col("active")),
+        "n_excluded": F.count_if(live & excluded),
+        "n_included": F.count_if(live & ~excluded),
+        "n_author": F.count_if(live & ~editor),
+        "n_editor": F.count_if(live & editor),
+    }
+    grouped = v.filter(filled("record_id")).groupBy("record_id").agg(
+        *[agg.alias(name) for name, agg in counts.items()]
+    )
+    joined = grouped.join(m.select("record_id", "decision"), "record_id", "full")
+    return joined.na.fill(0, list(counts))
+
+
+def is_multiple_active() -> Column:
+    return F.col("decision").isNotNull() & (F.col("n_active") > 1)
+
+
+def is_mixed() -> Column:
+    return F.col("decision").isNull() & (F.col("n_excluded") > 0) & (F.col("n_included") > 0)
+
+
+def is_origin_conflict() -> Column:
+    return (F.col("decision") == scope.PUBLISHING) & (F.col("n_author") > 0) & (F.col("n_editor") > 0)
+
+
+def n_mismatched() -> Column:
+    """Versions whose flag is not the one a decided master implies."""
+    wrong = F.when(F.col("decision") == scope.EXCLUDED, F.col("n_versions") - F.col("n_all_excluded")).when(
+        F.col("decision") == scope.PUBLISHING, F.col("n_all_excluded")
+    )
+    return F.coalesce(wrong, F.lit(0))
+
+
 def multiple_active(v: DataFrame, m: DataFrame) -> DataFrame:
     """Master records with more than one active version: (record_id, n_active)."""
-    counted = (
-        scope.active_versions(v).groupBy("record_id").agg(F.count(F.lit(1)).alias("n_active"))
-    )
-    return counted.filter("n_active > 1").join(m.select("record_id"), "record_id", "left_semi")
+    return record_groups(v, m).filter(is_multiple_active()).select("record_id", "n_active")
 
 
 def mixed_decisions(v: DataFrame, m: DataFrame) -> DataFrame:
     """Orphan ids whose undiscarded versions disagree on the exclusion flag."""
-    counted = (
-        v.filter(~F.col("discarded") & filled("record_id"))
-        .groupBy("record_id")
-        .agg(
-            F.count_if(F.col("excluded")).alias("n_excluded"),
-            F.count_if(~F.col("excluded")).alias("n_included"),
-        )
-        .filter("n_excluded > 0 AND n_included > 0")
-    )
-    return counted.join(m.select("record_id"), "record_id", "left_anti")
+    return record_groups(v, m).filter(is_mixed()).select("record_id", "n_excluded", "n_included")
 
 
 def origin_conflicts(v: DataFrame, m: DataFrame) -> DataFrame:
     """Publishing records with undiscarded versions of both origins."""
-    editor = F.col("origin") == EDITOR
-    counted = (
-        v.filter(~F.col("discarded") & filled("record_id"))
-        .groupBy("record_id")
-        .agg(F.count_if(~editor).alias("n_author"), F.count_if(editor).alias("n_editor"))
-        .filter("n_author > 0 AND n_editor > 0")
-    )
-    return counted.join(scope.scope_publishing(m).select("record_id"), "record_id", "left_semi")
+    return record_groups(v, m).filter(is_origin_conflict()).select("record_id", "n_author", "n_editor")
 
 
 def group_members(v: DataFrame, groups: DataFrame, kinds: dict | None = None) -> DataFrame:
@@ -108,13 +132,8 @@ def group_members(v: DataFrame, groups: DataFrame, kinds: dict | None = None) ->
 
 def decision_integrity(v: DataFrame, m: DataFrame) -> DataFrame:
     """Decided master records whose versions mirror another decision."""
-    decided = m.filter(F.col("decision") != scope.UNDECIDED).select("record_id", "decision")
-    wrong = v.select("record_id", "version_id", "excluded").join(decided, "record_id").filter(
-        F.col("excluded") != (F.col("decision") == scope.EXCLUDED)
-    )
-    return wrong.groupBy("record_id", "decision").agg(
-        F.count(F.lit(1)).alias("n_versions"), F.min("version_id").alias("first_version_id")
-    )
+    groups = record_groups(v, m).withColumn("n_mismatched", n_mismatched())
+    return groups.filter("n_mismatched > 0").select("record_id", "decision", "n_mismatched")
 
 
 def decision_backfill(m: DataFrame, v: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ LOCAL_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.driver.memory": "8g",
-    "spark.sql.legacy.parquet.nanosAsLong": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
