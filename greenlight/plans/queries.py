@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from greenlight import domain
-from greenlight.operators import duplicates, exceptions, names, rules, scope, versions
+from greenlight.operators import aggregates, duplicates, exceptions, names, rules, scope, status, versions
+from greenlight.plans import combined, dashboard
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -205,3 +206,116 @@ def exception_rows(d):
 @query
 def batch_gate(d):
     return rules.batch_gate(d.master, d.versions)
+
+
+def _found(d, include_allowed=False):
+    return rules.readiness_findings(d.master, d.versions, d.waivers, d.settings, include_allowed)
+
+
+@query
+def severity_sections(d):
+    return aggregates.severity_sections(rules.annotate(_found(d, True)))
+
+
+@query
+def category_options(d):
+    found = _found(d, True)
+    scoped = found.filter(aggregates.area_filter("files"))
+    return aggregates.category_options(scoped, scoped, ["Missing PDF", "Page Limit Exceeded"])
+
+
+@query
+def action_groups(d):
+    return aggregates.action_groups(_found(d), names.name_records(d.scoped))
+
+
+@query
+def affected_records(d):
+    return aggregates.affected_records(_found(d), names.name_records(d.scoped))
+
+
+@query
+def top_categories(d):
+    return aggregates.top_categories(_found(d))
+
+
+@query
+def readiness(d):
+    return rules.readiness(_found(d), d.master)
+
+
+@query
+def export_gate(d):
+    strict = rules.export_gate(_found(d)).withColumn("mode", F.lit("strict"))
+    return strict.unionByName(rules.export_gate(_found(d), draft=True).withColumn("mode", F.lit("draft")))
+
+
+@query
+def exception_counts(d):
+    counts = names.name_counts(d.scoped, d.waivers, d.settings)
+    rows = exceptions.exception_rows(d.publishable, counts, d.settings)
+    return exceptions.exception_counts(rows).withColumnRenamed("all", "n_all")
+
+
+@query
+def exception_actions(d):
+    """One action per exception: approve, reapprove or remove by its kind, reasons from the rows."""
+    counts = names.name_counts(d.scoped, d.waivers, d.settings)
+    rows = exceptions.exception_rows(d.publishable, counts, d.settings)
+    kind = F.col("type")
+    actions = rows.select(
+        "exception_key",
+        F.when(kind == "page", "approve").when(kind == "single_percent", "remove").otherwise("reapprove").alias("action"),
+        F.when(F.col("current_value") > 14, " checked\r\n").otherwise("").alias("reason"),
+    )
+    return exceptions.exception_actions(rows, actions)
+
+
+@query
+def dashboard_counts(d):
+    return dashboard.dashboard_counts(d.master, d.versions, d.waivers, d.settings)
+
+
+@query
+def workflow_alerts(d):
+    return dashboard.workflow_alerts(d.master, d.versions)
+
+
+def _combined(d, name="all", text=""):
+    return combined.combined_list(d.master, d.versions, d.settings, name, text)
+
+
+@query
+def combined_list(d):
+    rows = _combined(d)
+    shown = ["page", "identity", "score", "source", "extraction", "names"]
+    return rows.select(
+        "row_type", "record_id", "version_id", "blocker", "priority", "comparison", "n_names", "similarity_level",
+        *[F.col(f"{c}.label").alias(f"{c}_label") for c in shown],
+        *[F.col(f"{c}.level").alias(f"{c}_level") for c in shown],
+    )
+
+
+@query
+def combined_filters(d):
+    """Rows per worklist filter, all in one pass."""
+    rows = _combined(d)
+    tests = {f"n_{k}": F.lit(True) if k == "all" else F.col(f"is_{k}") for k in status.FILTERS}
+    return aggregates.filter_counts(rows, tests)
+
+
+@query
+def combined_summary(d):
+    return combined.combined_summary(_combined(d, "needs_attention"))
+
+
+@query
+def combined_search(d):
+    return _combined(d, "title_issues", "dated 1998-0").select("row_type", "record_id", "version_id", "priority")
+
+
+@query
+def verification_badges(d):
+    joined = scope.attach_master(scope.active_versions(d.versions), d.master)
+    badge = status.verification_badge()
+    return joined.select("version_id", badge["label"].alias("label"), badge["level"].alias("level"))
