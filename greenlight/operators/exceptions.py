@@ -1,4 +1,7 @@
-"""Value-bound waivers: conditions, the exception table and its transitions."""
+"""Value-bound waivers: conditions, the exception table and its transitions.
+
+Conditions read the columns of ``measures.with_measures``.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,8 @@ from pyspark.sql import functions as F
 
 from greenlight import catalog
 from greenlight.functions.scores import equal_decimal
-from greenlight.functions.text import clean_note, name_count, nonblank
+from greenlight.functions.text import clean_note, nonblank
+from greenlight.operators.measures import with_measures
 from greenlight.settings import Settings
 
 # Exception type -> (label, column prefix of the stored waiver)
@@ -22,7 +26,7 @@ TYPES = {
 def current_value(kind: str) -> Column:
     return {
         "page": F.col("pages"),
-        "author_number": name_count("extracted_authors"),
+        "author_number": F.col("x_count"),
         "plagiarism_percent": F.col("similarity"),
         "single_percent": F.col("single"),
     }[kind]
@@ -89,7 +93,7 @@ def exception_rows(publishable: DataFrame, counts: DataFrame, s: Settings) -> Da
         )
         for kind in TYPES
     ]
-    per_version = publishable.select(
+    per_version = with_measures(publishable).select(
         "record_id", "version_id", F.col("record_id").alias("subject"),
         F.inline(F.filter(F.array(*options), lambda e: e.isNotNull())),
     )

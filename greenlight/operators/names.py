@@ -32,26 +32,6 @@ def has_repeated_name(column) -> Column:
     return F.size(F.array_distinct(names)) < F.size(names)
 
 
-def repeated_name_label(column) -> Column:
-    """"A, a. (2 times); B (3 times)" for one list, in order of first appearance."""
-    spelled = split_names(column)
-    norms = normalized_names(column)
-
-    def shown(norm: Column) -> Column:
-        same = F.filter(spelled, lambda s: normalize_name(s) == norm)
-        return F.concat(
-            F.array_join(F.array_distinct(same), ", "),
-            F.lit(" ("),
-            F.size(same).cast("string"),
-            F.lit(" times)"),
-        )
-
-    repeated = F.filter(
-        F.array_distinct(norms), lambda n: F.size(F.filter(norms, lambda x: x == n)) > 1
-    )
-    return F.array_join(F.transform(repeated, shown), "; ")
-
-
 def duplicate_names(v: DataFrame, column: str = "extracted_authors") -> DataFrame:
     """Names repeated inside one list: spellings in first-seen order, count and positions.
 

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from greenlight import catalog
 from greenlight.functions.scores import whole_percent_label as pct
-from greenlight.functions.text import filled, name_count, normalize_title, strip
+from greenlight.functions.text import filled, strip
 from greenlight.operators import duplicates, exceptions, files, names, scope, versions
+from greenlight.operators.measures import repeated_label, with_measures
 from greenlight.settings import Settings
 
 FINDING = ("category", "record_id", "version_id", "message", "exception_key")
@@ -54,8 +55,7 @@ def _or(value: str, default: str) -> Column:
 
 
 def titles_match_master() -> Column:
-    mine, master = normalize_title("title"), normalize_title("m_title")
-    return (mine != "") & (mine == master)
+    return (F.col("x_title") != "") & (F.col("x_title") == F.col("x_master"))
 
 
 def effectively_verified() -> Column:
@@ -70,7 +70,7 @@ def missing_score() -> Column:
 
 
 def unresolved_repeats() -> Column:
-    return names.has_repeated_name("extracted_authors") & (F.col("duplicate_review_status") != "review_ok")
+    return F.col("x_repeats") & (F.col("duplicate_review_status") != "review_ok")
 
 
 # -- row rules ---------------------------------------------------------------
@@ -164,7 +164,7 @@ def page_rules(s: Settings) -> list[Rule]:
 
 @register
 def extraction_rules(s: Settings) -> list[Rule]:
-    n = name_count("extracted_authors")
+    n = F.col("x_count")
     valid, key = exceptions.waiver_valid("author_number"), exceptions.exception_key("author_number")
     over = n > s.record_name_limit
     text = _say(n.cast("string"), " authors exceeds the per-paper limit of ", str(s.record_name_limit), ".")
@@ -181,7 +181,7 @@ def extraction_rules(s: Settings) -> list[Rule]:
         Rule(
             "Duplicate Author In Paper",
             unresolved_repeats(),
-            _say("Duplicate author names need review: ", names.repeated_name_label("extracted_authors")),
+            _say("Duplicate author names need review: ", repeated_label()),
         ),
         Rule(
             "Title/Author Red Flag",
@@ -265,7 +265,7 @@ def row_findings(records: DataFrame, s: Settings, include_allowed: bool = False)
                 )
             )
     found = F.filter(F.array(*options), lambda f: f.isNotNull())
-    return records.select("record_id", F.inline(found)).select(
+    return with_measures(records).select("record_id", F.inline(found)).select(
         "category", "record_id", F.col("found_version").alias("version_id"), "message", "exception_key"
     )
 

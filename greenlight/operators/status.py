@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from greenlight import catalog
 from greenlight.functions.scores import score_level
-from greenlight.functions.text import filled, name_count, normalize_title, strip, titles_identical
+from greenlight.functions.text import filled, strip
 from greenlight.operators import exceptions, files, names, rules
 from greenlight.operators.scope import EXCLUDED, UNDECIDED
+from greenlight.operators.measures import with_measures
 from greenlight.settings import Settings
 
 
@@ -107,7 +108,7 @@ def extraction_status() -> Column:
 
 
 def name_status(s: Settings) -> Column:
-    n = name_count("extracted_authors")
+    n = F.col("x_count")
     state = exceptions.exception_status("author_number", s)
     over = n > s.record_name_limit
     level = (
@@ -124,12 +125,12 @@ def name_status(s: Settings) -> Column:
     )
 
 
-def title_pair(reference: str, extracted: str = "extracted_title") -> Column:
+def title_pair(reference: str, normal: str, extracted: str = "extracted_title") -> Column:
     """missing / identical / soft (formatting only) / hard."""
     return (
         F.when(~filled(reference) | ~filled(extracted), "missing")
         .when(strip(reference) == strip(extracted), "identical")
-        .when(titles_identical(reference, extracted), "soft")
+        .when((F.col(normal) != "") & (F.col(normal) == F.col("x_extracted")), "soft")
         .otherwise("hard")
     )
 
@@ -138,7 +139,7 @@ def title_comparison() -> Column:
     """Three-way text of master, claimed and extracted title."""
     titles = {"Master": "m_title", "Final": "title", "Extracted": "extracted_title"}
     raw = {k: strip(c) for k, c in titles.items()}
-    norm = {k: normalize_title(c) for k, c in titles.items()}
+    norm = {k: F.col(c) for k, c in zip(titles, ("x_master", "x_title", "x_extracted"))}
     missing = F.concat_ws(", ", *[F.when(raw[k] == "", k) for k in titles])
     same = (raw["Master"] == raw["Final"]) & (raw["Final"] == raw["Extracted"])
     alike = (norm["Master"] != "") & (norm["Master"] == norm["Final"]) & (norm["Final"] == norm["Extracted"])
@@ -194,7 +195,7 @@ def with_statuses(rows: DataFrame, s: Settings) -> DataFrame:
     plag = exceptions.exception_status("plagiarism_percent", s)
     single = exceptions.exception_status("single_percent", s)
     open_states = ("not_allowed", "stale")
-    return rows.withColumns(
+    return with_measures(rows).withColumns(
         {
             "blocker": primary_blocker(),
             "page": page_status(s),
@@ -204,15 +205,15 @@ def with_statuses(rows: DataFrame, s: Settings) -> DataFrame:
             "source": source_status(),
             "extraction": extraction_status(),
             "names": name_status(s),
-            "n_names": F.when(has_version() & filled("extracted_authors"), name_count("extracted_authors")),
+            "n_names": F.when(has_version() & filled("extracted_authors"), F.col("x_count")),
             "name_exception": exceptions.exception_status("author_number", s),
-            "over_name_limit": has_version() & filled("extracted_authors") & (name_count("extracted_authors") > s.record_name_limit),
+            "over_name_limit": has_version() & filled("extracted_authors") & (F.col("x_count") > s.record_name_limit),
             "repeats_open": has_version() & F.coalesce(rules.unresolved_repeats(), F.lit(False)),
             "similarity_level": score_level("similarity", s.similarity_limit),
             "single_level": score_level("single", s.single_limit),
             "over_threshold": has_version() & (plag.isin(*open_states) | single.isin(*open_states)),
-            "master_pair": title_pair("m_title"),
-            "claimed_pair": title_pair("title"),
+            "master_pair": title_pair("m_title", "x_master"),
+            "claimed_pair": title_pair("title", "x_title"),
             "comparison": title_comparison(),
             "has_duplicate": badge,
             "has_pdf": has_version() & (files.persisted_file_state("pdf") != "missing"),

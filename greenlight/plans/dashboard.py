@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from greenlight.functions.text import filled, name_count, titles_identical
+from greenlight.functions.text import filled
 from greenlight.operators import aggregates, exceptions, files, names, rules, scope, versions
+from greenlight.operators.measures import with_measures
 from greenlight.settings import Settings
 
 
@@ -28,7 +29,7 @@ def version_tests(s: Settings) -> dict[str, Column]:
         "title_mismatches": mapped & ~match & ~verified,
         "verified_title_differences": mapped & ~match & verified,
         "reviewed_title_differences": (review == "review_ok") & title & filled("title")
-        & ~titles_identical("extracted_title", "title"),
+        & ((F.col("x_extracted") == "") | (F.col("x_extracted") != F.col("x_title"))),
         "not_in_master": ~mapped,
         "page_limit_errors": counted & (pages > s.page_limit) & ~page_ok,
         "page_minimum_errors": counted & (pages < s.page_minimum) & ~page_ok,
@@ -39,7 +40,7 @@ def version_tests(s: Settings) -> dict[str, Column]:
         "title_author_review_ok": review == "review_ok",
         "unverified_extraction": title & people & (review != "review_ok"),
         "title_author_attention": ~title | ~people | (review != "review_ok"),
-        "over_name_limit": (name_count("extracted_authors") > s.record_name_limit)
+        "over_name_limit": (F.col("x_count") > s.record_name_limit)
         & ~exceptions.waiver_valid("author_number"),
         "duplicate_name_records": rules.unresolved_repeats(),
         "missing_scores": rules.missing_score(),
@@ -62,7 +63,7 @@ def dashboard_counts(m: DataFrame, v: DataFrame, waivers: DataFrame, s: Settings
     titled = m.select("record_id", F.col("decision").alias("m_decision"), F.col("title").alias("m_title"))
     publishable = scope.active_versions(v).join(titled, "record_id", "left").filter(scope.is_publishable())
     counts = names.name_counts(scope.in_scope(v, m), waivers, s) if counts is None else counts
-    per_version = aggregates.filter_counts(publishable, version_tests(s))
+    per_version = aggregates.filter_counts(with_measures(publishable), version_tests(s))
     per_version = per_version.withColumns(
         {
             "allowed_score_approvals": F.col("_plag_allowed") + F.col("_single_allowed"),

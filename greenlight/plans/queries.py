@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from greenlight import domain
 from greenlight.operators import aggregates, duplicates, exceptions, names, rules, scope, status, versions
+from greenlight.operators.measures import with_measures
 from greenlight.plans import combined, dashboard
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -316,6 +317,6 @@ def combined_search(d):
 
 @query
 def verification_badges(d):
-    joined = scope.attach_master(scope.active_versions(d.versions), d.master)
+    joined = with_measures(scope.attach_master(scope.active_versions(d.versions), d.master))
     badge = status.verification_badge()
     return joined.select("version_id", badge["label"].alias("label"), badge["level"].alias("level"))
