@@ -8,7 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from greenlight import domain
-from greenlight.operators import aggregates, duplicates, exceptions, names, rules, scope, status, versions
+from greenlight.operators import (
+    aggregates,
+    duplicates,
+    exceptions,
+    files,
+    names,
+    resolve,
+    rules,
+    scope,
+    status,
+    versions,
+    worklists,
+)
 from greenlight.operators.measures import with_measures
 from greenlight.plans import combined, dashboard
 
@@ -320,3 +332,163 @@ def verification_badges(d):
     joined = with_measures(scope.attach_master(scope.active_versions(d.versions), d.master))
     badge = status.verification_badge()
     return joined.select("version_id", badge["label"].alias("label"), badge["level"].alias("level"))
+
+
+# -- resolution and evaluation ------------------------------------------------
+
+
+@query
+def resolve_identifier(d):
+    return resolve.resolve_identifier(d.claims, d.master)
+
+
+@query
+def resolve_on_reimport(d):
+    """Every version typed again: even line numbers keep their text, the others add a dash."""
+    typed = F.when(F.substring("version_id", 2, 1).cast("int") % 2 == 0, F.col("entered_id")).otherwise(
+        F.concat(F.lit("P-"), F.regexp_replace("entered_id", "^[Pp]?-?0*", ""))
+    )
+    new = d.claims.select("version_id", typed.alias("entered_id"), "title")
+    return resolve.resolve_on_reimport(new, d.claims, d.master)
+
+
+@query
+def identity_status(d):
+    return resolve.evaluate_identity(d.versions, d.master, "levenshtein")
+
+
+@query
+def identity_status_sequence(d):
+    return resolve.evaluate_identity(d.versions, d.master).select("version_id", "status", "score", "message")
+
+
+@query
+def extracted_title_status(d):
+    return resolve.evaluate_extracted_title(d.versions, "levenshtein")
+
+
+def _title_refs(d):
+    joined = d.scoped.join(
+        d.master.select("record_id", F.col("title").alias("m_title")), "record_id"
+    )
+    return joined.select(
+        "version_id",
+        F.inline(F.array(
+            F.struct(F.lit(1).alias("position"), F.lit("Master").alias("label"), F.col("m_title").alias("title")),
+            F.struct(F.lit(2).alias("position"), F.lit("Final").alias("label"), F.col("title").alias("title")),
+        )),
+    )
+
+
+@query
+def title_guard(d):
+    return resolve.title_guard(_title_refs(d), d.scoped)
+
+
+@query
+def title_guard_summary(d):
+    return resolve.title_guard_summary(resolve.title_guard(_title_refs(d), d.scoped))
+
+
+@query
+def best_title_match(d):
+    """Nearest labelled document for every unlabelled one, by first line."""
+    docs = domain.table(d.spark, d.sf_dir, "documents")
+    labels = domain.table(d.spark, d.sf_dir, "labels")
+    title = F.substring_index("text", "\n", 1)
+    official = docs.join(labels, "doc_id", "left_semi").select(
+        F.col("doc_id").cast("string").alias("record_id"), title.alias("title")
+    )
+    others = docs.join(labels, "doc_id", "left_anti").select(
+        F.col("doc_id").cast("string").alias("version_id"), title.alias("title")
+    )
+    return resolve.best_title_match(others, official)
+
+
+@query
+def ranked_lookup(d):
+    return resolve.ranked_lookup(d.master, "P12")
+
+
+# -- worklists ----------------------------------------------------------------
+
+
+@query
+def extraction_filter_counts(d):
+    rows = resolve.evaluate_extracted_title(d.scoped, "levenshtein").drop("title_verified")
+    joined = d.scoped.drop("record_id", "verification_status").join(rows, "version_id")
+    return aggregates.filter_counts(joined, {f"n_{k}": t for k, t in worklists.extraction_filters().items()})
+
+
+@query
+def extraction_overwrite_summary(d):
+    return worklists.extraction_overwrite_summary(d.scoped)
+
+
+@query
+def formatting_filter_counts(d):
+    return aggregates.filter_counts(d.scoped, {f"n_{k}": t for k, t in worklists.formatting_filters().items()})
+
+
+@query
+def identity_filter_counts(d):
+    rows = resolve.evaluate_identity(d.publishable, d.master, "levenshtein")
+    return aggregates.filter_counts(rows, {f"n_{k}": t for k, t in worklists.identity_filters().items()})
+
+
+@query
+def processing_filter_counts(d):
+    s = d.settings
+    outside = (F.col("pages") < s.page_minimum) | (F.col("pages") > s.page_limit)
+    tests = worklists.processing_filters(files.persisted_needs_processing(), outside)
+    return aggregates.filter_counts(d.scoped, {f"n_{k}": t for k, t in tests.items()})
+
+
+@query
+def version_filter_counts(d):
+    groups = versions.record_groups(d.versions, d.master).select(
+        "record_id", versions.is_origin_conflict().alias("origin_conflict")
+    )
+    rows = d.versions.join(groups, "record_id", "left")
+    return aggregates.filter_counts(rows, {f"n_{k}": t for k, t in worklists.version_list_filters().items()})
+
+
+@query
+def name_filter_counts(d):
+    rows = names.name_counts(d.scoped, d.waivers, d.settings)
+    tests = ("all", "attention", "over_limit", "duplicates", "allowed")
+    return aggregates.filter_counts(rows, {f"n_{k}": names.name_filter(k) for k in tests})
+
+
+@query
+def old_version_counts(d):
+    rows = versions.classify_old(d.versions)
+    tests = ("all", "replaced", "discarded", "editor_uploads", "start2", "other")
+    return aggregates.filter_counts(rows, {f"n_{k}": versions.old_filter(k) for k in tests})
+
+
+@query
+def combined_page_2(d):
+    rows = _combined(d)
+    order = [*status.combined_order("needs_attention"), F.col("version_id").asc()]
+    return worklists.page(rows.select("priority", "record_id", "version_id", "blocker"), order, 2)
+
+
+@query
+def natural_sort_page(d):
+    order = worklists.version_order("paper_id_desc") + [F.col("version_id").asc()]
+    return worklists.page(d.versions, order, 3, 50, key="version_id").select("version_id", "record_id", "title")
+
+
+@query
+def name_page(d):
+    rows = names.name_counts(d.scoped, d.waivers, d.settings)
+    return worklists.page(rows.select("norm", "n_records", "n_repeat_records", "over_limit", "waiver_valid"),
+                          names.name_order("attention"), 2)
+
+
+@query
+def queue_neighbours(d):
+    return worklists.queue_neighbours(
+        d.scoped, "version_id", worklists.formatting_order(), F.col("format_status") != "review_ok"
+    )
