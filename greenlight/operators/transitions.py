@@ -453,8 +453,8 @@ def apply_master_edits(m: DataFrame, v: DataFrame, edits: DataFrame) -> tuple[Da
 def next_sequence_ids(bases: DataFrame, existing: DataFrame) -> DataFrame:
     """The smallest free ``base-NNN`` for every base, set-based.
 
-    The k-th smallest distinct used number equals k exactly while no gap was met, so the
-    answer is one above the length of that run: ``used`` numbers sorted, compared to rank.
+    A used number whose successor is free ends a run; the smallest end, or nothing when 1
+    itself is free, gives the answer.
     """
     number = F.regexp_extract("version_id", r"-(\d{3,})$", 1)
     base = F.regexp_replace("version_id", r"-\d{3,}$", "")
