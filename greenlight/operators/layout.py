@@ -94,33 +94,29 @@ def extract_title_names(spans: DataFrame) -> DataFrame:
 def find_phrase(words: Column, phrase: Column) -> Column:
     """Where a word sequence occurs: array<struct<start,partial>>, starts counted from 1.
 
-    Inner words must be equal. The first may carry a leading marker, the last may carry
-    trailing text; a letter or digit right after makes the hit partial. Complete hits
-    suppress partial ones.
+    Inner words must be equal. The first may carry leading marks other than letters and
+    digits, the last may carry trailing text; a letter right after it makes the hit
+    partial. Complete hits suppress partial ones.
     """
     n = F.size(phrase)
     starts = F.when((n > 0) & (F.size(words) >= n), F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(
         F.array().cast("array<int>")
     )
+    target = F.element_at(phrase, -1)
 
-    def tail(window: Column) -> Column:
-        return F.element_at(window, -1)
-
-    def strip_marker(word: Column) -> Column:
-        return F.regexp_replace(word, r"^[^\p{L}]+", "")
+    def unmarked(word: Column) -> Column:
+        return F.regexp_replace(word, r"^[^\p{L}\p{N}]+", "")
 
     def hit(start: Column) -> Column:
         window = F.slice(words, start, n)
-        head, last = F.element_at(window, 1), tail(window)
-        head_ok = (head == F.element_at(phrase, 1)) | (strip_marker(head) == F.element_at(phrase, 1))
-        inner = F.slice(window, 2, F.greatest(n - 2, F.lit(0))) == F.slice(phrase, 2, F.greatest(n - 2, F.lit(0)))
-        target = F.element_at(phrase, -1)
-        # a phrase of one word takes the marker and the trailing text on the same word
-        shown = F.when(n == 1, strip_marker(last)).otherwise(last)
-        last_ok = shown.startswith(target)
-        rest = F.substring(shown, F.length(target) + 1, 1)
-        partial = rest.rlike(r"[\p{L}\p{N}]")
-        matched = F.when(n == 1, last_ok).when(n == 2, head_ok & last_ok).otherwise(head_ok & inner & last_ok)
+        head, last = F.element_at(window, 1), F.element_at(window, -1)
+        head_ok = (head == F.element_at(phrase, 1)) | (unmarked(head) == F.element_at(phrase, 1))
+        inner = F.greatest(n - 2, F.lit(0))
+        inner_ok = F.slice(window, 2, inner) == F.slice(phrase, 2, inner)
+        # a phrase of one word takes the marks and the trailing text on the same word
+        shown = F.when((n == 1) & ~last.startswith(target), unmarked(last)).otherwise(last)
+        matched = shown.startswith(target) & ((n == 1) | (head_ok & inner_ok))
+        partial = F.substring(shown, F.length(target) + 1, 1).rlike(r"\p{L}")
         return F.struct(start.alias("start"), partial.alias("partial"), matched.alias("matched"))
 
     hits = F.filter(F.transform(starts, hit), lambda h: h["matched"])

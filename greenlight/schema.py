@@ -49,9 +49,15 @@ def version_checks() -> list[tuple[str, Column]]:
 
 def quality_report(df: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
     """(problem, n) of every check in one scan."""
-    names = [p for p, _ in checks]
-    counted = df.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(p) for p, c in checks])
-    return counted.unpivot([], names, "problem", "n")
+    counts = df.agg(
+        F.array(
+            *[
+                F.struct(F.lit(p).alias("problem"), F.count_if(F.coalesce(c, F.lit(False))).alias("n"))
+                for p, c in checks
+            ]
+        ).alias("rows")
+    )
+    return counts.select(F.inline("rows"))
 
 
 def mapped_masters(m: DataFrame, v: DataFrame) -> DataFrame:
