@@ -12,8 +12,8 @@ from greenlight.functions.text import nonblank, strip
 
 # Fixed value: encodings in the order they are tried; the last one accepts any bytes
 ENCODINGS = ("utf-8-sig", "utf-8", "cp950", "big5", "gb18030", "cp1252", "latin1")
-JAVA_NAMES = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp950": "Big5", "big5": "Big5",
-              "gb18030": "GB18030", "cp1252": "windows-1252", "latin1": "ISO-8859-1"}
+# encodings the CSV scan takes itself; the others are read as bytes and decoded per column
+SCANNED = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "latin1": "ISO-8859-1"}
 
 
 def detect_encodings(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
@@ -44,6 +44,30 @@ def normalize_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip().lstrip("﻿").lower() for c in df.columns])
 
 
+def _redecode(encoding: str):
+    @F.pandas_udf("string")
+    def redecode(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: v if v is None else v.encode("latin1").decode(encoding, "replace"))
+
+    return redecode
+
+
+def _read_group(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
+    """One CSV scan. Other encodings keep ASCII delimiters, so their bytes pass through ISO-8859-1."""
+    scan = (
+        spark.read.option("header", True)
+        .option("multiLine", True)
+        .option("escape", '"')
+        .option("encoding", SCANNED.get(encoding, "ISO-8859-1"))
+        .csv(paths)
+    )
+    if encoding in SCANNED:
+        return normalize_columns(scan)
+    redecode = _redecode(encoding)
+    names = [c.encode("latin1").decode(encoding, "replace") for c in scan.columns]
+    return normalize_columns(scan.toDF(*[f"c{i}" for i in range(len(names))]).select(*[redecode(f"c{i}") for i in range(len(names))]).toDF(*names))
+
+
 def read_delimited(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
     """CSV files of any of the encodings, missing values as ''.
 
@@ -58,13 +82,7 @@ def read_delimited(spark: SparkSession, path: str, encodings: Sequence[str] = EN
     )
     out = None
     for group in sorted(groups, key=lambda g: g["encoding"]):
-        part = normalize_columns(
-            spark.read.option("header", True)
-            .option("multiLine", True)
-            .option("escape", '"')
-            .option("encoding", JAVA_NAMES.get(group["encoding"], group["encoding"]))
-            .csv(group["paths"])
-        )
+        part = _read_group(spark, group["paths"], group["encoding"])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         raise ValueError(f"no files at {path}")
