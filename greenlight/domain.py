@@ -64,13 +64,33 @@ def version_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus", master_title().alias("mt")
     )
     li = spread(table(spark, sf_dir, "lineitem")).join(o, "l_orderkey", "left")
-    d = F.round(F.col("l_discount") * 100).cast("int")
-    t = F.round(F.col("l_tax") * 100).cast("int")
-    n, q = F.col("l_linenumber"), F.col("l_quantity").cast("int")
-    part, supp, order = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_orderkey")
-    flag, line = F.col("l_returnflag"), F.col("l_linestatus")
+    # shared parts first, so that the wide projection below refers to columns, not to copies
+    li = li.select(
+        F.round(F.col("l_discount") * 100).cast("int").alias("d"),
+        F.round(F.col("l_tax") * 100).cast("int").alias("t"),
+        F.col("l_linenumber").alias("n"),
+        F.col("l_quantity").cast("int").alias("q"),
+        F.col("l_partkey").alias("part"),
+        F.col("l_suppkey").alias("supp"),
+        F.col("l_orderkey").alias("order"),
+        F.col("l_returnflag").alias("flag"),
+        F.col("l_linestatus").alias("line"),
+        "l_shipdate",
+        "o_orderstatus",
+        F.coalesce("mt", F.lit("")).alias("mt"),
+        _cat("F", F.col("l_linenumber"), "-", F.col("l_partkey"), "-", F.col("l_suppkey"), "-", F.col("l_orderkey")).alias("vid"),
+        F.sha2(_cat("pdf-", F.col("l_partkey"), "-", F.col("l_suppkey")), 256).alias("pdf_sha"),
+        F.sha2(_cat("src-", F.col("l_partkey"), "-", F.col("l_linenumber")), 256).alias("src_sha"),
+        F.transform(
+            F.sequence(F.lit(0), F.col("l_linenumber")),
+            lambda i: F.concat(F.lit("W. Author-"), (F.col("l_partkey") + i * F.col("l_suppkey")).cast("string")),
+        ).alias("people"),
+    )
+    d, t, n, q, part, supp, order, flag, line, vid, mt, pdf_sha, src_sha, people = (
+        F.col(c)
+        for c in ("d", "t", "n", "q", "part", "supp", "order", "flag", "line", "vid", "mt", "pdf_sha", "src_sha", "people")
+    )
     A, N, R = flag == "A", flag == "N", flag == "R"
-    vid = _cat("F", n, "-", part, "-", supp, "-", order)
     orphan, blank = (d == 10) & N, (d == 10) & A & (t == 0)
     outside = orphan | blank
     excluded = _if(
@@ -84,9 +104,6 @@ def version_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = _if(supp % 10 == 1, "", _cat("src/", vid, ".zip"))
     fixed_pdf = _if(n == 6, _cat("fixed/", vid, ".pdf"), "")
     fixed_source = _if((n == 6) & (t >= 4), _cat("fixed/", vid, ".zip"), "")
-    pdf_sha = F.sha2(_cat("pdf-", part, "-", supp), 256)
-    src_sha = F.sha2(_cat("src-", part, "-", n), 256)
-    mt = F.coalesce("mt", F.lit(""))
     claimed = (
         F.when(t == 8, "")
         .when((line == "F") & A, mt)
@@ -95,9 +112,6 @@ def version_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(_cat(mt, " volume ", n))
     )
     title = _if(mt == "", "", claimed)
-    people = F.transform(
-        F.sequence(F.lit(0), n), lambda i: F.concat(F.lit("W. Author-"), (part + i * supp).cast("string"))
-    )
     people = _if(R, F.transform(people, F.upper), people)
     joined = (
         F.when(A, F.array_join(people, ", ")).when(N, F.array_join(people, "; ")).otherwise(F.array_join(people, " and "))

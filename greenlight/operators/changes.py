@@ -173,19 +173,39 @@ def state_domain(v: DataFrame, domain: str) -> DataFrame:
 # -- field changes -----------------------------------------------------------
 
 
-def field_changes(fields, before: str = "old_", after: str = "") -> Column:
-    """array<struct<field,label,old,new,reset>> of the text fields that differ.
+def with_differences(df: DataFrame, fields, open_row: Column) -> DataFrame:
+    """Add a boolean ``d_<name>`` per text field: does it differ from its ``old_`` column?
+
+    Flags and counts read these; the change list below is only built where it is shown.
+    """
+    return df.withColumns(
+        {
+            f"d_{name}": F.coalesce(open_row, F.lit(False)) & (text(f"old_{name}") != text(name))
+            for name, _label, _note in fields
+        }
+    )
+
+
+def any_difference(fields) -> Column:
+    out = F.lit(False)
+    for name, _label, _note in fields:
+        out = out | F.col(f"d_{name}")
+    return out
+
+
+def field_changes(fields) -> Column:
+    """array<struct<field,label,old,new,reset>> of the fields marked by ``with_differences``.
 
     ``fields`` is [(name, label, reset note)].
     """
     options = [
         F.when(
-            text(f"{before}{name}") != text(f"{after}{name}"),
+            F.col(f"d_{name}"),
             F.struct(
                 F.lit(name).alias("field"),
                 F.lit(label).alias("label"),
-                text(f"{before}{name}").alias("old"),
-                text(f"{after}{name}").alias("new"),
+                text(f"old_{name}").alias("old"),
+                text(name).alias("new"),
                 F.lit(note).alias("reset"),
             ),
         )
@@ -194,10 +214,6 @@ def field_changes(fields, before: str = "old_", after: str = "") -> Column:
     return F.filter(F.array(*options), lambda c: c.isNotNull())
 
 
-def changed(name: str) -> Column:
-    return F.exists("changes", lambda c: c["field"] == name)
-
-
 MASTER_FIELDS = (
     ("accept_status", "Accept Status", ""),
     ("title", "Master Title", "Paper ID review will reset"),
@@ -261,15 +277,8 @@ def diff_master(new: DataFrame, m: DataFrame, v: DataFrame) -> DataFrame:
         .otherwise("")
     )
     is_new = F.col("known_id").isNull()
-    out = joined.withColumns(
-        {
-            "error": error,
-            "changes": F.when(is_new, F.filter(field_changes(MASTER_FIELDS), lambda c: F.lit(False))).otherwise(
-                field_changes(MASTER_FIELDS)
-            ),
-        }
-    )
-    ok, title_changed = F.col("error") == "", changed("title")
+    out = with_differences(joined.withColumn("error", error), MASTER_FIELDS, ~is_new)
+    ok, title_changed = F.col("error") == "", F.col("d_title")
     n_excluded = F.coalesce(F.col("n_excluded"), F.lit(0))
     return out.select(
         "row_no",
@@ -280,12 +289,12 @@ def diff_master(new: DataFrame, m: DataFrame, v: DataFrame) -> DataFrame:
         "notes",
         F.when(~ok, "error")
         .when(is_new, "new")
-        .when(F.size("changes") > 0, "changed")
+        .when(any_difference(MASTER_FIELDS), "changed")
         .otherwise("unchanged")
         .alias("status"),
-        "changes",
+        field_changes(MASTER_FIELDS).alias("changes"),
         (ok & title_changed).alias("id_review_reset"),
-        (ok & changed("notes")).alias("notes_changed"),
+        (ok & F.col("d_notes")).alias("notes_changed"),
         F.when(ok & (is_new | title_changed), F.coalesce("n_affected", F.lit(0))).otherwise(0).alias("n_affected"),
         (ok & is_new & (n_excluded > 0)).alias("decision_required"),
         F.when(ok & is_new, n_excluded).otherwise(0).alias("n_excluded"),
@@ -340,11 +349,8 @@ def diff_versions(new: DataFrame, v: DataFrame, m: DataFrame, uploads: DataFrame
         )
 
     date_changed = ~is_new & F.col("upload_date").isNotNull() & ~equal_ignoring_micros("old_upload_date", "upload_date")
-    compared = joined.withColumns(
+    compared = with_differences(joined, VERSION_FIELDS, ~is_new & ~protected).withColumns(
         {
-            "changes": F.when(is_new | protected, F.filter(field_changes(VERSION_FIELDS), lambda c: F.lit(False))).otherwise(
-                field_changes(VERSION_FIELDS)
-            ),
             "date_changed": F.coalesce(date_changed & ~protected, F.lit(False)),
             "pdf_status": file_status("pdf"),
             "source_status": file_status("source"),
@@ -352,8 +358,8 @@ def diff_versions(new: DataFrame, v: DataFrame, m: DataFrame, uploads: DataFrame
     )
     new_pdf = F.col("pdf_status").isin("new", "different")
     new_source = F.col("source_status").isin("new", "different")
-    any_change = (F.size("changes") > 0) | F.col("date_changed") | new_pdf | new_source
-    title, people = changed("title"), changed("authors")
+    any_change = any_difference(VERSION_FIELDS) | F.col("date_changed") | new_pdf | new_source
+    title, people = F.col("d_title"), F.col("d_authors")
     open_row = ~protected
     invalid = open_row & (~filled("record_id") | F.col("m_decision").isNull())
     resolution = F.when(protected, "protected_editor_upload").otherwise(F.col("resolution"))
@@ -366,11 +372,11 @@ def diff_versions(new: DataFrame, v: DataFrame, m: DataFrame, uploads: DataFrame
         "authors",
         "upload_date",
         F.when(is_new, "new").when(protected, "unchanged").when(any_change, "changed").otherwise("unchanged").alias("status"),
-        "changes",
+        field_changes(VERSION_FIELDS).alias("changes"),
         "date_changed",
         "pdf_status",
         "source_status",
-        (open_row & (is_new | changed("entered_id") | changed("record_id") | title)).alias("id_review_reset"),
+        (open_row & (is_new | F.col("d_entered_id") | F.col("d_record_id") | title)).alias("id_review_reset"),
         F.when(is_new, new_pdf).otherwise(title | new_pdf | new_source).alias("title_match_reset"),
         F.when(is_new, new_pdf).otherwise(new_pdf | new_source | people).alias("review_reset"),
         new_pdf.alias("pdf_reset"),

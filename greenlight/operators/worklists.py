@@ -221,11 +221,13 @@ def queue_neighbours(df: DataFrame, key: str, order: list[Column], eligible: Col
     chosen = F.when(F.col("eligible"), F.col("key"))
     inside = Window.partitionBy("range").orderBy(*keys)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    after = inside.rowsBetween(1, Window.unboundedFollowing)
+    # looking forward is looking back in the reverse order: a growing frame, not one recomputed per row
+    reverse = Window.partitionBy("range").orderBy(*[F.col(k).desc() for k in keys])
+    after = reverse.rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumns(
         {
             "p": F.last(chosen, ignorenulls=True).over(before),
-            "n": F.first(chosen, ignorenulls=True).over(after),
+            "n": F.last(chosen, ignorenulls=True).over(after),
             "seen": F.count(chosen).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
         }
     )

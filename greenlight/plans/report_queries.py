@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from greenlight import domain, schema
 from greenlight.functions import digest, scores, similarity, text
-from greenlight.operators import duplicates, events, files, layout
-from greenlight.plans import reports
+from greenlight.operators import duplicates, events, exceptions, files, layout, names, rules, transitions
+from greenlight.plans import combined, lists, reports
 from greenlight.plans.queries import query, stamp
 from greenlight.session import shared_dir
 from greenlight.streaming import log
@@ -283,3 +283,94 @@ def unreferenced_files(d):
     exact = d.scoped.select(F.lit("file").alias("kind"), F.concat(F.lit("store/"), F.col("format_status"), F.lit("/"), F.col("pdf_file")).alias("path"))
     trees = d.scoped.filter("format_status = 'needs_edit'").select(F.lit("tree").alias("kind"), F.lit("store/needs_edit").alias("path")).distinct()
     return files.unreferenced_files(listed, exact.unionByName(trees))
+
+
+# -- review lists -------------------------------------------------------------
+
+
+@query
+def identity_list(d):
+    out = lists.identity_list(d.versions, d.master, "needs_verification", scorer="levenshtein")
+    return out.select("version_id", "record_id", "status", "score")
+
+
+@query
+def extraction_list(d):
+    out = lists.extraction_list(d.versions, d.master, "reviewed_differences", text="dated 199", scorer="levenshtein")
+    return out.select("version_id", "record_id", "status", "score")
+
+
+@query
+def processing_list(d):
+    out = lists.processing_list(d.versions, d.master, d.settings, "page_issues", "customer 1")
+    return out.select("version_id", "record_id", "pages")
+
+
+@query
+def formatting_list(d):
+    return lists.formatting_list(d.versions, d.master, "edited", "REVISED").select("version_id", "record_id", "format_status")
+
+
+@query
+def version_list(d):
+    return lists.version_list(d.versions, d.master, "version_conflicts", "shipment 1").select("version_id", "record_id", "origin")
+
+
+@query
+def finding_exceptions(d):
+    counts = names.name_counts(d.scoped, d.waivers, d.settings)
+    found = rules.readiness_findings(d.master, d.versions, d.waivers, d.settings, counts=counts)
+    rows = exceptions.exception_rows(d.publishable, counts, d.settings)
+    return lists.attach_exceptions(found, rows).select(
+        "category", "record_id", "version_id", "exception_key", "exception_status", "current_value", "limit_label"
+    )
+
+
+@query
+def not_allowed_scores(d):
+    counts = names.name_counts(d.scoped, d.waivers, d.settings)
+    rows = exceptions.exception_rows(d.publishable, counts, d.settings)
+    return rows.filter(exceptions.exception_filter("stale", "plagiarism")).select("exception_key", "type", "current_value", "approved_value")
+
+
+@query
+def explode_ids(d):
+    """The record ids of both neighbours of every version, as a comma list, kept where they exist."""
+    n = F.regexp_extract("version_id", r"(\d+)$", 1).cast("long")
+    lists_of = F.concat(F.lit("P"), (n - 1).cast("string"), F.lit(", P"), n.cast("string"), F.lit(" ,P"), n.cast("string"), F.lit(",,Z9"))
+    rows = d.versions.select("version_id", lists_of.alias("ids"))
+    return lists.explode_ids(rows, "ids", d.master).select("version_id", "record_id")
+
+
+@query
+def active_report(d):
+    return reports.active_report(d.versions, d.master).select("version_id", "record_id", "m_title", "origin_label", "in_master")
+
+
+@query
+def old_report(d):
+    return reports.old_report(d.versions, d.master).select("version_id", "old_status", "inactive_reason", "replacement_id", "decision_label")
+
+
+@query
+def guard_review(d):
+    out = transitions.guard_review(d.versions, similarity.levenshtein_similarity)
+    return out.select("version_id", "review_status", "duplicate_review_status", "title_verified", "guarded")
+
+
+@query
+def combined_metrics(d):
+    rows = combined.combined_list(d.master, d.versions, d.settings)
+    return combined.blocker_metrics(combined.combined_summary(rows))
+
+
+@query
+def hash_reuse(d):
+    """Document bytes hashed again only where the stored length is not that of the text."""
+    docs = _docs(d).select(
+        F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("length"),
+        F.lit("2024-01-01").cast("timestamp").alias("modified"), F.col("text").cast("binary").alias("content"),
+    )
+    even = F.substring("path", -1, 1).cast("int") % 2 == 0
+    known = docs.select("path", F.when(even, F.col("length")).otherwise(-1).alias("length"), "modified", F.lit("stored").alias("sha256"))
+    return files.hash_files(docs, known).select("path", "length", "sha256")
