@@ -18,7 +18,10 @@ ex_txt AS (SELECT *, type_label || ': ' || concat_ws(' - ', CASE status WHEN 'al
     'current ' || {shown('current_value')}, limit_label, 'approved ' || {shown('approved_value')}) || CASE WHEN reason <> '' THEN E'\\nReason: ' || reason ELSE '' END AS txt FROM exc),
 ex_on AS (SELECT record_id AS rid, type, exception_key, txt FROM ex_txt WHERE record_id <> ''
   UNION ALL SELECT r.record_id, type, exception_key, txt FROM ex_txt JOIN name_recs r ON exception_key = 'author_limit:' || r.norm WHERE ex_txt.record_id = ''),
-ex_rec AS (SELECT rid, string_agg(txt, E'\\n\\n' ORDER BY type, exception_key) AS exceptions FROM ex_on WHERE rid IN (SELECT record_id FROM master) GROUP BY rid)
+crowd AS (SELECT record_id FROM av WHERE record_id <> '' GROUP BY 1 HAVING count(*) > 1),
+ex_ln AS (SELECT rid, type, exception_key, txt FROM ex_on WHERE rid NOT IN (SELECT record_id FROM crowd)
+  UNION ALL SELECT rid, type, '', type || ': ' || count(*) || ' rows' FROM ex_on WHERE rid IN (SELECT record_id FROM crowd) GROUP BY rid, type),
+ex_rec AS (SELECT rid, string_agg(txt, E'\\n\\n' ORDER BY type, exception_key) AS exceptions FROM ex_ln WHERE rid IN (SELECT record_id FROM master) GROUP BY rid)
 """
 DETAIL = f"""
 {FOUND.strip()},
@@ -26,7 +29,9 @@ DETAIL = f"""
 {PER.strip()},
 bl_on AS (SELECT record_id AS rid, category, version_id, message FROM blocking WHERE record_id <> ''
   UNION ALL SELECT r.record_id, category, version_id, message FROM blocking b JOIN name_recs r ON exception_key = 'author_limit:' || r.norm WHERE b.record_id = ''),
-bl_rec AS (SELECT rid, string_agg(category || ': ' || message, E'\\n' ORDER BY category, version_id, message) AS blocking_text FROM bl_on WHERE rid IN (SELECT record_id FROM master) GROUP BY rid),
+bl_ln AS (SELECT rid, category, version_id || ' ' || message AS srt, category || ': ' || message AS txt FROM bl_on WHERE rid NOT IN (SELECT record_id FROM crowd)
+  UNION ALL SELECT rid, category, '', category || ': ' || count(*) || ' rows' FROM bl_on WHERE rid IN (SELECT record_id FROM crowd) GROUP BY rid, category),
+bl_rec AS (SELECT rid, string_agg(txt, E'\\n' ORDER BY category, srt) AS blocking_text FROM bl_ln WHERE rid IN (SELECT record_id FROM master) GROUP BY rid),
 det AS (SELECT m.record_id AS mid, m.title AS m_title, m.decision AS md, g.n_active, a.* FROM master m LEFT JOIN record_groups g USING (record_id)
   LEFT JOIN av a ON a.record_id = m.record_id AND g.n_active = 1)
 """

@@ -14,6 +14,14 @@ def filter_counts(df: DataFrame, tests: dict[str, Column]) -> DataFrame:
     return df.agg(*[F.count_if(F.coalesce(test, F.lit(False))).alias(name) for name, test in tests.items()])
 
 
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """One-row frames with different columns as one row, without a product: union and fold."""
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
 def severity_sections(annotated: DataFrame) -> DataFrame:
     """(severity, finding_group, n): per severity ('') and per severity and group; empty severities stay."""
     rows = annotated.select("severity", F.col("group").alias("finding_group"))
@@ -149,7 +157,7 @@ def first_and_more(df: DataFrame, text: Column, order: list[Column], limit: int
         F.array_join(F.col("e.t"), "; ").alias("shown")
     )
     total = df.agg(F.count(F.lit(1)).alias("n"))
-    return joined.crossJoin(total).select(  # two aggregated rows
+    return side_by_side(joined, total).select(
         F.concat(
             "shown",
             F.when(F.col("n") > limit, F.concat(F.lit(" +"), (F.col("n") - limit).cast("string"), F.lit(" more")))

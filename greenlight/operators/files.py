@@ -207,7 +207,7 @@ def candidate_totals(candidates: DataFrame, scan_errors: DataFrame) -> DataFrame
     totals = candidates.groupBy("policy").agg(
         F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")
     )
-    return totals.crossJoin(F.broadcast(errors))  # one aggregated row
+    return totals.withColumn("blocked", errors.scalar())
 
 
 def artifact_counts(files: DataFrame, classes) -> DataFrame:

@@ -18,6 +18,7 @@ from greenlight import catalog
 from greenlight.functions.scores import whole_percent_label as pct
 from greenlight.functions.text import filled, strip
 from greenlight.operators import duplicates, exceptions, files, names, scope, versions
+from greenlight.operators.aggregates import side_by_side
 from greenlight.operators.measures import repeated_label, with_measures
 from greenlight.settings import Settings
 
@@ -459,8 +460,7 @@ def readiness(findings: DataFrame, m: DataFrame) -> DataFrame:
     """One row: ready means no blocking finding and a non-empty master."""
     f = findings.agg(F.count(F.lit(1)).alias("n_findings"))
     n = m.agg(F.count(F.lit(1)).alias("n_masters"))
-    both = f.crossJoin(n)  # two aggregated rows
-    return both.select(
+    return side_by_side(f, n).select(
         ((F.col("n_findings") == 0) & (F.col("n_masters") > 0)).alias("ready"),
         (F.col("n_findings") + F.when(F.col("n_masters") == 0, 1).otherwise(0)).alias("n_blocking"),
     )

@@ -113,5 +113,5 @@ def process_labels(rows: DataFrame, limit: int = 12) -> DataFrame:
             F.lit(" / Final "), F.col("version_id"),
         ).alias("label")
     )
-    total = todo.agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("more"))
-    return first.crossJoin(total)  # one aggregated row
+    more = todo.agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("more"))
+    return first.withColumn("more", more.scalar())

@@ -88,15 +88,14 @@ def dashboard_counts(m: DataFrame, v: DataFrame, waivers: DataFrame, s: Settings
     per_name = aggregates.filter_counts(
         counts, {"names_over_limit": F.col("over_limit") & ~F.col("waiver_valid")}
     )
-    # four aggregated one-row frames side by side
-    return per_group.crossJoin(per_version).crossJoin(all_versions).crossJoin(per_name)
+    return aggregates.side_by_side(per_group, per_version, all_versions, per_name)
 
 
 def workflow_alerts(m: DataFrame, v: DataFrame) -> DataFrame:
     """The two header counters: files to process and origin conflicts."""
     conflicts = versions.origin_conflicts(v, m).agg(F.count(F.lit(1)).alias("origin_conflicts"))
     waiting = scope.in_scope(v, m).agg(F.count_if(files.needs_processing()).alias("to_process"))
-    return waiting.crossJoin(conflicts)  # two aggregated rows
+    return aggregates.side_by_side(waiting, conflicts)
 
 
 def dashboard(m, v, waivers, s: Settings) -> dict[str, DataFrame]:
