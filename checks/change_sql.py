@@ -185,8 +185,8 @@ SQL["batch_dispositions"] = query(
     ["scope"],
     """SELECT row_no, filename, NULL AS record_id, NULL AS token, NULL AS version_id, 'invalid' AS disposition, nerr AS reason, NULL AS before_similarity, NULL AS before_single, NULL AS similarity,
       NULL AS single, NULL AS report_stale FROM bn WHERE nerr <> ''
-    UNION ALL SELECT row_no, filename, b.record_id, token, CASE WHEN d = 'updated' THEN vid END, d, r, CASE WHEN d = 'updated' THEN v.similarity END, CASE WHEN d = 'updated' THEN v.single END,
-      CASE WHEN d = 'updated' THEN ns END, CASE WHEN d = 'updated' THEN sp END,
+    UNION ALL SELECT row_no, filename, b.record_id, token, CASE WHEN d = 'updated' THEN vid END, d, r, CAST(CASE WHEN d = 'updated' THEN v.similarity END AS DOUBLE), CAST(CASE WHEN d = 'updated' THEN v.single END AS DOUBLE),
+      CASE WHEN d = 'updated' THEN ns END, CAST(CASE WHEN d = 'updated' THEN sp END AS DOUBLE),
       CASE WHEN d = 'updated' THEN ((v.similarity IS DISTINCT FROM ns OR v.single IS DISTINCT FROM sp) AND v.report_path <> '') OR v.report_stale END
     FROM (SELECT *, CASE WHEN n_same > 1 THEN 'invalid' WHEN kind <> '' THEN kind WHEN perr <> '' THEN 'invalid' ELSE 'updated' END AS d,
       CASE WHEN n_same > 1 THEN 'The same id and batch token appears more than once.' WHEN kind <> '' THEN reason ELSE perr END AS r FROM bs) b LEFT JOIN versions v ON v.version_id = b.vid""",

@@ -173,7 +173,7 @@ c AS (SELECT *, bool_or(NOT partial) OVER (PARTITION BY doc_id) AS has_complete
 SELECT doc_id, start, partial FROM c WHERE NOT has_complete OR NOT partial"""
 SQL["file_totals"] = query(
     ["versions"],
-    """SELECT coalesce(category, 'total') AS category, sum(n) AS bytes, count(*) AS files FROM (
+    """SELECT coalesce(category, 'total') AS category, CAST(sum(n) AS BIGINT) AS bytes, count(*) AS files FROM (
       SELECT 'original' AS category, length(pdf_file) AS n FROM versions WHERE pdf_file <> '' UNION ALL SELECT 'upload', length(source_file) FROM versions WHERE source_file <> ''
       UNION ALL SELECT 'export', length(corrected_pdf) FROM versions WHERE corrected_pdf <> '' UNION ALL SELECT 'report', length(report_path) FROM versions WHERE report_path <> '') GROUP BY ROLLUP (category)""",
 )

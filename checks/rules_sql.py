@@ -178,7 +178,7 @@ _FILES = f"{_GROUP} = 'Files / PDF Processing'"
 SQL["category_options"] = query(
     _BASE,
     f"""SELECT category, {_GROUP} AS finding_group, {_SEV} AS severity, n, category IN ('Missing PDF', 'Page Limit Exceeded') AS selected FROM (
-      SELECT category, sum(n) AS n FROM (SELECT category, 1 AS n FROM found WHERE {_FILES} UNION ALL VALUES ('Missing PDF', 0), ('Page Limit Exceeded', 0)) GROUP BY category)""",
+      SELECT category, CAST(sum(n) AS BIGINT) AS n FROM (SELECT category, 1 AS n FROM found WHERE {_FILES} UNION ALL VALUES ('Missing PDF', 0), ('Page Limit Exceeded', 0)) GROUP BY category)""",
     FOUND,
 )
 _AFF = """
