@@ -4,10 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from greenlight.llm import packing, warc
+from greenlight.llm import packing, url_filter, warc
 from greenlight.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from greenlight.session import shared_dir
 
+#: Host, path and verdict of the production rules (fixed values).
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query
+def op2_url_filter(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules, default="allow")
+
+
+SQL["op2_url_filter"] = """
+with rules(host, path, verdict) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+cut as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+split as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from cut),
+fits as (select s.page_id, s.host, s.path, r.host || r.path as rule, r.verdict
+  from split s left join rules r on (s.host = r.host or ends_with(s.host, '.' || r.host)) and starts_with(s.path, r.path))
+select page_id, host, path, max_by(rule, length(rule)) as rule, coalesce(max_by(verdict, length(rule)), 'allow') as verdict
+from fits group by page_id, host, path
+"""
+
 
 @query
 def op8_packing(spark, sf_dir):
@@ -28,8 +56,8 @@ SQL["op10_warc"] = """
 with pages_ as (select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as hex from pages),
 first_ as (select hex, min(page_id) as first_id from pages_ group by hex)
 select p.page_id, strlen(p.payload)::bigint as payload_bytes,
-  list_reduce(list_transform(range(0, 32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-    ((('0x' || substr(p.hex, (5 * (k // 4) + 1)::int, 5))::bigint >> (5 * (3 - k % 4))::int) % 32)::int + 1, 1)), (a, b) -> a || b) as payload_digest,
+  list_reduce(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(p.hex, (5 * (k // 4) + 1)::int, 5))::bigint >> (5 * (3 - k % 4))::int) % 32)::int + 1, 1)), lambda a, b: a || b) as payload_digest,
   case when p.page_id = f.first_id then 'response' else 'revisit' end as record_type,
   case when p.page_id = f.first_id then null else f.first_id end as refers_to
 from pages_ p join first_ f using (hex)

@@ -101,7 +101,7 @@ def _writer(folder: str, archive_bytes: int):
                 page_id, url, html, first_id, revisit = (c[k].as_py() for c in columns)
                 if out is None:
                     temporary = f"{root}/.part-{task.partitionId():06d}-{made:04d}-{task.taskAttemptId()}"
-                    out, count, size = store.open_output_stream(temporary), 0, 0
+                    out, count, size = store.open_output_stream(temporary, compression=None), 0, 0
                 member = encode_record(page_id, url, html.encode(), first_id, revisit)
                 out.write(member)
                 count, size = count + 1, size + len(member)
@@ -159,8 +159,6 @@ def members(stream, chunk: int = CHUNK) -> Iterator[Iterator[bytes]]:
         def pieces():
             nonlocal rest
             while not unpack.eof:
-                if not rest and not (rest := stream.read(chunk)):
-                    raise Damaged("the file ends inside a member")
                 try:
                     piece = unpack.decompress(rest, chunk)
                 except zlib.error as error:
@@ -169,6 +167,8 @@ def members(stream, chunk: int = CHUNK) -> Iterator[Iterator[bytes]]:
                 rest = unpack.unused_data if unpack.eof else unpack.unconsumed_tail
                 if piece:
                     yield piece
+                elif not unpack.eof and not rest and not (rest := stream.read(chunk)):
+                    raise Damaged("the file ends inside a member")
 
         yield pieces()
         rest = rest or stream.read(chunk)
@@ -268,7 +268,7 @@ def _reader(folder: str, batch_rows: int = 2000):
         rows: list[dict] = []
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(path, compression=None) as stream:
                     for record in read_file(stream):
                         rows.append(record)
                         if len(rows) >= batch_rows:
