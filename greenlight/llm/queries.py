@@ -4,10 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from greenlight.llm import packing, url_filter, warc
+from greenlight.llm import language_id, packing, quality, topk_search, url_filter, warc
 from greenlight.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from greenlight.session import shared_dir
 
+def fold(parts: int):
+    """The fold of a document: the CRC-32 of its id as text, modulo the number of folds."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+@query
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold(3) == 1, F.lit(False))
+    model = language_id.learn(docs, ~held_out)
+    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold(4) == 2, F.lit(False))
+    ensemble = quality.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = quality.score(docs, ensemble)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op4_topk_search(spark, sf_dir):
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+SQL["op4_topk_search"] = """
+with whole as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+  where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score
+  from whole q join whole c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v))
+select query_id, rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored) where rank <= 10
+"""
+
+
 #: Host, path and verdict of the production rules (fixed values).
 URL_RULES = [
     ("com", "/", "allow"),
