@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from greenlight.llm import language_id, packing, quality, topk_search, url_filter, warc
+from greenlight.llm import language_id, lm, packing, quality, topk_search, url_filter, warc
 from greenlight.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from greenlight.session import shared_dir
 
@@ -74,6 +74,15 @@ from fits group by page_id, host, path
 """
 
 
+@query
+def op6_lm_score(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold(7) == 2, F.lit(False))
+    model, words = lm.learn(docs.where(~held_out))
+    scored = lm.score(docs, model, words)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op8_packing(spark, sf_dir):
     import public_tokenizers
