@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from greenlight.llm import language_id, lm, packing, quality, topk_search, url_filter, warc
+from greenlight.llm import jaccard_join, language_id, lm, packing, quality, topk_search, url_filter, warc
 from greenlight.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from greenlight.session import shared_dir
 
@@ -83,6 +83,11 @@ def op6_lm_score(spark, sf_dir):
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard_join.classes(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 @query
 def op8_packing(spark, sf_dir):
     import public_tokenizers

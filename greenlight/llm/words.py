@@ -55,13 +55,13 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column, most: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(column, most: int = SLICE, most_rows: int = 1 << 16) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, bytes and offsets of runs of rows with about ``most`` bytes; a row is never cut."""
     data, offsets = text_buffer(column)
     row, rows = 0, len(offsets) - 1
     while row < rows:
         stop = int(np.searchsorted(offsets, offsets[row] + most, side="right")) - 1
-        stop = min(max(stop, row + 1), rows)
+        stop = min(max(stop, row + 1), rows, row + most_rows)
         yield row, data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
         row = stop
 
@@ -106,13 +106,13 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return hash_spans(data, starts, ends), rows
 
 
-def chain(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of every n neighbours, one for each possible first place."""
+def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of every n neighbours, one for each possible first place, read off prefix sums."""
     count = max(0, len(hashes) - n + 1)
-    out = np.zeros(count, dtype=np.uint64)
-    for k in range(n):
-        out = mix(out * np.uint64(0xA0761D6478BD642F) + hashes[k : k + count])
-    return out
+    up, down = _powers(1 << max(20, len(hashes).bit_length()))
+    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return mix((sums[n : n + count] - sums[:count]) * down[:count])
 
 
 def row_of(rows: np.ndarray) -> np.ndarray:
@@ -122,7 +122,7 @@ def row_of(rows: np.ndarray) -> np.ndarray:
 
 def windows(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-word windows that lie within one row, and the row of each."""
-    joined = chain(hashes, n)
+    joined = rolling(hashes, n)
     row = row_of(rows)
     inside = row[: len(joined)] == row[n - 1 :] if len(joined) else np.zeros(0, bool)
     return joined[inside], row[: len(joined)][inside]
