@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from greenlight.llm import jaccard_join, language_id, lm, packing, quality, topk_search, url_filter, warc
+from greenlight.llm import decontaminate, jaccard_join, language_id, lm, packing, quality, topk_search, url_filter, warc
 from greenlight.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from greenlight.session import shared_dir
 
@@ -96,6 +96,12 @@ def op8_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op9_decontaminate(spark, sf_dir):
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "windows", "matched")
+
+
 @query
 def op10_warc(spark, sf_dir):
     records = warc.round_trip(table(spark, sf_dir, "pages"), shared_dir(spark), min_revisit_bytes=0)

@@ -19,6 +19,19 @@ LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+def lower_latin(data: np.ndarray) -> np.ndarray:
+    """A-Z and the capitals U+00C0 to U+00DE (C3 80 to C3 9E in UTF-8) lower-cased."""
+    out = LOWER[data]
+    capital = latin_capital(data)
+    out[1:][capital] += 32
+    return out
+
+
+def latin_capital(data: np.ndarray) -> np.ndarray:
+    """For each byte but the first: whether it ends one of the capitals U+00C0 to U+00DE."""
+    return (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+
+
 BASE = 0x9E3779B97F4A7C55  # odd, so that it has an inverse modulo 2**64
 SEGMENT = 1 << 20
 SLICE = 4 << 20
