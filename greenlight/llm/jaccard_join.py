@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from greenlight.llm.components import components
 from greenlight.llm.words import hashed_words, mix, rolling, row_of, slices
+from greenlight.llm.space import release
 from greenlight.session import cut_lineage
 
 TOKEN_BITS = 48
@@ -318,13 +319,15 @@ def _compare(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     asked = pairs.select(F.col("a").alias("handle")).union(pairs.select("b"))
     shared = texts.sparkSession.sparkContext.broadcast(_membership(asked))
     sets = texts.mapInArrow(_sets(words, shared), "handle long, sid binary, tokens array<long>")
-    sets = sets.groupBy("sid", "handle").agg(F.first("tokens").alias("tokens"))
-    sets = cut_lineage(sets.join(asked.distinct(), "handle", "left_semi"))
+    sets = sets.groupBy("handle").agg(F.first("sid").alias("sid"), F.first("tokens").alias("tokens"))
     one = lambda x: sets.select(F.col("handle").alias(x), F.col("sid").alias(f"{x}_sid"), F.col("tokens").alias(f"{x}_tokens"))
     both = F.size(F.array_intersect("a_tokens", "b_tokens"))
     all_ = F.size("a_tokens") + F.size("b_tokens")
     joined = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "a_sid", "b_sid", both.alias("i"), all_.alias("s"))
-    return cut_lineage(joined.select("a", "b", "a_sid", "b_sid", (100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).alias("linked"), (1 - F.col("i") / (F.col("s") - F.col("i"))).alias("far")))
+    union = F.col("s") - F.col("i")
+    compared = cut_lineage(joined.select("a", "b", "a_sid", "b_sid", (100 * F.col("i") >= percent * union).alias("linked"), (1 - F.col("i") / union).alias("far")))
+    release(texts.sparkSession)
+    return compared
 
 
 def _labelled(members: DataFrame, linked: DataFrame) -> DataFrame:
@@ -386,9 +389,12 @@ def links(docs: DataFrame, words: int, percent: int, least_frequent: int = LEAST
     power = min(20, (size // SHARE_BYTES).bit_length())
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(frequent_table(texts.select("text"), words, power, least_frequent))
+    release(docs.sparkSession)
     described = cut_lineage(texts.mapInArrow(_documents(words, percent, shared), "doc_id long, n long, sid binary, handle long, rare double, keys array<long>"))
     blobs = texts.select("text").mapInArrow(_singles(words, percent, power, shared), "share long, keys binary, handles binary, sizes binary")
     met = cut_lineage(blobs.groupBy("share").applyInArrow(_meetings(percent, small_key), "key long, a long, b long").distinct())
+    del blobs
+    release(docs.sparkSession)
     only = texts.select("text")
     compared = _compare(met.where("key is null").select("a", "b"), only, words, percent)
     linked = compared.where("linked").select("a", "b", "a_sid", "b_sid")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from greenlight.llm import decontaminate, jaccard_join, language_id, lm, packing, quality, topk_search, url_filter, warc
+from greenlight.llm import decontaminate, jaccard_join, language_id, line_dedup, lm, packing, quality, topk_search, url_filter, warc
 from greenlight.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from greenlight.session import shared_dir
 
@@ -74,6 +74,12 @@ from fits group by page_id, host, path
 """
 
 
+@query
+def op5_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs, min_words=3, similarity=0.8).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 @query
 def op6_lm_score(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
