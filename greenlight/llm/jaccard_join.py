@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from greenlight.llm.components import components
-from greenlight.llm.words import hashed_words, mix, rolling, row_of, slices
 from greenlight.llm.space import release
+from greenlight.llm.words import hashed_words, mix, rolling, row_of, slices
 from greenlight.session import cut_lineage
 
 TOKEN_BITS = 48
@@ -202,9 +202,9 @@ def _documents(words: int, percent: int, shared):
                 order = np.argsort(rows, kind="stable")
                 ends = np.searchsorted(rows[order], np.arange(len(n) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(first, len(n)), pa.array(n), _binary(ids, n > 0), pa.array(ids[:, 0].view(np.int64), mask=n == 0),
+                    batch.column("doc_id").slice(first, len(n)), batch.column("text_key").slice(first, len(n)), pa.array(n), _binary(ids, n > 0), pa.array(ids[:, 0].view(np.int64), mask=n == 0),
                     pa.array(rare / np.maximum(1, n)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[order].view(np.int64))),
-                ], ["doc_id", "n", "sid", "handle", "rare", "keys"])
+                ], ["doc_id", "text_key", "n", "sid", "handle", "rare", "keys"])
 
     return describe
 
@@ -380,17 +380,18 @@ def _crowded(members: DataFrame, linked: DataFrame, texts: DataFrame, words: int
 
 
 def links(docs: DataFrame, words: int, percent: int, least_frequent: int = LEAST_FREQUENT, small_key: int = SMALL_KEY) -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, n, sid) and links (a, b) between different sets that join all that belong together.
+    """The documents (doc_id, text_key, n, sid) and links (a, b) between different sets that join all that belong together.
 
     A token counted ``least_frequent`` times or more is frequent, as far as the class table has room; a single key
     with more than ``small_key`` sets is treated as a combined one. Neither changes the classes."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     power = min(20, (size // SHARE_BYTES).bit_length())
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(frequent_table(texts.select("text"), words, power, least_frequent))
     release(docs.sparkSession)
-    described = cut_lineage(texts.mapInArrow(_documents(words, percent, shared), "doc_id long, n long, sid binary, handle long, rare double, keys array<long>"))
+    described = cut_lineage(texts.mapInArrow(_documents(words, percent, shared), "doc_id long, text_key long, n long, sid binary, handle long, rare double, keys array<long>"))
     blobs = texts.select("text").mapInArrow(_singles(words, percent, power, shared), "share long, keys binary, handles binary, sizes binary")
     met = cut_lineage(blobs.groupBy("share").applyInArrow(_meetings(percent, small_key), "key long, a long, b long").distinct())
     del blobs
@@ -404,7 +405,7 @@ def links(docs: DataFrame, words: int, percent: int, least_frequent: int = LEAST
     decided = _crowded(crowded.join(sets, "handle"), linked, only, words, percent)
     if decided is not None:
         linked = linked.unionByName(decided.where("linked").select("a", "b", "a_sid", "b_sid"))
-    return described.select("doc_id", "n", "sid"), linked.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
+    return described.select("doc_id", "text_key", "n", "sid"), linked.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
 
 
 def classes(docs: DataFrame, words: int = 4, percent: int = 85, **sizes: int) -> DataFrame:
@@ -418,3 +419,16 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85, **sizes: int) ->
     named = owners.select("sid", "part").join(smallest, "part").select("sid", "component_id")
     out = full.join(named, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(described.where("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, **sizes: int) -> DataFrame:
+    """The rows of ``docs`` without those that have a smaller one in their component, by (id, hash of the text), a null id
+    last. Rows that share id and text are one document; rows without words stay."""
+    described, found = links(docs, words, percent, **sizes)
+    parts = components(found).select(F.col("node").alias("sid"), F.col("component").alias("part"))
+    full = described.where("sid is not null").join(parts, "sid", "left").withColumn("part", F.coalesce("part", "sid"))
+    key = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    stays = full.groupBy("part").agg(F.min(key).alias("stays"), F.max(key).alias("last")).where("stays <> last").select("part", "stays")
+    goes = full.join(stays, "part").where(~key.eqNullSafe(F.col("stays"))).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.join(goes, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_key")), "left_anti")

@@ -119,15 +119,16 @@ def fit_svm(x: np.ndarray, positive: np.ndarray, cost: float = 10.0, rounds: int
     """A linear SVM (squared hinge, L2) by accelerated gradient steps; classes weigh the same."""
     y = np.where(positive, 1.0, -1.0)
     weight = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum())) * cost
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    y, weight = y.astype(x.dtype), weight.astype(x.dtype)
     step = 1.0 / (1.0 + 2.0 * cost * float((x * x).sum(axis=1).max()))
-    w = ahead = np.zeros(x.shape[1])
+    w = ahead = np.zeros(x.shape[1], x.dtype)
     t = 1.0
     for _ in range(rounds):
-        slack = np.maximum(0.0, 1.0 - y * (x @ ahead))
-        new = ahead - step * (ahead - 2.0 * (x.T @ (weight * y * slack)))
+        slack = np.maximum(0, 1 - y * (x @ ahead))
+        new = ahead - x.dtype.type(step) * (ahead - 2 * (x.T @ (weight * y * slack)))
         t, before = (1.0 + np.sqrt(1.0 + 4.0 * t * t)) / 2.0, t
-        ahead = new + (before - 1.0) / t * (new - w)
+        ahead = new + x.dtype.type((before - 1.0) / t) * (new - w)
         w = new
     return w[:-1], float(w[-1])
 
@@ -180,7 +181,7 @@ class Model:
         return names.tolist(), score
 
 
-def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], family_of: dict[str, str], most_features: int = 6000) -> Model:
+def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], family_of: dict[str, str], most_features: int = 3000) -> Model:
     """A model from (label, buckets, frequencies); buckets are scaled by their spread, the most common are used."""
     labels = np.array([s[0] for s in samples], object)
     languages: dict[str, list[str]] = {}
@@ -203,7 +204,7 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], family_of: dict[str,
         inside = place[at] >= 0
         x[row, place[at][inside]] = value[inside]
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-4
-    x = ((x - mean) / spread / np.sqrt(len(used))).astype(np.float64)
+    x = (x - mean) / spread / np.float32(np.sqrt(len(used)))
     family = np.array([family_of.get(c, c) for c in labels], object)
 
     def put(k, rows, positive):
