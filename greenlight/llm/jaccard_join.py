@@ -313,20 +313,23 @@ def _sets(words: int, shared):
     return take
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """a, b (handles), their sets' ids, whether they are linked, and their Jaccard distance."""
-    pairs = cut_lineage(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    asked = pairs.select(F.col("a").alias("handle")).union(pairs.select("b"))
-    shared = texts.sparkSession.sparkContext.broadcast(_membership(asked))
+def sets_of(handles: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """handle, sid and tokens of the sets with these handles, and of a few more, by one pass over the texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(_membership(handles))
     sets = texts.mapInArrow(_sets(words, shared), "handle long, sid binary, tokens array<long>")
-    sets = sets.groupBy("handle").agg(F.first("sid").alias("sid"), F.first("tokens").alias("tokens"))
+    return sets.groupBy("handle").agg(F.first("sid").alias("sid"), F.first("tokens").alias("tokens"))
+
+
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b (handles), their sets' ids, whether they are linked, and their Jaccard distance."""
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     one = lambda x: sets.select(F.col("handle").alias(x), F.col("sid").alias(f"{x}_sid"), F.col("tokens").alias(f"{x}_tokens"))
     both = F.size(F.array_intersect("a_tokens", "b_tokens"))
     all_ = F.size("a_tokens") + F.size("b_tokens")
     joined = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "a_sid", "b_sid", both.alias("i"), all_.alias("s"))
     union = F.col("s") - F.col("i")
     compared = cut_lineage(joined.select("a", "b", "a_sid", "b_sid", (100 * F.col("i") >= percent * union).alias("linked"), (1 - F.col("i") / union).alias("far")))
-    release(texts.sparkSession)
+    release(pairs.sparkSession)
     return compared
 
 
@@ -341,7 +344,7 @@ def _labelled(members: DataFrame, linked: DataFrame) -> DataFrame:
     return cut_lineage(found.join(several, "key", "left_semi"))
 
 
-def _crowded(members: DataFrame, linked: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _crowded(members: DataFrame, linked: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Comparisons that decide all links among the members (key, handle, n, rare) of keys with many sets."""
     members = _labelled(members, linked)
     done = None
@@ -352,7 +355,7 @@ def _crowded(members: DataFrame, linked: DataFrame, texts: DataFrame, words: int
         # every member is held against the member of fewest rare tokens
         pivot = left.groupBy("key").agg(F.min(F.struct("rare", "handle", "part")).alias("p"))
         stars = left.join(pivot, "key").where("part <> p.part")
-        compared = _compare(stars.select(F.col("p.handle").alias("a"), F.col("handle").alias("b")), texts, words, percent)
+        compared = _compare(stars.select(F.col("p.handle").alias("a"), F.col("handle").alias("b")), sets, percent)
         linked = linked.unionByName(compared.where("linked").select("a", "b", "a_sid", "b_sid"))
         done = compared if done is None else done.unionByName(compared)
         if k == 0:
@@ -375,7 +378,7 @@ def _crowded(members: DataFrame, linked: DataFrame, texts: DataFrame, words: int
         & (F.coalesce(F.abs(F.col("far") - F.col("a_far")), F.lit(0.0)) <= room)
         & (100 * F.least("n", "a_n") >= percent * F.greatest("n", "a_n"))
     )
-    last = _compare(undecided.select("a", F.col("handle").alias("b")), texts, words, percent)
+    last = _compare(undecided.select("a", F.col("handle").alias("b")), sets, percent)
     return last if done is None else done.unionByName(last)
 
 
@@ -397,12 +400,18 @@ def links(docs: DataFrame, words: int, percent: int, least_frequent: int = LEAST
     del blobs
     release(docs.sparkSession)
     only = texts.select("text")
-    compared = _compare(met.where("key is null").select("a", "b"), only, words, percent)
+    pairs = cut_lineage(met.where("key is null").select("a", "b").distinct())
+    compared = _compare(pairs, sets_of(pairs.select(F.col("a").alias("handle")).union(pairs.select("b")), only, words), percent)
     linked = compared.where("linked").select("a", "b", "a_sid", "b_sid")
-    sets = described.where("handle is not null").groupBy("handle").agg(F.max("n").alias("n"), F.min("rare").alias("rare"))
+    sizes = described.where("handle is not null").groupBy("handle").agg(F.max("n").alias("n"), F.min("rare").alias("rare"))
     combined = described.where(F.size("keys") > 0).select("handle", F.explode("keys").alias("key"))
     crowded = combined.unionByName(met.where("key is not null").select(F.col("a").alias("handle"), "key")).distinct()
-    decided = _crowded(crowded.join(sets, "handle"), linked, only, words, percent)
+    shared_keys = crowded.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    crowded = cut_lineage(crowded.join(shared_keys, "key", "left_semi").join(sizes, "handle"))
+    if crowded.isEmpty():
+        decided = None
+    else:
+        decided = _crowded(crowded, linked, cut_lineage(sets_of(crowded.select("handle"), only, words)), percent)
     if decided is not None:
         linked = linked.unionByName(decided.where("linked").select("a", "b", "a_sid", "b_sid"))
     return described.select("doc_id", "text_key", "n", "sid"), linked.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))

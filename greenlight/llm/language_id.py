@@ -75,38 +75,41 @@ def grams(data: np.ndarray) -> list[np.ndarray]:
 
 
 def pieces(column):
-    """Row numbers, normalised bytes and offsets of pieces of bounded size. A row longer than a piece comes in
-    several that overlap by one gram's length less one."""
+    """Row numbers, normalised bytes, offsets and the number of first places for grams, of pieces of bounded size. A row
+    longer than a piece comes in several; grams begin in one of them and may end in the next one's bytes."""
     for row, data, offsets in slices(column, PIECE):
         if len(offsets) == 2 and len(data) > PIECE:
             data, offsets = normalised(data, offsets)
             step = PIECE - max(ORDERS) + 1
-            for at in range(0, max(1, len(data) - max(ORDERS) + 1), step):
+            for at in range(0, len(data), step):
                 part = data[at : at + PIECE]
-                yield np.array([row]), part, np.array([0, len(part)])
+                yield np.array([row]), part, np.array([0, len(part)]), step
         else:
             data, offsets = normalised(data, offsets)
-            yield row + np.arange(len(offsets) - 1), data, offsets
+            yield row + np.arange(len(offsets) - 1), data, offsets, len(data)
 
 
-def _by_row(values: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
-    """Sums over the grams that lie within each row."""
+def gram_bounds(offsets: np.ndarray, order: int, first_places: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the grams that lie within each row begin and end."""
+    return offsets[:-1], np.maximum(offsets[:-1], np.minimum(offsets[1:] - order + 1, first_places))
+
+
+def _sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
     np.cumsum(values, axis=0, dtype=np.float64, out=total[1:])
-    starts = np.minimum(offsets[:-1], len(values))
-    ends = np.clip(offsets[1:] - order + 1, starts, len(values))
-    return total[ends] - total[starts]
+    last = len(values)
+    return total[np.minimum(ends, last)] - total[np.minimum(starts, last)]
 
 
 def text_features(column) -> list[tuple[np.ndarray, np.ndarray]]:
     """Buckets and relative frequencies of each text."""
     counts: dict[int, np.ndarray] = {}
-    for rows, data, offsets in pieces(column):
-        coded = grams(data)
+    for rows, data, offsets, places in pieces(column):
+        coded = [(code, *gram_bounds(offsets, order, places)) for order, code in zip(ORDERS, grams(data))]
         for k, row in enumerate(rows.tolist()):
             own = counts.setdefault(row, np.zeros(1 << BITS))
-            for order, code in zip(ORDERS, coded):
-                own += np.bincount(code[offsets[k] : max(offsets[k], offsets[k + 1] - order + 1)], minlength=1 << BITS)
+            for code, starts, ends in coded:
+                own += np.bincount(code[starts[k] : ends[k]], minlength=1 << BITS)
     out = []
     for row in range(len(column)):
         own = counts.pop(row)
@@ -147,11 +150,11 @@ class Model:
         """The value of each classifier for each text."""
         sums = np.zeros((len(column), len(self.bias)))
         counts = np.zeros(len(column))
-        for rows, data, offsets in pieces(column):
+        for rows, data, offsets, places in pieces(column):
             for order, code in zip(ORDERS, grams(data)):
-                part = _by_row(self.weights[code], offsets, order)
-                np.add.at(sums, rows, part)
-                np.add.at(counts, rows, np.clip(np.diff(offsets) - order + 1, 0, None))
+                starts, ends = gram_bounds(offsets, order, places)
+                np.add.at(sums, rows, _sums(self.weights[code], starts, ends))
+                np.add.at(counts, rows, ends - starts)
         return sums / np.maximum(counts, 1.0)[:, None] + self.bias
 
     def predict(self, column) -> tuple[list[str], np.ndarray]:
@@ -245,7 +248,8 @@ def learn(docs: DataFrame, training: Column, per_label: int = PER_LABEL, family_
             )
 
     rows = sample(docs, training, per_label).mapInArrow(featured, "lang string, at array<int>, value array<double>").toArrow()
-    return fit(list(zip(rows["lang"].to_pylist(), map(np.array, rows["at"].to_pylist()), map(np.array, rows["value"].to_pylist()))), family_of)
+    array = lambda name, kind: [np.array(x, kind) for x in rows[name].to_pylist()]
+    return fit(list(zip(rows["lang"].to_pylist(), array("at", np.int32), array("value", np.float64))), family_of)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
