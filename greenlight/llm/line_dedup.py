@@ -3,7 +3,7 @@
 Lines are normalised to their lower-case words. Each line gets a 64-bit SimHash of its words. SimHashes that
 differ in at most three bits agree in all but three of B blocks, so lines meet under every choice of B - 3
 blocks, and pairs that meet are verified: near by Hamming distance, then by the edit similarity of their
-normalised texts. Of the lines of each connected group one occurrence stays, the one with the smallest
+words. Of the lines of each connected group one occurrence stays, the one with the smallest
 (doc_id, hash of the text, line number).
 
 B follows the number of distinct lines, so that a key of B - 3 blocks has more values than there are lines;
@@ -15,7 +15,6 @@ Defined results
 - Lines are what stands between newlines. A line of fewer than ``min_words`` words stays and takes no part.
 - Null text stays null; extra columns stay.
 - Rows that share id and text are treated alike: they keep and lose the same lines.
-- Lines of more than 127 words get the SimHash of the SimHashes of their stretches of 127 words.
 - Equal normalised lines are recognised by a 64-bit hash.
 """
 
@@ -34,14 +33,15 @@ MIN_WORDS = 3
 BITS_APART = 3
 SIMILARITY = 0.8
 NEIGHBOURS = 31
-STRETCH = 127
+SHORT = 127
 BYTES_OF_ONE = 0x0101010101010101
 BYTES_OF_64 = 0x4040404040404040
 MEMBER_BITS = 20
 
 
 def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
+    """The lower-case runs of letters and digits of a line."""
+    return F.array_remove(F.split(F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " ")), " "), "")
 
 
 def _let(value: Column, body) -> Column:
@@ -49,42 +49,71 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def _counted(hashes: Column, shift: int, mask: int) -> Column:
+    """The sum over the hashes of every bit of a mask, each in a counter of its own."""
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda total, x: total + F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(mask)))
+
+
 def _majority(hashes: Column) -> Column:
     """For each of 64 bits whether more than half of at most 127 hashes have it. Eight longs hold a counter in each
     byte; a counter above half of n reaches 64 when 63 - n / 2 is added."""
-    zero = F.struct(*(F.lit(0).cast("long").alias(f"l{j}") for j in range(8)))
-    step = lambda sums, x: F.struct(*((sums[f"l{j}"] + F.shiftrightunsigned(x, j).bitwiseAND(F.lit(BYTES_OF_ONE))).alias(f"l{j}") for j in range(8)))
     bump = F.lit(BYTES_OF_ONE) * (F.lit(63) - F.floor(F.size(hashes) / 2))
-
-    def finish(sums):
-        out = None
+    out = None
+    for j in range(8):
+        above = (_counted(hashes, j, BYTES_OF_ONE) + bump).bitwiseAND(F.lit(BYTES_OF_64))
+        bits = F.shiftleft(F.shiftrightunsigned(above, 6), j)
+        out = bits if out is None else out.bitwiseOR(bits)
+    return out
+
+
+def _long_majority(hashes: Column) -> Column:
+    """The same for any number of hashes: bytes are counted over stretches of 127, and the stretches' bytes are added
+    up in counters of 32 bits."""
+    last = F.ceil(F.size(hashes) / SHORT).cast("int") - 1
+    stretches = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(hashes, k * SHORT + 1, SHORT))
+    size, half = F.size(hashes), F.lit((1 << 32) - 1)
+
+    def bits_of(j):
+        def of(total):
+            found = F.lit(0).cast("long")
+            for count, bit in ((total.bitwiseAND(half), j), (F.shiftrightunsigned(total, 32), j + 32)):
+                one = (1 << bit) - (1 << 64 if bit == 63 else 0)
+                found = found.bitwiseOR(F.when(count * 2 > size, F.lit(one).cast("long")).otherwise(F.lit(0).cast("long")))
+            return found
+
+        return of
+
+    def lane(j):
+        def of(counts):
+            found = F.lit(0).cast("long")
+            for k in range(4):
+                found = found.bitwiseOR(_let(_counted(counts, 8 * k, 0x000000FF000000FF), bits_of(j + 8 * k)))
+            return found
+
+        return of
+
+    def all_lanes(parts):
+        out = F.lit(0).cast("long")
         for j in range(8):
-            bits = F.shiftleft(F.shiftrightunsigned((sums[f"l{j}"] + bump).bitwiseAND(F.lit(BYTES_OF_64)), 6), j)
-            out = bits if out is None else out.bitwiseOR(bits)
+            counts = F.transform(parts, (lambda j: lambda part: _counted(part, j, BYTES_OF_ONE))(j))
+            out = out.bitwiseOR(_let(counts, lane(j)))
         return out
 
-    return F.aggregate(hashes, zero, step, finish)
-
-
-def _stretches(hashes: Column) -> Column:
-    """The majority of each stretch of STRETCH hashes."""
-    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(hashes) / STRETCH).cast("int") - 1), lambda k: _let(F.slice(hashes, k * STRETCH + 1, STRETCH), _majority))
+    return _let(stretches, all_lanes)
 
 
-def simhash(words: Column) -> Column:
-    """The SimHash of a list of words, over at most four levels of stretches."""
-
-    def long(hashes, level=0):
-        return _let(_stretches(hashes), _majority if level == 2 else lambda x: long(x, level + 1))
-
-    return _let(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: F.when(F.size(hashes) <= STRETCH, _majority(hashes)).otherwise(long(hashes)))
+def simhash(hashes: Column) -> Column:
+    """The SimHash of a list of words' hashes: a bit is set if more than half of them have it."""
+    return F.when(F.size(hashes) <= SHORT, _majority(hashes)).otherwise(_long_majority(hashes))
 
 
 def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_key, pos, h, n and sim of every line that takes part."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     rows = rows.select("doc_id", "text_key", "pos", words_of(F.col("line")).alias("words")).where(F.size("words") >= min_words)
-    return rows.select("doc_id", "text_key", "pos", F.xxhash64("words").alias("h"), F.size("words").alias("n"), simhash(F.col("words")).alias("sim"))
+    hashed = F.transform("words", lambda w: F.xxhash64(w))
+    rows = rows.select("doc_id", "text_key", "pos", F.xxhash64("words").alias("h"), F.size("words").alias("n"), hashed.alias("hashes"))
+    return rows.select("doc_id", "text_key", "pos", "h", "n", simhash(F.col("hashes")).alias("sim"))
 
 
 def block_keys(sim: Column, count: int) -> list[Column]:
@@ -135,8 +164,15 @@ def _member(key: Column, keys: DataFrame) -> Column:
     return F.bit_get(F.element_at(literal, F.shiftright(place, 6) + 1), place % 64) == 1
 
 
+def in_letters(words: Column) -> Column:
+    """A string with one letter for each word, out of 20,480 letters by the word's hash."""
+    code = lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(0x5000)) + F.lit(0x4E00))  # noqa: E731  (four digits each)
+    return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-16BE")
+
+
 def verify(pairs: DataFrame, first: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose normalised texts have the edit similarity: one less the edits over the longer length.
+    """The pairs (a, b) whose words have the edit similarity: one less the words to put in, take out or change over the
+    words of the longer line.
 
     The texts are read from the first occurrences of the lines (h, doc_id, text_key, pos)."""
     pairs = cut_lineage(pairs)
@@ -145,14 +181,15 @@ def verify(pairs: DataFrame, first: DataFrame, docs: DataFrame, similarity: floa
     rows = docs.where(_member(F.xxhash64("text"), wanted.select(F.col("text_key").alias("key"))))
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     same = (F.col("x.text_key") == F.col("w.text_key")) & (F.col("x.pos") == F.col("w.pos")) & F.col("x.doc_id").eqNullSafe(F.col("w.doc_id"))
-    texts = rows.alias("x").join(wanted.alias("w"), same).select("h", F.array_join(words_of(F.col("line")), " ").alias("words")).dropDuplicates(["h"])
+    texts = rows.alias("x").join(wanted.alias("w"), same).select("h", in_letters(words_of(F.col("line"))).alias("words")).dropDuplicates(["h"])
     texts = cut_lineage(texts)
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("words").alias("y")), "b")
     longer = F.greatest(F.length("x"), F.length("y"))
     most = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
     shorter = F.least(F.length("x"), F.length("y"))
     both = both.where(longer - shorter <= most)
-    return cut_lineage(both.where(F.levenshtein("x", "y") <= most).select("a", "b"))
+    edits = F.expr("levenshtein(x, y, most)")  # -1 beyond
+    return cut_lineage(both.withColumn("most", most).where(edits >= 0).select("a", "b"))
 
 
 def groups(docs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:

@@ -42,9 +42,9 @@ def test_exact_and_fuzzy_lines(spark):
 
 
 def test_simhash_is_the_majority(spark):
-    rows = [(k, " ".join(f"w{(k * 7 + j) % 91}" for j in range(n))) for k, n in enumerate((1, 2, 3, 10, 64, 126, 127))]
+    rows = [(k, " ".join(f"w{(k * 7 + j) % 91}" for j in range(n))) for k, n in enumerate((1, 2, 3, 10, 64, 126, 127, 128, 1000, 70000))]
     df = spark.createDataFrame(rows, "k int, t string").selectExpr("k", "split(t, ' ') as words")
-    got = df.select("k", line_dedup.simhash(df["words"]).alias("sim")).collect()
+    got = df.selectExpr("k", "transform(words, w -> xxhash64(w)) as hs").select("k", line_dedup.simhash(line_dedup.F.col("hs")).alias("sim")).collect()
     hashed = {r.k: r.hs for r in df.selectExpr("k", "transform(words, w -> xxhash64(w)) as hs").collect()}
     for r in got:
         hs = hashed[r.k]
