@@ -121,6 +121,11 @@ app AS (SELECT coalesce(c.version_id, v.version_id) AS version_id, CASE WHEN c.v
 mir AS (SELECT a.*, CASE m.decision WHEN 'not_publishing' THEN true WHEN 'publishing' THEN false ELSE ex0 END AS excluded FROM app a LEFT JOIN master m USING (record_id)),
 """ + flags("mir"),
 )
+SQL["refuse_master_import"] = query(["master"], "SELECT record_id, title, notes, decision, accept_status FROM master")
+SQL["refuse_version_import"] = query(
+    _MV,
+    "SELECT version_id, record_id, title, origin, excluded, id_verified, pages, review_status, format_status, corrected_pdf, active, replaced FROM versions",
+)
 SQL["reset_dependents"] = query(
     ["versions"],
     f"""SELECT version_id, CASE WHEN p THEN NULL ELSE pages END AS pages, CASE WHEN p THEN '' ELSE pdf_hash END AS pdf_hash, CASE WHEN p OR s THEN '' ELSE source_hash END AS source_hash,

@@ -43,58 +43,58 @@ REPEAT_LABEL = f"""array_to_string(list_transform(list_filter(list_filter({NORMS
 
 # category, condition, message, exception key
 ROW_RULES = [
-    ("Unverified Paper ID", f"NOT {VERIFIED}", "'Paper ID has not been manually verified.'", "''"),
+    ("Unverified Paper ID", f"NOT {VERIFIED}", "'Nobody has confirmed this Paper ID yet.'", "''"),
     ("Final Title / Paper Master Title Mismatch", f"NOT {MATCH} AND NOT id_verified",
-     "'Final Submission title does not match the Paper Master title.'", "''"),
+     "'The submitted title and the master title differ.'", "''"),
     ("Missing Corrected PDF", f"{PDF} = 'corrected_missing'",
-     "'A corrected PDF is selected for publication but its file is missing. Restore or replace it; the original PDF will not be used as a fallback.'", "''"),
-    ("Missing PDF", f"{PDF} = 'missing'", "'No PDF file is attached for ' || version_id || ' / ' || rid || '.'", "''"),
-    ("PDF Not Processed", NEEDS, "'PDF page count/hash are not ready. Run Process PDFs before publishing.'", "''"),
+     "'The corrected PDF chosen for release cannot be found. Put it back or choose another; the original is never used instead.'", "''"),
+    ("Missing PDF", f"{PDF} = 'missing'", "'There is no PDF for ' || version_id || ' / ' || rid || '.'", "''"),
+    ("PDF Not Processed", NEEDS, "'Page count and hash of the PDF are not known yet; process it first.'", "''"),
     ("Corrected PDF Not Processed", f"{PDF} = 'corrected' AND {STALE}",
-     "'A corrected PDF exists but page count/hash need to be refreshed by running Process PDFs.'", "''"),
+     "'Page count and hash are older than the corrected PDF; process it again.'", "''"),
     ("Missing Corrected Source", f"{SRC} = 'corrected_missing'",
-     "'A corrected source is selected for publication but its file is missing. Restore or replace it; the original source will not be used as a fallback.'", "''"),
-    ("Missing Source File", f"{SRC} = 'missing'", "'No source file is attached for ' || version_id || ' / ' || rid || '.'", "''"),
+     "'The corrected source chosen for release cannot be found. Put it back or choose another; the original is never used instead.'", "''"),
+    ("Missing Source File", f"{SRC} = 'missing'", "'There is no source for ' || version_id || ' / ' || rid || '.'", "''"),
     ("Source Review Hash Missing", f"{SRC} IN ('corrected', 'original') AND format_status = 'review_ok' AND source_hash = ''",
-     "'Formatting is marked Review OK, but the publication source is not bound to that completed review. Mark formatting Review OK again.'", "''"),
+     "'The formatting review does not say which source it saw; repeat it on the present source.'", "''"),
     ("Source Changed After Review",
      f"{SRC} IN ('corrected', 'original') AND format_status = 'review_ok' AND source_hash <> '' AND source_hash <> source_current_hash",
-     "'The publication source bytes differ from the source approved in Formatting Review. Review the current source and mark formatting Review OK again.'", "''"),
+     "'The source is not the one that passed the formatting review; repeat the review on the present source.'", "''"),
     ("PDF Processing Error", "processing_status = 'error'", "processing_message", "''"),
-    ("Page Limit Exceeded", f"pages > 12 AND NOT {PAGE_OK}", "pages || ' pages exceeds the limit of 12.'", "'page:' || version_id"),
-    ("Below Page Minimum", f"pages <> 0 AND pages < 6 AND NOT {PAGE_OK}", "pages || ' pages is below the minimum of 6.'", "'page:' || version_id"),
+    ("Page Limit Exceeded", f"pages > 12 AND NOT {PAGE_OK}", "pages || ' pages, over the limit of 12.'", "'page:' || version_id"),
+    ("Below Page Minimum", f"pages <> 0 AND pages < 6 AND NOT {PAGE_OK}", "pages || ' pages, under the minimum of 6.'", "'page:' || version_id"),
     ("Allowed Page Exception", f"pages > 12 AND {PAGE_OK}",
-     "pages || ' pages exceeds the limit of 12. Allowed: ' || page_waiver_reason", "'page:' || version_id"),
+     "pages || ' pages, over the limit of 12. Allowed: ' || page_waiver_reason", "'page:' || version_id"),
     ("Allowed Page Exception", f"pages <> 0 AND pages < 6 AND {PAGE_OK}",
-     "pages || ' pages is below the minimum of 6. Allowed: ' || page_waiver_reason", "'page:' || version_id"),
-    ("Missing Extracted Title", "extracted_title = ''", "'No extracted title has been imported or entered.'", "''"),
-    ("Missing Extracted Authors", "extracted_authors = ''", "'No extracted authors have been imported or entered.'", "''"),
+     "pages || ' pages, under the minimum of 6. Allowed: ' || page_waiver_reason", "'page:' || version_id"),
+    ("Missing Extracted Title", "extracted_title = ''", "'There is no extracted title.'", "''"),
+    ("Missing Extracted Authors", "extracted_authors = ''", "'There are no extracted authors.'", "''"),
     ("Author Over Limit", f"{NAMES_N} > 5 AND NOT {NAME_OK}",
-     f"{NAMES_N} || ' authors exceeds the per-paper limit of 5.'", "'author_number:' || version_id"),
+     f"{NAMES_N} || ' authors, over the limit for one record of 5.'", "'author_number:' || version_id"),
     ("Allowed Author Number Exception", f"{NAMES_N} > 5 AND {NAME_OK}",
-     f"{NAMES_N} || ' authors exceeds the per-paper limit of 5. Allowed: ' || name_waiver_reason", "'author_number:' || version_id"),
+     f"{NAMES_N} || ' authors, over the limit for one record of 5. Allowed: ' || name_waiver_reason", "'author_number:' || version_id"),
     ("Duplicate Author In Paper", f"{REPEATS} AND duplicate_review_status <> 'review_ok'",
-     f"'Duplicate author names need review: ' || {REPEAT_LABEL}", "''"),
+     f"'Names that occur twice: ' || {REPEAT_LABEL}", "''"),
     ("Title/Author Red Flag", "review_status = 'red_flag'",
-     "'Title/author extraction is marked Red Flag; fix formatting or re-extract before publication.'", "''"),
+     "'A reviewer raised a red flag on the extracted title or authors; mend the file or extract again.'", "''"),
     ("Unverified Title/Author Extraction",
      "review_status NOT IN ('red_flag', 'review_ok') AND extracted_title <> '' AND extracted_authors <> ''",
-     "'Extracted title/authors have not been manually verified.'", "''"),
-    ("Formatting Not Review OK", "format_status <> 'review_ok'", f"'Formatting status is ' || {REVIEW_LABEL} || '.'", "''"),
-    ("Missing Plagiarism Result", "similarity IS NULL OR single IS NULL", "'Plagiarism % or Single % has not been imported.'", "''"),
+     "'Nobody has confirmed the extracted title and authors yet.'", "''"),
+    ("Formatting Not Review OK", "format_status <> 'review_ok'", f"'The formatting review says ' || {REVIEW_LABEL} || '.'", "''"),
+    ("Missing Plagiarism Result", "similarity IS NULL OR single IS NULL", "'A similarity score is missing.'", "''"),
     ("Stale Plagiarism Report", "report_stale",
-     "'Plagiarism scores changed after the report was attached. Upload the matching report before publication.'", "''"),
+     "'The attached report belongs to earlier scores; attach the present one.'", "''"),
 ]
 for shown, col, limit, st, pre, key in (
     ("Plagiarism %", "similarity", 35, SIM_ST, "similarity_waiver", "plagiarism_percent"),
     ("Single %", "single", 10, SGL_ST, "single_waiver", "single_percent"),
 ):
     ROW_RULES += [
-        (f"{shown} Over Threshold", f"{st} = 'not_allowed'", f"{col} || '% is over the threshold of {limit}%.'", f"'{key}:' || version_id"),
+        (f"{shown} Over Threshold", f"{st} = 'not_allowed'", f"{col} || '%, above the threshold of {limit}%.'", f"'{key}:' || version_id"),
         (f"Stale {shown} Exception", f"{st} = 'stale'",
-         f"'Current {shown} is ' || {col} || '%, but the approved exception was for ' || {pre}_value || '%.'", f"'{key}:' || version_id"),
+         f"'Current {shown} is ' || {col} || '%, while the exception was granted for ' || {pre}_value || '%.'", f"'{key}:' || version_id"),
         (f"Allowed {shown} Exception", f"{st} = 'allowed'",
-         f"{col} || '% is over the threshold of {limit}%. Allowed: ' || {pre}_reason", f"'{key}:' || version_id"),
+         f"{col} || '%, above the threshold of {limit}%. Allowed: ' || {pre}_reason", f"'{key}:' || version_id"),
     ]
 
 _row = "\nUNION ALL ".join(
@@ -107,7 +107,7 @@ FOUND = f"""
 {_MEMBERS.strip()},
 found AS (
 {_row}
-UNION ALL SELECT 'Missing Final Submission', rid, '', 'This Paper Master record has no active final submission.', '' FROM rec WHERE version_id IS NULL
+UNION ALL SELECT 'Missing Final Submission', rid, '', 'No active version belongs to this record.', '' FROM rec WHERE version_id IS NULL
 UNION ALL SELECT 'Publication Decision Integrity Conflict', record_id, '', 'Paper Master is ' || CASE decision WHEN 'not_publishing' THEN 'Not Publishing' ELSE 'Publishing' END
   || ', but Final Submission decision mirrors disagree for ' || {_MISMATCH} || ' version(s). Resolve the publication decision before any publication export.', ''
   FROM record_groups WHERE {_MISMATCH} > 0
@@ -334,7 +334,7 @@ b3 AS (SELECT *,
   CASE WHEN NOT hv THEN 'danger' WHEN NOT has_pdf THEN 'secondary' WHEN processing_status = 'error' THEN 'danger' WHEN pages IS NULL THEN 'warning'
     WHEN pages < 6 THEN CASE page_st WHEN 'allowed' THEN 'info' ELSE 'warning' END
     WHEN pages > 12 THEN CASE page_st WHEN 'allowed' THEN 'info' WHEN 'stale' THEN 'warning' ELSE 'danger' END ELSE 'secondary' END AS page_level,
-  CASE WHEN NOT hv THEN 'No final' WHEN m_decision = 'decision_required' THEN 'Decision required' WHEN m_decision IS NULL AND excluded THEN 'Excluded from publication'
+  CASE WHEN n_active > 1 THEN 'Multiple active finals' WHEN NOT hv THEN 'No final' WHEN m_decision = 'decision_required' THEN 'Decision required' WHEN m_decision IS NULL AND excluded THEN 'Excluded from publication'
     WHEN m_decision IS NULL THEN 'Needs decision' WHEN id_verified AND NOT mt THEN 'Verified, title differs' WHEN vf AND id_verified THEN 'Verified'
     WHEN vf THEN 'Auto-verified by title' WHEN verification_status = 'title_mismatch' THEN 'Paper ID title mismatch' ELSE 'Paper ID needs review' END AS identity_label,
   CASE WHEN NOT hv THEN '' WHEN corrected_source = '' AND source_file = '' THEN 'No source' WHEN format_status = 'review_ok' AND source_hash = '' THEN 'Review hash missing'
@@ -350,7 +350,7 @@ b3 AS (SELECT *,
     ELSE concat_ws('; ', CASE WHEN {norm('m_title')} <> {norm('extracted_title')} THEN 'Master title differs' END,
       CASE WHEN {norm('title')} <> {norm('extracted_title')} THEN 'Final title differs' END) END AS comparison FROM b2),
 b4 AS (SELECT *,
-  CASE WHEN identity_label IN ('No final', 'Excluded from publication') THEN 'secondary' WHEN identity_label IN ('Decision required', 'Needs decision', 'Paper ID needs review') THEN 'danger'
+  CASE WHEN identity_label IN ('No final', 'Excluded from publication') THEN 'secondary' WHEN identity_label IN ('Multiple active finals', 'Decision required', 'Needs decision', 'Paper ID needs review') THEN 'danger'
     WHEN identity_label IN ('Verified, title differs', 'Paper ID title mismatch') THEN 'warning' ELSE 'success' END AS identity_level,
   CASE WHEN source_label = '' THEN 'secondary' WHEN source_label IN ('No source', 'Review hash missing') THEN 'danger'
     WHEN source_label = 'Corrected' AND format_status = 'review_ok' THEN 'success' ELSE 'secondary' END AS source_level,

@@ -70,7 +70,7 @@ idt AS (SELECT *, NOT ex AND (id_verified OR (status = 'verified' AND same)) AS
 SQL["identity_status"] = query(
     ["master", "versions"],
     """SELECT version_id, record_id, status, CASE WHEN NOT ex THEN sc END AS score,
-      CASE WHEN ex THEN 'Excluded from publication.' WHEN mdd IS NULL THEN 'Paper ID not found and no title match is available.'
+      CASE WHEN ex THEN 'Excluded from publication.' WHEN mdd IS NULL THEN 'Paper ID not found; titles were not searched.'
         WHEN sc IS NULL AND id_verified THEN 'Paper ID manually verified; title comparison is incomplete because a title is missing.'
         WHEN sc IS NULL THEN 'Missing final title or Paper Master title.'
         WHEN same AND auto_verify_blocked THEN 'Final Title is identical to Paper Master title for ' || record_id || ', but this record was manually moved back to unverified.'

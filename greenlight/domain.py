@@ -63,7 +63,7 @@ def version_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus", master_title().alias("mt")
     )
-    li = spread(table(spark, sf_dir, "lineitem")).join(o, "l_orderkey", "left")
+    li = table(spark, sf_dir, "lineitem").join(o, "l_orderkey", "left")
     # shared parts first, so that the wide projection below refers to columns, not to copies
     li = li.select(
         F.round(F.col("l_discount") * 100).cast("int").alias("d"),
@@ -244,12 +244,6 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a table that comes in fewer files than there are cores; leave others alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def write_versions(spark: SparkSession, sf_dir: str, settings: Settings, path: str) -> None:
     claims = version_claims(spark, sf_dir)
     done = versions.recompute(claims, settings.active_rule)

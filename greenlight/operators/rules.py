@@ -83,12 +83,12 @@ def identity_rules(s: Settings) -> list[Rule]:
         Rule(
             "Unverified Paper ID",
             ~effectively_verified(),
-            _or("verification_message", "Paper ID has not been manually verified."),
+            _or("verification_message", "Nobody has confirmed this Paper ID yet."),
         ),
         Rule(
             "Final Title / Paper Master Title Mismatch",
             ~titles_match_master() & ~F.col("id_verified"),
-            _or("verification_message", "Final Submission title does not match the Paper Master title."),
+            _or("verification_message", "The submitted title and the master title differ."),
         ),
     ]
 
@@ -104,39 +104,34 @@ def file_rules(s: Settings) -> list[Rule]:
         Rule(
             "Missing Corrected PDF",
             pdf == "corrected_missing",
-            F.lit("A corrected PDF is selected for publication but its file is missing. Restore or "
-                  "replace it; the original PDF will not be used as a fallback."),
+            F.lit("The corrected PDF chosen for release cannot be found. Put it back or choose another; the original is never used instead."),
         ),
-        Rule("Missing PDF", pdf == "missing", _say("No PDF file is attached for ", label, ".")),
+        Rule("Missing PDF", pdf == "missing", _say("There is no PDF for ", label, ".")),
         Rule(
             "PDF Not Processed",
             files.needs_processing(),
-            F.lit("PDF page count/hash are not ready. Run Process PDFs before publishing."),
+            F.lit("Page count and hash of the PDF are not known yet; process it first."),
         ),
         Rule(
             "Corrected PDF Not Processed",
             (pdf == "corrected") & files.content_stale(),
-            F.lit("A corrected PDF exists but page count/hash need to be refreshed by running "
-                  "Process PDFs."),
+            F.lit("Page count and hash are older than the corrected PDF; process it again."),
         ),
         Rule(
             "Missing Corrected Source",
             source == "corrected_missing",
-            F.lit("A corrected source is selected for publication but its file is missing. Restore or "
-                  "replace it; the original source will not be used as a fallback."),
+            F.lit("The corrected source chosen for release cannot be found. Put it back or choose another; the original is never used instead."),
         ),
-        Rule("Missing Source File", source == "missing", _say("No source file is attached for ", label, ".")),
+        Rule("Missing Source File", source == "missing", _say("There is no source for ", label, ".")),
         Rule(
             "Source Review Hash Missing",
             present & reviewed & ~bound,
-            F.lit("Formatting is marked Review OK, but the publication source is not bound to that "
-                  "completed review. Mark formatting Review OK again."),
+            F.lit("The formatting review does not say which source it saw; repeat it on the present source."),
         ),
         Rule(
             "Source Changed After Review",
             present & reviewed & bound & (F.col("source_current_hash") != F.col("source_hash")),
-            F.lit("The publication source bytes differ from the source approved in Formatting Review. "
-                  "Review the current source and mark formatting Review OK again."),
+            F.lit("The source is not the one that passed the formatting review; repeat the review on the present source."),
         ),
         Rule(
             "PDF Processing Error",
@@ -151,8 +146,8 @@ def page_rules(s: Settings) -> list[Rule]:
     pages = F.col("pages")
     counted = pages.isNotNull() & (pages != 0)  # zero pages is "no pages" here
     valid, key = exceptions.waiver_valid("page"), exceptions.exception_key("page")
-    above = _say(pages.cast("string"), " pages exceeds the limit of ", str(s.page_limit), ".")
-    below = _say(pages.cast("string"), " pages is below the minimum of ", str(s.page_minimum), ".")
+    above = _say(pages.cast("string"), " pages, over the limit of ", str(s.page_limit), ".")
+    below = _say(pages.cast("string"), " pages, under the minimum of ", str(s.page_minimum), ".")
     reason = F.col("page_waiver_reason")
     over, under = counted & (pages > s.page_limit), counted & (pages < s.page_minimum)
     return [
@@ -168,12 +163,12 @@ def extraction_rules(s: Settings) -> list[Rule]:
     n = F.col("x_count")
     valid, key = exceptions.waiver_valid("author_number"), exceptions.exception_key("author_number")
     over = n > s.record_name_limit
-    text = _say(n.cast("string"), " authors exceeds the per-paper limit of ", str(s.record_name_limit), ".")
+    text = _say(n.cast("string"), " authors, over the limit for one record of ", str(s.record_name_limit), ".")
     title, people = filled("extracted_title"), filled("extracted_authors")
     flagged = F.col("review_status") == "red_flag"
     return [
-        Rule("Missing Extracted Title", ~title, F.lit("No extracted title has been imported or entered.")),
-        Rule("Missing Extracted Authors", ~people, F.lit("No extracted authors have been imported or entered.")),
+        Rule("Missing Extracted Title", ~title, F.lit("There is no extracted title.")),
+        Rule("Missing Extracted Authors", ~people, F.lit("There are no extracted authors.")),
         Rule("Author Over Limit", over & ~valid, text, key),
         Rule(
             "Allowed Author Number Exception", over & valid,
@@ -182,23 +177,22 @@ def extraction_rules(s: Settings) -> list[Rule]:
         Rule(
             "Duplicate Author In Paper",
             unresolved_repeats(),
-            _say("Duplicate author names need review: ", repeated_label()),
+            _say("Names that occur twice: ", repeated_label()),
         ),
         Rule(
             "Title/Author Red Flag",
             flagged,
-            F.lit("Title/author extraction is marked Red Flag; fix formatting or re-extract before "
-                  "publication."),
+            F.lit("A reviewer raised a red flag on the extracted title or authors; mend the file or extract again."),
         ),
         Rule(
             "Unverified Title/Author Extraction",
             ~flagged & title & people & (F.col("review_status") != "review_ok"),
-            F.lit("Extracted title/authors have not been manually verified."),
+            F.lit("Nobody has confirmed the extracted title and authors yet."),
         ),
         Rule(
             "Formatting Not Review OK",
             F.col("format_status") != "review_ok",
-            _say("Formatting status is ", catalog.label("review", F.col("format_status")), "."),
+            _say("The formatting review says ", catalog.label("review", F.col("format_status")), "."),
         ),
     ]
 
@@ -207,12 +201,11 @@ def extraction_rules(s: Settings) -> list[Rule]:
 def score_rules(s: Settings) -> list[Rule]:
     rules = [
         Rule("Missing Plagiarism Result", missing_score(),
-             F.lit("Plagiarism % or Single % has not been imported.")),
+             F.lit("A similarity score is missing.")),
         Rule(
             "Stale Plagiarism Report",
             F.col("report_stale"),
-            F.lit("Plagiarism scores changed after the report was attached. Upload the matching report "
-                  "before publication."),
+            F.lit("The attached report belongs to earlier scores; attach the present one."),
         ),
     ]
     for kind, shown, column, limit in (
@@ -221,9 +214,9 @@ def score_rules(s: Settings) -> list[Rule]:
     ):
         status, key = exceptions.exception_status(kind, s), exceptions.exception_key(kind)
         prefix = exceptions.TYPES[kind][1]
-        over = _say(pct(column), "% is over the threshold of ", f"{round(limit)}%.")
+        over = _say(pct(column), "%, above the threshold of ", f"{round(limit)}%.")
         changed = _say(
-            f"Current {shown} is ", pct(column), "%, but the approved exception was for ",
+            f"Current {shown} is ", pct(column), "%, while the exception was granted for ",
             pct(f"{prefix}_value"), "%.",
         )
         rules += [
@@ -244,7 +237,7 @@ def row_findings(records: DataFrame, s: Settings, include_allowed: bool = False)
         F.struct(
             F.lit("Missing Final Submission").alias("category"),
             F.lit("").alias("found_version"),
-            F.lit("This Paper Master record has no active final submission.").alias("message"),
+            F.lit("No active version belongs to this record.").alias("message"),
             F.lit("").alias("exception_key"),
         ),
     )

@@ -59,6 +59,7 @@ def identity_status() -> Column:
     decision = F.col("m_decision")
     manual = F.col("id_verified")
     return _status(
+        (F.coalesce("n_active", F.lit(0)) > 1, ("Multiple active finals", "danger")),
         (~has_version(), ("No final", "secondary")),
         (decision == EXCLUDED, (shown["decision"]["excluded"], "secondary")),
         (decision == UNDECIDED, (shown["decision"]["decision_required"], "danger")),

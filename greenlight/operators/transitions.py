@@ -498,9 +498,19 @@ def apply_editor_uploads(v: DataFrame, m: DataFrame, uploads: DataFrame, rule: s
     return versions.recompute(v.unionByName(mirrored, allowMissingColumns=True), rule)
 
 
+def is_refused(preview: DataFrame) -> DataFrame:
+    """One row: whether a preview has an error."""
+    return preview.agg(F.coalesce(F.max(F.col("status") == "error"), F.lit(False)).alias("refused"))
+
+
+def accepted(preview: DataFrame) -> DataFrame:
+    """The new and changed rows of a preview; none if any of its rows is an error, which refuses the whole file."""
+    return preview.filter("status IN ('new', 'changed')").filter(~is_refused(preview).scalar())
+
+
 def apply_master(m: DataFrame, preview: DataFrame, keep_notes: bool = True) -> DataFrame:
-    """Apply ``changes.diff_master``: new rows are inserted, changed ones updated."""
-    rows = preview.filter("status IN ('new', 'changed')")
+    """Apply ``changes.diff_master``: new rows are inserted, changed ones updated; a preview with errors changes nothing."""
+    rows = accepted(preview)
     old = m.select("record_id", F.col("notes").alias("_old_notes"), F.col("decision").alias("_d"))
     joined = rows.join(old, "record_id", "left")
     known = F.col("_d").isNotNull()
@@ -514,9 +524,10 @@ def apply_master(m: DataFrame, preview: DataFrame, keep_notes: bool = True) -> D
 
 
 def apply_versions(v: DataFrame, m: DataFrame, preview: DataFrame, rule: str = "final_id") -> DataFrame:
-    """Apply ``changes.diff_versions``: values, resets, mirrored decision, then active and replaced."""
+    """Apply ``changes.diff_versions``: values, resets, mirrored decision, then active and replaced. A preview with
+    errors changes nothing."""
     flags = ("id_review_reset", "title_match_reset", "pdf_reset", "source_reset", "corrected_archived", "authors_changed")
-    rows = preview.filter("status IN ('new', 'changed') AND NOT protected").select(
+    rows = accepted(preview).filter("NOT protected").select(
         "version_id", F.lit(True).alias("_hit"), (F.col("status") == "new").alias("_new"),
         *[F.col(c).alias(f"_{c}") for c in ("entered_id", "record_id", "title", "authors", "upload_date")], *flags,
     )
@@ -544,4 +555,6 @@ def apply_versions(v: DataFrame, m: DataFrame, preview: DataFrame, rule: str = "
             "corrected": F.col("corrected_archived"),
         },
     ).select(*v.columns)
-    return versions.recompute(mirror_decision(reset, m), rule)
+    applied = versions.recompute(mirror_decision(reset, m), rule)
+    refused = is_refused(preview).scalar()
+    return applied.filter(~refused).unionByName(v.filter(refused), allowMissingColumns=True)

@@ -182,6 +182,8 @@ def page(df: DataFrame, order: list[Column], number: int, size: int = 25, key: s
     With ``key`` only the sort keys travel through the sort; the wide rows are then
     fetched for the page by a semi join.
     """
+    if size not in PAGE_SIZES:
+        raise ValueError(f"a page has one of {PAGE_SIZES} rows")
     skip = (max(1, number) - 1) * size
     if key is None:
         return df.orderBy(*order).offset(skip).limit(size)

@@ -103,15 +103,39 @@ def duplicate_keys_in_file(d):
     return duplicate_keys(rows, ["version_id"]).filter("row_no != first_row")
 
 
+def without_repeats(rows: DataFrame, key: str) -> DataFrame:
+    """An import in which every id comes once."""
+    first = rows.groupBy(F.trim(key).alias("_key")).agg(F.min("row_no").alias("row_no"))
+    return rows.join(first.select("row_no"), "row_no", "left_semi")
+
+
+def _apply_master(d, rows):
+    preview = changes.diff_master(rows, d.master, d.versions)
+    return transitions.apply_master(d.master, preview).select("record_id", "title", "notes", "decision", "accept_status")
+
+
 @query
 def apply_master_import(d):
-    preview = changes.diff_master(master_import(d), d.master, d.versions)
-    return transitions.apply_master(d.master, preview).select("record_id", "title", "notes", "decision", "accept_status")
+    return _apply_master(d, without_repeats(master_import(d), "record_id"))
+
+
+@query
+def refuse_master_import(d):
+    return _apply_master(d, master_import(d))
 
 
 @query
 def apply_version_import(d):
-    preview = changes.diff_versions(version_import(d), d.versions, d.master, version_uploads(d))
+    return _apply_versions(d, without_repeats(version_import(d), "version_id"))
+
+
+@query
+def refuse_version_import(d):
+    return _apply_versions(d, version_import(d))
+
+
+def _apply_versions(d, rows):
+    preview = changes.diff_versions(rows, d.versions, d.master, version_uploads(d))
     out = transitions.apply_versions(d.versions, d.master, preview)
     return out.select(
         "version_id", "record_id", "title", "origin", "excluded", "id_verified", "pages", "review_status",

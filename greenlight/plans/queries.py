@@ -402,7 +402,7 @@ def best_title_match(d):
     others = docs.join(labels, "doc_id", "left_anti").select(
         F.col("doc_id").cast("string").alias("version_id"), title.alias("title")
     )
-    return resolve.best_title_match(others, official)
+    return resolve.best_title_match(others, official, threshold=0.95)
 
 
 @query

@@ -33,12 +33,14 @@ def local_session(cpus: int | str = "*", app: str = "greenlight", partitions: in
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints, streams and written tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, one machine) a temporary folder is taken.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset a temporary folder is
+    taken on one machine (tests), and a cluster is refused: its machines share no such folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     made = tempfile.mkdtemp(prefix="spark-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made

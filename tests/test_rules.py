@@ -143,5 +143,5 @@ def test_record_detail(spark):
     got = {r["record_id"]: r for r in reports.record_detail(m, v, waivers(spark), S).collect()}
     assert got["P1"]["readiness"] == "Ready" and got["P1"]["comparison"] == "All titles match"
     assert got["P2"]["readiness"] == "Not ready"
-    assert got["P2"]["blocking"] == "Page Limit Exceeded: 20 pages exceeds the limit of 12."
+    assert got["P2"]["blocking"] == "Page Limit Exceeded: 20 pages, over the limit of 12."
     assert got["P2"]["exceptions"] == "Page count: Not allowed - current 20 - 6-12 pages"
