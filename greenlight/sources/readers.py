@@ -17,11 +17,11 @@ SCANNED = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "latin1": "ISO-8859-1"}
 
 
 def detect_encodings(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
-    """(path, encoding): the first encoding that decodes the whole file; one row per file."""
+    """(path, encoding, header): the first encoding that decodes the whole file, and its first line; one row per file."""
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
+            found, headers = [], []
             for content in batch["content"]:
                 chosen = encodings[-1]
                 for name in encodings:
@@ -34,10 +34,11 @@ def detect_encodings(spark: SparkSession, path: str, encodings: Sequence[str] =
                     chosen = name
                     break
                 found.append(chosen)
-            yield pd.DataFrame({"path": batch["path"], "encoding": found})
+                headers.append(content.split(b"\n", 1)[0].rstrip(b"\r").decode(chosen, "replace"))
+            yield pd.DataFrame({"path": batch["path"], "encoding": found, "header": headers})
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(probe, "path string, encoding string")
+    return files.mapInPandas(probe, "path string, encoding string, header string")
 
 
 def normalize_columns(df: DataFrame) -> DataFrame:
@@ -71,17 +72,17 @@ def _read_group(spark: SparkSession, paths: list[str], encoding: str) -> DataFra
 def read_delimited(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
     """CSV files of any of the encodings, missing values as ''.
 
-    The files are probed in parallel; the driver sees one row per encoding group, and each
-    group is read by one ordinary CSV scan.
+    The files are probed in parallel; the driver sees one row per encoding and header line, and
+    each such group is read by one ordinary CSV scan, since a scan takes one header for all its files.
     """
     groups = (
         detect_encodings(spark, path, encodings)
-        .groupBy("encoding")
+        .groupBy("encoding", "header")
         .agg(F.collect_list("path").alias("paths"))  # file names, not data
         .collect()
     )
     out = None
-    for group in sorted(groups, key=lambda g: g["encoding"]):
+    for group in sorted(groups, key=lambda g: (g["encoding"], g["header"])):
         part = _read_group(spark, group["paths"], group["encoding"])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:

@@ -21,6 +21,14 @@ def test_delimited_encodings(spark, tmp_path):
         readers.alias_columns(df, readers.MASTER_ALIASES, required=("nope",))
 
 
+def test_delimited_header_orders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("paper_id,title\nP1,One\n")
+    (tmp_path / "b.csv").write_text("title,paper_id\nTwo,P2\n")
+    (tmp_path / "c.csv").write_bytes("title,paper_id\r\nÉté,P3\r\n".encode("cp1252"))
+    rows = readers.read_delimited(spark, str(tmp_path)).collect()
+    assert sorted((r.paper_id, r.title) for r in rows) == [("P1", "One"), ("P2", "Two"), ("P3", "Été")]
+
+
 def test_log_round_trip_with_bad_line(spark, tmp_path):
     lines = [
         json.dumps({"timestamp": "2024-01-01T00:00:00+00:00", "event_id": "1", "action": "verify_paper_id", "status": "success", "changed_fields": ["title"],
