@@ -203,7 +203,7 @@ def _documents(words: int, percent: int, shared):
                 ends = np.searchsorted(rows[order], np.arange(len(n) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(first, len(n)), batch.column("text_key").slice(first, len(n)), pa.array(n), _binary(ids, n > 0), pa.array(ids[:, 0].view(np.int64), mask=n == 0),
-                    pa.array(rare / np.maximum(1, n)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[order].view(np.int64))),
+                    pa.array(rare), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[order].view(np.int64))),
                 ], ["doc_id", "text_key", "n", "sid", "handle", "rare", "keys"])
 
     return describe
@@ -344,8 +344,15 @@ def _labelled(members: DataFrame, linked: DataFrame) -> DataFrame:
     return cut_lineage(found.join(several, "key", "left_semi"))
 
 
+def _possible(a: str, b: str, percent: int):
+    """Whether two sets that meet under a combined key may be similar. If they share a rare token they meet under that
+    as well and are decided there, so here each set's rare tokens count as missing from the other."""
+    most = F.least(F.col(f"{a}n") - F.col(f"{a}rare"), F.col(f"{b}n") - F.col(f"{b}rare"))
+    return F.col("single") | (100 * most >= percent * (F.col(f"{a}n") + F.col(f"{b}n") - most))
+
+
 def _crowded(members: DataFrame, linked: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Comparisons that decide all links among the members (key, handle, n, rare) of keys with many sets."""
+    """Comparisons that decide all links among the members (key, single, handle, n, rare) of keys with many sets."""
     members = _labelled(members, linked)
     done = None
     left = members
@@ -353,8 +360,10 @@ def _crowded(members: DataFrame, linked: DataFrame, sets: DataFrame, percent: in
         if left.isEmpty():
             return done
         # every member is held against the member of fewest rare tokens
-        pivot = left.groupBy("key").agg(F.min(F.struct("rare", "handle", "part")).alias("p"))
-        stars = left.join(pivot, "key").where("part <> p.part")
+        share = (F.col("rare") / F.col("n")).alias("share")
+        pivot = left.groupBy("key").agg(F.min(F.struct(share, "handle", "part", "n", "rare")).alias("p"))
+        stars = left.join(pivot.select("key", "p", F.col("p.n").alias("p_n"), F.col("p.rare").alias("p_rare")), "key")
+        stars = stars.where((F.col("part") != F.col("p.part")) & _possible("", "p_", percent))
         compared = _compare(stars.select(F.col("p.handle").alias("a"), F.col("handle").alias("b")), sets, percent)
         linked = linked.unionByName(compared.where("linked").select("a", "b", "a_sid", "b_sid"))
         done = compared if done is None else done.unionByName(compared)
@@ -371,12 +380,12 @@ def _crowded(members: DataFrame, linked: DataFrame, sets: DataFrame, percent: in
     placed = members.join(first, "key").join(far, ["pivot", "handle"], "left").withColumn("far", F.when(F.col("handle") == F.col("pivot"), 0.0).otherwise(F.col("far")))
     main = placed.where("handle = pivot").select("key", F.col("part").alias("main"))
     placed = cut_lineage(placed.join(main, "key"))
-    rest = placed.where("part <> main").select("key", F.col("handle").alias("a"), F.col("part").alias("a_part"), F.col("far").alias("a_far"), F.col("n").alias("a_n"))
+    rest = placed.where("part <> main").select("key", F.col("handle").alias("a"), F.col("part").alias("a_part"), F.col("far").alias("a_far"), F.col("n").alias("a_n"), F.col("rare").alias("a_rare"))
     room = 1 - percent / 100 + 1e-9
     undecided = rest.join(placed, "key").where(
         (F.col("part") != F.col("a_part")) & (F.col("part").eqNullSafe(F.col("main")) | (F.col("a") < F.col("handle")))
         & (F.coalesce(F.abs(F.col("far") - F.col("a_far")), F.lit(0.0)) <= room)
-        & (100 * F.least("n", "a_n") >= percent * F.greatest("n", "a_n"))
+        & (100 * F.least("n", "a_n") >= percent * F.greatest("n", "a_n")) & _possible("", "a_", percent)
     )
     last = _compare(undecided.select("a", F.col("handle").alias("b")), sets, percent)
     return last if done is None else done.unionByName(last)
@@ -394,7 +403,7 @@ def links(docs: DataFrame, words: int, percent: int, least_frequent: int = LEAST
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(frequent_table(texts.select("text"), words, power, least_frequent))
     release(docs.sparkSession)
-    described = cut_lineage(texts.mapInArrow(_documents(words, percent, shared), "doc_id long, text_key long, n long, sid binary, handle long, rare double, keys array<long>"))
+    described = cut_lineage(texts.mapInArrow(_documents(words, percent, shared), "doc_id long, text_key long, n long, sid binary, handle long, rare long, keys array<long>"))
     blobs = texts.select("text").mapInArrow(_singles(words, percent, power, shared), "share long, keys binary, handles binary, sizes binary")
     met = cut_lineage(blobs.groupBy("share").applyInArrow(_meetings(percent, small_key), "key long, a long, b long").distinct())
     del blobs
@@ -404,10 +413,11 @@ def links(docs: DataFrame, words: int, percent: int, least_frequent: int = LEAST
     compared = _compare(pairs, sets_of(pairs.select(F.col("a").alias("handle")).union(pairs.select("b")), only, words), percent)
     linked = compared.where("linked").select("a", "b", "a_sid", "b_sid")
     sizes = described.where("handle is not null").groupBy("handle").agg(F.max("n").alias("n"), F.min("rare").alias("rare"))
-    combined = described.where(F.size("keys") > 0).select("handle", F.explode("keys").alias("key"))
-    crowded = combined.unionByName(met.where("key is not null").select(F.col("a").alias("handle"), "key")).distinct()
-    shared_keys = crowded.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    crowded = cut_lineage(crowded.join(shared_keys, "key", "left_semi").join(sizes, "handle"))
+    combined = described.where(F.size("keys") > 0).select("handle", F.explode("keys").alias("key"), F.lit(False).alias("single"))
+    crowded = combined.unionByName(met.where("key is not null").select(F.col("a").alias("handle"), "key", F.lit(True).alias("single")))
+    crowded = crowded.groupBy("key", "handle").agg(F.max("single").alias("single"))
+    shared_keys = crowded.groupBy("key").agg(F.count("*").alias("k"), F.max("single").alias("single")).where("k > 1").select("key", "single")
+    crowded = cut_lineage(crowded.drop("single").join(shared_keys, "key").join(sizes, "handle"))
     if crowded.isEmpty():
         decided = None
     else:
