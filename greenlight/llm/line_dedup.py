@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from greenlight.llm.components import components
+from greenlight.llm.space import release
 from greenlight.session import cut_lineage
 
 MIN_WORDS = 3
@@ -148,7 +149,9 @@ def candidates(distinct: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
     found = seen.select("key", "k", "h", "sim", "first", met.alias("met")).where((F.size("met") > 0) | (F.col("k") > NEIGHBOURS + 1))
     found = cut_lineage(found)
     pairs = found.select(F.explode("met").alias("x"), "h").select(F.col("x.h").alias("a"), F.col("h").alias("b")).distinct()
+    pairs = cut_lineage(pairs)
     crowded = found.where(F.col("k") > NEIGHBOURS + 1).select("key").distinct()
+    release(distinct.sparkSession)
     return pairs, keyed.join(crowded, "key", "left_semi")
 
 
@@ -175,7 +178,6 @@ def verify(pairs: DataFrame, first: DataFrame, docs: DataFrame, similarity: floa
     words of the longer line.
 
     The texts are read from the first occurrences of the lines (h, doc_id, text_key, pos)."""
-    pairs = cut_lineage(pairs)
     asked = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
     wanted = cut_lineage(first.join(asked, "h", "left_semi"))
     rows = docs.where(_member(F.xxhash64("text"), wanted.select(F.col("text_key").alias("key"))))
@@ -198,6 +200,7 @@ def groups(docs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     first = distinct.select("h", "at.*")
     pairs, crowded = candidates(distinct.select("h", "sim"), distinct.count())
     linked = verify(pairs, first, docs, similarity)
+    release(docs.sparkSession)
     parts = components(linked)
     crowded = crowded.join(parts.select(F.col("node").alias("h"), "component"), "h", "left").withColumn("part", F.coalesce("component", "h")).drop("component")
     several = crowded.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min_by("part", "h").alias("main")).where("low <> high").select("key", "main")
@@ -206,7 +209,7 @@ def groups(docs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
         rest = crowded.where("part <> main").select("key", F.col("h").alias("a"), F.col("sim").alias("a_sim"), F.col("part").alias("a_part"))
         once = (F.col("part") == F.col("main")) | (F.col("a") < F.col("h"))
         more = rest.join(crowded, "key").where((F.col("part") != F.col("a_part")) & once & near(F.col("sim"), F.col("a_sim")))
-        more = more.select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct()
+        more = cut_lineage(more.select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct())
         parts = components(linked.unionByName(verify(more, first, docs, similarity)))
     return parts.select(F.col("node").alias("h"), "component")
 
