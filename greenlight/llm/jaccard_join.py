@@ -358,7 +358,7 @@ def _crowded(members: DataFrame, linked: DataFrame, sets: DataFrame, percent: in
     left = members
     for k in range(STAR_ROUNDS):
         if left.isEmpty():
-            return done
+            break
         # every member is held against the member of fewest rare tokens
         share = (F.col("rare") / F.col("n")).alias("share")
         pivot = left.groupBy("key").agg(F.min(F.struct(share, "handle", "part", "n", "rare")).alias("p"))
@@ -375,7 +375,10 @@ def _crowded(members: DataFrame, linked: DataFrame, sets: DataFrame, percent: in
         reached = members.join(pivot, ["key", "handle"], "left_semi").select("key", F.col("part").alias("_reached")).distinct()
         again = left.drop("part").join(members.select("key", "handle", "part"), ["key", "handle"])
         left = cut_lineage(again.join(reached, (again["key"] == reached["key"]) & (again["part"] == reached["_reached"]), "left_anti"))
-    # what is left of several classes under one key: pairs that the distances to the key's first pivot don't rule out
+    if done is None:
+        return None
+    # keys whose members are still of several classes, each in that of a pivot or not: pairs that the distances to the
+    # key's first pivot don't rule out
     far = done.select(F.col("a").alias("pivot"), F.col("b").alias("handle"), "far").unionByName(done.select(F.col("b").alias("pivot"), F.col("a").alias("handle"), "far")).dropDuplicates(["pivot", "handle"])
     placed = members.join(first, "key").join(far, ["pivot", "handle"], "left").withColumn("far", F.when(F.col("handle") == F.col("pivot"), 0.0).otherwise(F.col("far")))
     main = placed.where("handle = pivot").select("key", F.col("part").alias("main"))
@@ -388,7 +391,7 @@ def _crowded(members: DataFrame, linked: DataFrame, sets: DataFrame, percent: in
         & (100 * F.least("n", "a_n") >= percent * F.greatest("n", "a_n")) & _possible("", "a_", percent)
     )
     last = _compare(undecided.select("a", F.col("handle").alias("b")), sets, percent)
-    return last if done is None else done.unionByName(last)
+    return done.unionByName(last)
 
 
 def links(docs: DataFrame, words: int, percent: int, least_frequent: int = LEAST_FREQUENT, small_key: int = SMALL_KEY) -> tuple[DataFrame, DataFrame]:

@@ -82,5 +82,20 @@ def test_five_words_at_eighty(spark):
     assert sum(not (r.text or "").split() for r in kept) == sum(not (t or "").split() for _, t in rows)
 
 
+def test_links_between_two_classes_under_one_key(spark):
+    """Chains of three sets of frequent tokens only: a key's first pivot may reach one, and leave the link of the other two."""
+    r = random.Random(5)
+    rows = []
+    for k in range(60):
+        body = [f"b{k}x{j}" for j in range(13)]
+        rows += [" ".join(t) for t in ([f"s{k}", *body], body, [*body, f"e{k}"])]
+    rows = [(i, t) for i, t in enumerate(rows * 20)]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in jaccard_join.classes(docs, 4, 85).collect())
+    want = {i: i // 3 * 3 for i in range(180)}
+    assert got == sorted((str(i), 10 if i % 3 == 1 else 11, str(want[i % 180])) for i, _ in rows)
+
+
 def test_empty(spark):
     assert jaccard_join.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
