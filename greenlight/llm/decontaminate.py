@@ -4,8 +4,9 @@ Texts are read as tokens, runs of letters or of digits. A template replaces numb
 after a number by another, and capitalised words, which may be names, by a third; a second, lower-case template
 keeps the words and replaces numbers and units only. Windows of templates are hashed, the documents' windows
 pass a bit table of the benchmark's, and what passes meets the benchmark in an exact hash join. Windows that
-meet along one diagonal of a document and an item must agree on the slots: what stood in the benchmark in a slot
-is always replaced by the same thing. An item leaks if windows that agree cover ``cover`` of its own.
+meet along one diagonal of a document and an item count as they are if their slots hold what the item's do; others
+must agree on the slots: what stood in the benchmark in a slot is always replaced by the same thing, and windows with
+a slot that is replaced in two ways don't count. An item leaks if windows that count cover ``cover`` of its own.
 
 A window counts if at least ``literals`` of its tokens are words. An item shorter than a window is one window of
 its own length; one with fewer than three words in it can't be looked for.
@@ -192,11 +193,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals:
     theirs = own.select("item_id", "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     met = found.join(theirs, "hash").withColumn("diagonal", F.col("at") - F.col("item_at"))
     filled = F.filter(F.arrays_zip("item_slots", "slots"), lambda x: x["item_slots"] != 0)
-    diagonal = met.groupBy("doc_id", "text_key", "item_id", "diagonal", "cased").agg(
-        F.array_distinct(F.flatten(F.collect_set(filled))).alias("pairs"), F.collect_set("item_at").alias("places")
-    )  # an item's length bounds both
-    agree = F.size(F.array_distinct(F.transform("pairs", lambda x: x["item_slots"]))) == F.size("pairs")
-    covered = diagonal.where(agree).groupBy("doc_id", "text_key", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("matched"))
+    diagonal = met.groupBy("doc_id", "text_key", "item_id", "diagonal").agg(F.collect_set(F.struct("item_at", filled.alias("filled"))).alias("met"))  # an item's length bounds it
+    pairs = F.array_distinct(F.flatten(F.transform("met", lambda x: x["filled"])))
+    diagonal = diagonal.withColumn("values", F.transform(pairs, lambda x: x["item_slots"]))
+    # a value that stands in two pairs is replaced in two ways
+    diagonal = diagonal.withColumn("torn", F.filter("values", lambda x, k: F.array_position("values", x) != k + 1))
+    exact = lambda x: F.forall(x["filled"], lambda y: y["item_slots"] == y["slots"])
+    agrees = lambda x: ~F.arrays_overlap(F.transform(x["filled"], lambda y: y["item_slots"]), F.col("torn"))
+    places = F.transform(F.filter("met", lambda x: exact(x) | agrees(x)), lambda x: x["item_at"])
+    covered = diagonal.select("doc_id", "text_key", "item_id", places.alias("places")).where(F.size("places") > 0)
+    covered = covered.groupBy("doc_id", "text_key", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("matched"))
     return (
         covered.join(whole, "item_id").where(F.col("matched") >= F.greatest(F.lit(1.0), cover * F.col("windows")))
         .select("doc_id", "text_key", "item_id", F.col("windows").cast("long").alias("windows"), F.least("matched", "windows").cast("long").alias("matched"))

@@ -47,6 +47,14 @@ def test_filter_keeps_clean_rows(spark):
     assert sorted(str(r.source) for r in kept.collect()) == ["None", "w", "y"]
 
 
+def test_one_number_replaced_in_two_ways(spark):
+    words = [f"{a}{b}" for a in ("alpha", "beta", "gamma", "delta", "kappa") for b in "abcdefghij"]
+    words[10] = words[14] = "12"
+    copy = list(words)
+    copy[14] = "13"
+    assert found(spark, [(1, " ".join(copy)), (2, PAD)], [(1, " ".join(words))]) == [("1", 1)]
+
+
 def test_empty(spark):
     assert found(spark, []) == []
     assert found(spark, [(1, PAD)], []) == []
