@@ -55,6 +55,16 @@ def test_one_number_replaced_in_two_ways(spark):
     assert found(spark, [(1, " ".join(copy)), (2, PAD)], [(1, " ".join(words))]) == [("1", 1)]
 
 
+def test_items_without_template_windows(spark):
+    items = [
+        (1, "Compute 12 * 7 + 3 * 5 - 8 * 2 + 9"), (2, "山路を登りながらこう考えた。智に働けば角が立つ"), (3, "สวัสดีชาวโลกทั้งหลาย"), (4, "7 8 9"), (5, "5 kg"),
+    ]
+    docs = [(k, f"{PAD} {t} {PAD}") for k, t in items] + [(6, "Compute 12 * 7 + 4 * 6 - 8 * 3 + 9"), (7, "山が高い。川が長い")]
+    assert found(spark, docs, items) == [("1", 1), ("2", 2), ("3", 3)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(r.item_id for r in decontaminate.without_windows(b).collect()) == [4, 5]
+
+
 def test_empty(spark):
     assert found(spark, []) == []
     assert found(spark, [(1, PAD)], []) == []
