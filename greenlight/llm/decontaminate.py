@@ -6,7 +6,8 @@ keeps the words and replaces numbers and units only. Windows of templates are ha
 pass a bit table of the benchmark's, and what passes meets the benchmark in an exact hash join. Windows that
 meet along one diagonal of a document and an item count as they are if their slots hold what the item's do; others
 must agree on the slots: what stood in the benchmark in a slot is always replaced by the same thing, and windows with
-a slot that is replaced in two ways don't count. An item leaks if windows that count cover ``cover`` of its own.
+a slot that is replaced in two ways don't count. An item leaks if windows that count cover ``cover`` of its own, or if
+``run`` of its tokens stand in the document one after the other, whatever share of the item they are.
 
 A window counts if at least ``literals`` of its tokens are words. Windows with several numbers are also hashed as they
 stand, values included; they count for items of a window or more that have no other windows. An item shorter than a
@@ -31,6 +32,7 @@ from greenlight.llm.words import hash_spans, latin_capital, lower_latin, mix, ro
 WINDOW = 8
 LITERALS = 4
 COVER = 0.4
+RUN = 13
 MOST_BYTES = 32 << 20
 NUMBER, UNIT, NAME = (np.uint64(x) for x in (0x5A17F00D00000001, 0x5A17F00D00000002, 0x5A17F00D00000003))
 
@@ -212,9 +214,9 @@ def without_windows(benchmark: DataFrame, window: int = WINDOW, literals: int =
     return items.join(found, F.col("item_id").eqNullSafe(F.col("_item")), "left_anti")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, cover: float = COVER, most_bytes: int = MOST_BYTES) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, cover: float = COVER, run: int = RUN, most_bytes: int = MOST_BYTES) -> DataFrame:
     """doc_id, text_key (a hash of the text), item_id, the item's windows and how many of them the document holds, for each
-    document and item of which it holds ``cover`` or more."""
+    document and item of which it holds ``cover`` or more, or ``run`` tokens in a row."""
     from greenlight.session import cut_lineage
 
     spark = docs.sparkSession
@@ -228,22 +230,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     found = rows.mapInArrow(_document_windows(literals, window, lengths, shared), "doc_id long, text_key long, kind int, hash long, at long, slots array<long>")
-    counts = own.join(whole.select("item_id", "verbatim"), "item_id").where(F.col("verbatim") == (F.col("kind") == VERBATIM))
-    theirs = counts.select("item_id", "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
+    counts = F.col("verbatim") == (F.col("kind") == VERBATIM)  # others only make runs
+    theirs = own.join(whole.select("item_id", "verbatim"), "item_id").select("item_id", "length", counts.alias("counts"), "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     met = found.join(theirs, "hash").withColumn("diagonal", F.col("at") - F.col("item_at"))
     filled = F.filter(F.arrays_zip("item_slots", "slots"), lambda x: x["item_slots"] != 0)
-    diagonal = met.groupBy("doc_id", "text_key", "item_id", "diagonal").agg(F.collect_set(F.struct("item_at", filled.alias("filled"))).alias("met"))  # an item's length bounds it
+    diagonal = met.groupBy("doc_id", "text_key", "item_id", "diagonal").agg(F.max("length").alias("length"), F.collect_set(F.struct("item_at", "counts", filled.alias("filled"))).alias("met"))  # an item's length bounds it
     pairs = F.array_distinct(F.flatten(F.transform("met", lambda x: x["filled"])))
     diagonal = diagonal.withColumn("values", F.transform(pairs, lambda x: x["item_slots"]))
     # a value that stands in two pairs is replaced in two ways
     diagonal = diagonal.withColumn("torn", F.filter("values", lambda x, k: F.array_position("values", x) != k + 1))
     exact = lambda x: F.forall(x["filled"], lambda y: y["item_slots"] == y["slots"])
     agrees = lambda x: ~F.arrays_overlap(F.transform(x["filled"], lambda y: y["item_slots"]), F.col("torn"))
-    places = F.transform(F.filter("met", lambda x: exact(x) | agrees(x)), lambda x: x["item_at"])
-    covered = diagonal.select("doc_id", "text_key", "item_id", places.alias("places")).where(F.size("places") > 0)
-    covered = covered.groupBy("doc_id", "text_key", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("matched"))
+    places = F.transform(F.filter("met", lambda x: x["counts"] & (exact(x) | agrees(x))), lambda x: x["item_at"])
+    copied = F.array_sort(F.array_distinct(F.transform(F.filter("met", exact), lambda x: x["item_at"])))
+    diagonal = diagonal.select("doc_id", "text_key", "item_id", "length", places.alias("places"), copied.alias("copied"))
+    # a run is so many exact windows of which each begins one token after the one before
+    more = F.greatest(F.lit(run) - F.col("length"), F.lit(0)).cast("int")
+    ahead = F.transform("copied", lambda x, k: F.get("copied", k + more) - x == more)
+    diagonal = diagonal.select("doc_id", "text_key", "item_id", "places", "copied", ((F.col("length") == window) & F.coalesce(F.exists(ahead, lambda x: x), F.lit(False))).alias("run"))
+    covered = diagonal.where((F.size("places") > 0) | F.col("run")).groupBy("doc_id", "text_key", "item_id").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("run"), F.array_union("places", "copied")).otherwise(F.col("places")))))).alias("matched"), F.max("run").alias("run")
+    )
     return (
-        covered.join(whole, "item_id").where(F.col("matched") >= F.greatest(F.lit(1.0), cover * F.col("windows")))
+        covered.join(whole, "item_id").where(F.col("run") | (F.col("matched") >= F.greatest(F.lit(1.0), cover * F.col("windows"))))
         .select("doc_id", "text_key", "item_id", F.col("windows").cast("long").alias("windows"), F.least("matched", "windows").cast("long").alias("matched"))
     )
 

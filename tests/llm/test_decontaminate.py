@@ -65,6 +65,14 @@ def test_items_without_template_windows(spark):
     assert sorted(r.item_id for r in decontaminate.without_windows(b).collect()) == [4, 5]
 
 
+def test_a_long_run_is_a_leak_of_any_item(spark):
+    words = [f"{a}{b}" for a in ("alpha", "beta", "gamma", "delta", "kappa", "sigma", "omega", "theta") for b in "abcdefghij"]
+    words[31:36] = "12 7 3 5 kg".split()
+    cut = lambda a, b: f"{PAD} {' '.join(words[a:b])} {PAD}"
+    docs = [(1, cut(0, 80)), (2, cut(27, 40)), (3, cut(27, 39)), (4, cut(60, 73)), (5, cut(0, 8) + cut(20, 28) + cut(50, 58)), (6, PAD)]
+    assert found(spark, docs, [(1, " ".join(words))]) == [("1", 1), ("2", 1), ("4", 1)]
+
+
 def test_empty(spark):
     assert found(spark, []) == []
     assert found(spark, [(1, PAD)], []) == []
