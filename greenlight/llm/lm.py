@@ -9,8 +9,10 @@ Scoring: p(w | v) = L * min(1, c(v w) / c(v)) + (1 - L) * min(1, (c(w) + 1) / (N
 filter; N and V are exact. The base score needs the exact count of every word: the most frequent words, at most
 ``head_words`` of them, are broadcast, and all others are looked up by a join.
 
-The filter has a bit for every second byte of training text up to ``max_bytes``, which bounds the broadcast; beyond
-that it is fuller and more probes hit by chance: a level with a share f of its bits set hits with chance f * f.
+The filter has a bit or two for every second byte of training text at every size; a level with a share f of its bits
+set hits by chance with f * f. A filter of at most ``max_bytes`` is broadcast. A larger one stays a table of shares:
+the distinct n-grams of each slice of documents are sent to the shares that hold them, probed there, and what comes
+back meets its slice, so no task holds more than a share or a slice. Both ways give the same scores.
 
 Defined results
 - Null text is empty and has the end as its only token. Words are runs of bytes other than ASCII white space,
@@ -21,6 +23,7 @@ Defined results
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -86,6 +89,11 @@ def block_of(keys: np.ndarray, block_power: int) -> np.ndarray:
     return keys >> np.uint64(64 - block_power) if block_power else np.zeros(len(keys), np.uint64)
 
 
+def middle(levels: np.ndarray) -> np.ndarray:
+    """The middle of the counts of a level."""
+    return np.where(levels > 0, np.ldexp(1.5, levels.astype(np.int64) - 1) - 0.5, 0.0)
+
+
 @dataclass
 class Filter:
     """Blocks of eight 64-bit words; the upper ``block_power`` bits of a hash give its block."""
@@ -104,8 +112,12 @@ class Filter:
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         """About the count of each key: the middle of the counts of its highest level."""
-        levels = np.zeros(len(keys), np.int64)
-        base = block_of(keys, self.block_power) * np.uint64(8)
+        return middle(self.levels(keys, keys))
+
+    def levels(self, places: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The highest level of each key, in the block that the upper bits of its place give."""
+        levels = np.zeros(len(keys), np.uint8)
+        base = block_of(places, self.block_power) * np.uint64(8)
         left = np.arange(len(keys))
         for level in range(1, LEVELS + 1):
             h = at_level(keys[left], level)
@@ -117,7 +129,7 @@ class Filter:
             levels[left] = level
             if not len(left):
                 break
-        return np.where(levels > 0, np.ldexp(1.5, levels - 1) - 0.5, 0.0)
+        return levels
 
 
 class Head:
@@ -203,24 +215,31 @@ def _merger(power: int, block_power: int):
 
 @dataclass
 class Model:
-    filter: Filter
+    filter: Filter | None
     head: Head
     documents: int
     total: int  # N
     distinct: int  # V
     weight: float
+    shares: DataFrame | None = field(default=None, repr=False)  # of a filter that isn't broadcast
+    power: int = 0
+    block_power: int = 0
+
+    def __getstate__(self):
+        return self.__dict__ | {"shares": None}
 
-    def text_scores(self, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    def text_scores(self, data: np.ndarray, offsets: np.ndarray, count=None) -> dict[str, np.ndarray]:
         """For each text its tokens, the model's log10 probability, what the head knows of the base score, and the
-        words, with their times, that the head doesn't know."""
+        words, with their times, that the head doesn't know. ``count`` gives the filter's counts of keys."""
+        count = count or self.filter.count
         words, starts = tokens(data, offsets)
         linked = pairs(words, starts)
         distinct, inverse = np.unique(words, return_inverse=True)
-        about = self.filter.count(distinct)[inverse]
+        about = count(distinct)[inverse]
         before = np.empty(len(words))
         before[1:] = about[:-1]
         before[starts[:-1]] = self.documents
-        together = self.filter.count(linked)
+        together = count(linked)
         share = np.minimum(1.0, together / np.maximum(before, 1.0))
         chance = self.weight * share + (1.0 - self.weight) * np.minimum(1.0, (about + 1.0) / (self.total + self.distinct + 1.0))
         exact = self.head.find(distinct)
@@ -245,18 +264,22 @@ class Model:
         }
 
 
-def learn(docs: DataFrame, max_bytes: int = MAX_BYTES, head_words: int = HEAD_WORDS, weight: float = WEIGHT) -> tuple[Model, DataFrame]:
-    """The model of the texts of ``docs``, and the table (word, count) of all its words."""
+def learn(docs: DataFrame, max_bytes: int = MAX_BYTES, head_words: int = HEAD_WORDS, weight: float = WEIGHT, share_bytes: int = SHARE_BYTES) -> tuple[Model, DataFrame]:
+    """The model of the texts of ``docs``, and the table (word, count) of all its words. A filter of more than ``max_bytes``
+    isn't broadcast."""
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
-    block_power = max(0, min((max(1, max_bytes) * 8 // BLOCK_BITS).bit_length() - 1, (size["b"] // 2 // BLOCK_BITS).bit_length()))
-    power = min(block_power, (size["b"] // SHARE_BYTES).bit_length())
+    block_power = (size["b"] // 2 // BLOCK_BITS).bit_length()
+    power = min(block_power, (size["b"] // share_bytes).bit_length())
     shares = texts.mapInArrow(_dealer(power), DEALT).groupBy("share").applyInArrow(_merger(power, block_power), SHARE)
     shares = cut_lineage(shares)
-    bits = np.zeros(8 << block_power, np.uint64)
-    stretch = 8 << (block_power - power)
-    for row in shares.select("share", "bits").toLocalIterator():
-        bits[row["share"] * stretch : (row["share"] + 1) * stretch] = np.frombuffer(row["bits"], np.uint64)
+    whole = None
+    if BLOCK_BITS // 8 << block_power <= max_bytes:
+        bits = np.zeros(8 << block_power, np.uint64)
+        stretch = 8 << (block_power - power)
+        for row in shares.select("share", "bits").toLocalIterator():
+            bits[row["share"] * stretch : (row["share"] + 1) * stretch] = np.frombuffer(row["bits"], np.uint64)
+        whole = Filter(bits, block_power)
     words = shares.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("count"))
     by_size = words.groupBy(F.floor(F.log2("count")).cast("int").alias("k")).agg(F.count("*").alias("n"), F.sum("count").alias("c")).collect()
     least, room = 64, head_words
@@ -268,35 +291,100 @@ def learn(docs: DataFrame, max_bytes: int = MAX_BYTES, head_words: int = HEAD_WO
     head = words.where(F.col("count") >= F.lit(2.0**least)).toArrow()
     table = Head(head["word"].to_numpy().view(np.uint64), head["count"].to_numpy())
     total, distinct = sum(r["c"] for r in by_size), sum(r["n"] for r in by_size)
-    return Model(Filter(bits, block_power), table, size["n"], total, distinct, weight), words
+    return Model(whole, table, size["n"], total, distinct, weight, shares.select("share", "bits"), power, block_power), words
 
 
 SCORED = "n_tokens long, score double, head_known long, head_sum double, rest_words array<long>, rest_times array<long>"
 
 
+def _scored(part: pa.RecordBatch, names: list[str], x: dict[str, np.ndarray]) -> pa.RecordBatch:
+    rest = pa.array(x["rest_ends"].astype(np.int32), pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [*(part.column(n) for n in names), pa.array(x["n_tokens"]), pa.array(x["score"]), pa.array(x["head_known"]), pa.array(x["head_sum"]),
+         pa.ListArray.from_arrays(rest, pa.array(x["rest_words"])), pa.ListArray.from_arrays(rest, pa.array(x["rest_times"]))],
+        [*names, "n_tokens", "score", "head_known", "head_sum", "rest_words", "rest_times"],
+    )
+
+
 def _scorer(shared, names: list[str]):
     def score(batches):
         model = shared.value
         for batch in batches:
             for first, data, offsets in slices(batch.column("_text")):
-                x = model.text_scores(data, offsets)
-                rest = pa.array(x["rest_ends"].astype(np.int32), pa.int32())
+                yield _scored(batch.slice(first, len(offsets) - 1), names, model.text_scores(data, offsets))
+
+    return score
+
+
+# -- a filter in shares --------------------------------------------------------
+
+
+def _keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The distinct words and pairs of some texts, in order."""
+    words, starts = tokens(data, offsets)
+    return np.unique(np.concatenate([words, pairs(words, starts)]))
+
+
+def _asker(power: int):
+    """Each slice of documents as a row of its own, with no share, and its distinct keys, cut by the upper bits."""
+
+    def ask(batches):
+        for batch in batches:
+            for first, data, offsets in slices(batch.column("_text")):
+                keys = _keys(data, offsets)
+                share = (keys >> np.uint64(64 - power)).astype(np.int64) if power else np.zeros(len(keys), np.int64)
+                at = np.flatnonzero(np.diff(share, prepend=-1))
+                sink = pa.BufferOutputStream()
                 part = batch.slice(first, len(offsets) - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(n) for n in names), pa.array(x["n_tokens"]), pa.array(x["score"]), pa.array(x["head_known"]), pa.array(x["head_sum"]),
-                     pa.ListArray.from_arrays(rest, pa.array(x["rest_words"])), pa.ListArray.from_arrays(rest, pa.array(x["rest_times"]))],
-                    [*names, "n_tokens", "score", "head_known", "head_sum", "rest_words", "rest_times"],
-                )
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part)
+                blobs = [sink.getvalue().to_pybytes(), *(keys[i:j].tobytes() for i, j in zip(at, np.append(at[1:], len(keys))))]
+                name = uuid.uuid4().hex
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(blobs)), pa.array([None, *share[at].tolist()], pa.int64()), pa.array(blobs, pa.binary())], ["slice", "share", "data"])
+
+    return ask
+
+
+def _prober(power: int, block_power: int):
+    """The levels of all keys that are asked of one share."""
+
+    def probe(asked: pa.Table, share: pa.Table) -> pa.Table:
+        bits = np.frombuffer(share.column("bits")[0].as_py(), np.uint64) if len(share) else np.zeros(8 << (block_power - power), np.uint64)
+        own = Filter(bits, block_power - power)
+        keys = [np.frombuffer(x, np.uint64) for x in asked.column("data").to_pylist()]
+        return pa.table({"slice": asked.column("slice"), "share": asked.column("share"), "data": pa.array([own.levels(k << np.uint64(power), k).tobytes() for k in keys], pa.binary())})
+
+    return probe
+
+
+def _slice_scorer(shared, names: list[str]):
+    def score(table: pa.Table) -> pa.Table:
+        shares, blobs = table.column("share").to_pylist(), table.column("data").to_pylist()
+        order = sorted((k, i) for i, k in enumerate(shares) if k is not None)
+        levels = np.frombuffer(b"".join(blobs[i] for _, i in order), np.uint8)
+        part = pa.ipc.open_stream(blobs[shares.index(None)]).read_next_batch()
+        _, data, offsets = next(slices(part.column("_text"), 1 << 62))
+        keys, counts = _keys(data, offsets), middle(levels)
+        return pa.Table.from_batches([_scored(part, names, shared.value.text_scores(data, offsets, lambda x: counts[np.searchsorted(keys, x)]))])
 
     return score
 
 
+def _score_by_shares(rows: DataFrame, model: Model, shared, keep: list[str], schema: str) -> DataFrame:
+    # the slices' names are made once and kept
+    asked = cut_lineage(rows.mapInArrow(_asker(model.power), "slice string, share long, data binary"))
+    keys = asked.where("share is not null")
+    levels = keys.groupBy("share").cogroup(model.shares.groupBy("share")).applyInArrow(_prober(model.power, model.block_power), keys.schema)
+    return asked.where("share is null").unionByName(levels).groupBy("slice").applyInArrow(_slice_scorer(shared, keep), schema)
+
+
 def score(docs: DataFrame, model: Model, words: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of docs with n_tokens, n_known, train_tokens, base_score and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), SCORED])
-    rows = cut_lineage(rows.mapInArrow(_scorer(shared, list(keep)), schema)).withColumn("_row", F.monotonically_increasing_id())
+    rows = rows.mapInArrow(_scorer(shared, list(keep)), schema) if model.filter else _score_by_shares(rows, model, shared, list(keep), schema)
+    rows = cut_lineage(rows).withColumn("_row", F.monotonically_increasing_id())
     rest = rows.select("_row", F.explode(F.arrays_zip("rest_words", "rest_times")).alias("x"))
     rest = rest.select("_row", F.col("x.rest_words").alias("word"), F.col("x.rest_times").alias("times"))
     found = (

@@ -59,6 +59,19 @@ def test_filter_levels():
     assert np.mean(f.count(rng.integers(0, 1 << 64, 5000, dtype=np.uint64)) == 0) > 0.9
 
 
+def test_large_filter_gives_the_same_scores(spark):
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string").repartition(3)
+    train = docs.where("doc_id is not null")
+
+    def scores(**sizes):
+        model, words = lm.learn(train, **sizes)
+        return sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score(docs, model, words).collect())
+
+    want = scores()
+    assert scores(max_bytes=64) == want
+    assert scores(max_bytes=64, share_bytes=4096) == want
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     model, words = lm.learn(docs)
