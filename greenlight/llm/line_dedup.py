@@ -1,6 +1,6 @@
 """Fuzzy duplicate lines, with DataFrame functions only.
 
-Lines are normalised to their lower-case words. Each line gets a 64-bit SimHash of its words. SimHashes that
+Lines are normalised to their lower-case words; every character of a script written without spaces is one. Each line gets a 64-bit SimHash of its words. SimHashes that
 differ in at most three bits agree in all but three of B blocks, so lines meet under every choice of B - 3
 blocks, and pairs that meet are verified: near by Hamming distance, then by the edit similarity of their
 words. Of the lines of each connected group one occurrence stays, the one with the smallest
@@ -40,9 +40,14 @@ BYTES_OF_64 = 0x4040404040404040
 MEMBER_BITS = 20
 
 
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+
+
 def words_of(line: Column) -> Column:
-    """The lower-case runs of letters and digits of a line."""
-    return F.array_remove(F.split(F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " ")), " "), "")
+    """The lower-case runs of letters and digits of a line, and its characters of scripts written without spaces."""
+    kept = F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " ")
+    kept = F.when(F.octet_length(line) > F.char_length(line), F.regexp_replace(kept, UNSPACED, " $1 ")).otherwise(kept)
+    return F.array_remove(F.split(F.trim(kept), " "), "")
 
 
 def _let(value: Column, body) -> Column:

@@ -86,5 +86,12 @@ def test_crowded_key_of_several_groups(spark):
     assert len(kept) == len(edits) < 80
 
 
+def test_unspaced_lines_take_part(spark):
+    han, thai = "山路を登りながらこう考えた智に働けば角が立つ情に棹させば流される意地を通せば窮屈だ", "สวัสดีชาวโลกทั้งหลายวันนี้อากาศดีมาก"
+    rows = [(1, f"{han}\n{thai}\n目次"), (2, f"{thai}\n{han}。\n目次"), (3, "x y")]
+    got = {d: (t, n) for d, t, n in run(spark, rows)}
+    assert got == {"1": (rows[0][1], 0), "2": ("目次", 2), "3": ("x y", 0)}
+
+
 def test_empty(spark):
     assert run(spark, []) == []
