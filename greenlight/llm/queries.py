@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from greenlight.llm import decontaminate, jaccard_join, language_id, line_dedup, lm, packing, quality, topk_search, url_filter, warc
+from greenlight.llm import decontaminate, jaccard_join, language_id, line_dedup, lm, packing, periodic, quality, topk_search, url_filter, warc
 from greenlight.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from greenlight.session import shared_dir
 
@@ -125,3 +125,38 @@ select p.page_id, strlen(p.payload)::bigint as payload_bytes,
   case when p.page_id = f.first_id then null else f.first_id end as refers_to
 from pages_ p join first_ f using (hex)
 """
+
+
+def with_planted_period(docs):
+    """Every tenth document, by the CRC-32 of its id, with its words from some place on made periodic (fixed rule of the query)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words):
+        n = F.size(words)
+        a = g % n
+        period = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % period).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i))), " ")).otherwise("")
+
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    return docs.select("doc_id", F.when(h % 10 == 0, F.transform(F.array(words), planted)[0]).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    found = periodic.collapse(with_planted_period(table(spark, sf_dir, "documents")), least=24)
+
+    def better(best, run):
+        """Greater length / period, told in whole numbers; runs come by start and period, so the first of equals stays."""
+        return F.when(best.isNull() | (run["length"] * best["period"] > best["length"] * run["period"]), run).otherwise(best)
+
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    best = found.withColumn("best", F.aggregate("runs", none, better))
+    told = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(told, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
