@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from greenlight.llm import decontaminate, jaccard_join, language_id, line_dedup, lm, packing, periodic, quality, topk_search, url_filter, warc
+from greenlight.llm import alignment, decontaminate, jaccard_join, language_id, line_dedup, lm, packing, periodic, quality, topk_search, url_filter, warc
 from greenlight.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from greenlight.session import shared_dir
 
+
 def fold(parts: int):
     """The fold of a document: the CRC-32 of its id as text, modulo the number of folds."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
@@ -127,6 +128,15 @@ from pages_ p join first_ f using (hex)
 """
 
 
+@query
+def op11_token_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned = alignment.align(table(spark, sf_dir, "documents"), *paths)
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def with_planted_period(docs):
     """Every tenth document, by the CRC-32 of its id, with its words from some place on made periodic (fixed rule of the query)."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
