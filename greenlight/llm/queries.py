@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from greenlight.llm import alignment, decontaminate, jaccard_join, language_id, line_dedup, lm, packing, periodic, quality, topk_search, url_filter, warc
+from greenlight.llm import alignment, decontaminate, jaccard_join, language_id, line_dedup, lm, packing, periodic, personal, personal_labels, quality, topk_search, url_filter, warc
 from greenlight.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 from greenlight.session import shared_dir
 
@@ -170,3 +170,13 @@ def op12_periodic_runs(spark, sf_dir):
         F.sha2(F.concat(F.array_join(told, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op13_personal_data(spark, sf_dir):
+    field = personal.learn(spark.createDataFrame(personal_labels.labelled(), personal_labels.SCHEMA))
+    found = personal.find(table(spark, sf_dir, "documents"), field)
+    base = F.filter("spans", lambda s: s["base"])
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    n_of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(n_of, personal.KINDS), F.sha2(told(base), 256).alias("base_sha256"), told("spans").alias("spans"))
