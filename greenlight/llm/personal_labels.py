@@ -107,8 +107,9 @@ def labelled(rows: int = 1200, seed: int = 13) -> list[tuple[str, list[tuple[str
     out = []
     for _ in range(rows):
         text, spans = "", []
-        for _ in range(rng.choice((1, 1, 2))):
-            before = [rng.choice([w, w, w.upper(), w.capitalize() + ","]) for w in rng.choices(FILLER, k=rng.randint(0, 5))]
+        most = rng.choice((0, 5, 5, 5, 5))  # some sentences are the piece alone
+        for _ in range(rng.choice((1, 1, 2)) if most else 1):
+            before = [rng.choice([w, w, w.upper(), w.capitalize() + ","]) for w in rng.choices(FILLER, k=rng.randint(0, most))]
             if rng.random() < 0.5:
                 text += " ".join([*before, plain(rng)]) + " "
                 continue
@@ -116,6 +117,6 @@ def labelled(rows: int = 1200, seed: int = 13) -> list[tuple[str, list[tuple[str
             text += "".join(w + " " for w in [*before, *([cue] if cue else [])]) + rng.choice(["", "", "", "(", '"'])
             spans.append((kind, len(text), len(text) + len(piece)))
             text += piece + rng.choice(["", "", "", ".", ",", ")", "!", "***", "&&&", ";"]) + " "
-        text += " ".join(rng.choices(FILLER, k=rng.randint(0, 5)))
+        text += " ".join(rng.choices(FILLER, k=rng.randint(0, most)))
         out.append((text, spans))
     return out
