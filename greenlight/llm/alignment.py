@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from greenlight.llm.words import hash_spans, slices
 from greenlight.session import shared_dir
 
-CACHE_PIECES = 1_000_000
-PART = 1 << 20
+CACHE_PIECES = 400_000
+PART = 1 << 19
 TOGETHER = 64
 LARGE_GROUP = 4096
 CELLS = 1 << 21
