@@ -189,6 +189,23 @@ from checks.worklist_sql import XT, ident, lev  # noqa: E402
 SQL["identity_list"] = query(
     ["scope"], "SELECT version_id, record_id, status, sc AS score FROM idt WHERE NOT ex AND NOT is_verified", ident("publishable")
 )
+SQL["identity_suggestions"] = query(
+    ["scope"],
+    f"""SELECT version_id, record_id, status, CASE WHEN mdd IS NULL THEN best.score ELSE sc END AS score,
+      CASE WHEN mdd IS NULL AND best.id IS NULL THEN 'No master record has this id; no title comes within 80%.'
+        WHEN mdd IS NULL THEN 'No master record has this id; closest title: ' || best.id || ' (' || best.score || '%).'
+        WHEN sc IS NULL THEN 'A title is missing, so none were compared.'
+        WHEN same THEN 'Same title as ' || record_id || ', but taken back to unverified by hand.'
+        WHEN sc < 80 AND best.id <> record_id THEN 'Title agrees with the present record to ' || sc || '%; closest title: ' || best.id || ' (' || best.score || '%).'
+        ELSE 'Title agrees with ' || record_id || ' to ' || sc || '%.' END AS message
+    FROM idt LEFT JOIN (SELECT a, max(score) AS score, min_by(id, (-score, id)) AS id FROM alike GROUP BY a) best ON best.a = {norm('idt.title')}
+    WHERE NOT ex AND NOT is_verified""",
+    ident("publishable")
+    + f""", asked AS (SELECT DISTINCT {norm('title')} AS a FROM idt WHERE NOT ex AND NOT is_verified AND (mdd IS NULL OR sc < 80) AND {norm('title')} <> ''),
+    official AS (SELECT {norm('title')} AS b, min(record_id) AS id FROM master WHERE {norm('title')} <> '' GROUP BY 1),
+    alike AS (SELECT * FROM (SELECT a, id, round(100.0 * (1.0 - levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE)), 2) AS score
+      FROM asked JOIN official ON abs(length(a) - length(b)) <= 0.21 * greatest(length(a), length(b))) WHERE score >= 80)""",
+)
 SQL["extraction_list"] = query(
     ["scope"],
     """SELECT version_id, record_id, status, sc AS score FROM xt WHERE review_status = 'review_ok' AND NOT same AND (lower(version_id) LIKE '%dated 199%' OR lower(record_id) LIKE '%dated 199%'

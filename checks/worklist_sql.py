@@ -70,14 +70,14 @@ idt AS (SELECT *, NOT ex AND (id_verified OR (status = 'verified' AND same)) AS
 SQL["identity_status"] = query(
     ["master", "versions"],
     """SELECT version_id, record_id, status, CASE WHEN NOT ex THEN sc END AS score,
-      CASE WHEN ex THEN 'Excluded from publication.' WHEN mdd IS NULL THEN 'Paper ID not found; titles were not searched.'
-        WHEN sc IS NULL AND id_verified THEN 'Paper ID manually verified; title comparison is incomplete because a title is missing.'
-        WHEN sc IS NULL THEN 'Missing final title or Paper Master title.'
-        WHEN same AND auto_verify_blocked THEN 'Final Title is identical to Paper Master title for ' || record_id || ', but this record was manually moved back to unverified.'
-        WHEN same THEN 'Final Title is identical to Paper Master title for ' || record_id || '. Auto-verified.'
-        WHEN sc >= 80 THEN 'Title similarity with ' || record_id || ': ' || sc || '%.'
-        WHEN id_verified THEN 'Paper ID manually verified; title differs from ' || record_id || ' (' || sc || '%).'
-        ELSE 'Title similarity with ' || record_id || ': ' || sc || '%.' END AS message,
+      CASE WHEN ex THEN 'Left out of the publication.' WHEN mdd IS NULL THEN 'No master record has this id; titles were not searched.'
+        WHEN sc IS NULL AND id_verified THEN 'Id confirmed by hand; a title is missing, so none were compared.'
+        WHEN sc IS NULL THEN 'A title is missing, so none were compared.'
+        WHEN same AND auto_verify_blocked THEN 'Same title as ' || record_id || ', but taken back to unverified by hand.'
+        WHEN same THEN 'Same title as ' || record_id || '; verified automatically.'
+        WHEN sc >= 80 THEN 'Title agrees with ' || record_id || ' to ' || sc || '%.'
+        WHEN id_verified THEN 'Id confirmed by hand. Title agrees with ' || record_id || ' to ' || sc || '% only.'
+        ELSE 'Title agrees with ' || record_id || ' to ' || sc || '%.' END AS message,
       NOT ex AND same AS is_identical, is_verified, is_verified AND NOT same AS verified_with_diff, NOT ex AND NOT is_verified AS needs_verification FROM idt""",
     ident("versions"),
 )
@@ -92,9 +92,9 @@ xt AS (SELECT *, nv OR (review_status = 'review_ok' AND NOT miss) AS done FROM x
 SQL["extracted_title_status"] = query(
     ["versions"],
     """SELECT version_id, record_id, status, sc AS score,
-      CASE WHEN miss THEN 'Missing Final Submission Title or extracted title.' WHEN same AND title_verify_blocked
-        THEN 'Titles are identical, but this record was manually moved back to unverified.' WHEN same THEN 'Extracted title is identical to Final Submission Title. Auto-verified.'
-        ELSE 'Extracted title similarity with Final Submission Title: ' || CASE WHEN coalesce(sc, 0) = 0 THEN '0' ELSE CAST(sc AS VARCHAR) END || '%.' END AS message,
+      CASE WHEN miss THEN 'One of the two titles is missing.' WHEN same AND title_verify_blocked
+        THEN 'Same titles, but taken back to unverified by hand.' WHEN same THEN 'Same titles; verified automatically.'
+        ELSE 'The extracted title agrees to ' || CASE WHEN coalesce(sc, 0) = 0 THEN '0' ELSE CAST(sc AS VARCHAR) END || '%.' END AS message,
       nv AS title_verified, same AS is_identical, done AS is_verified, done AND NOT same AS verified_with_diff, NOT miss AND NOT done AS needs_verification FROM xt""",
     XT.replace("SRC", "versions"),
 )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from greenlight import domain, schema
 from greenlight.functions import digest, scores, similarity, text
-from greenlight.operators import duplicates, events, exceptions, files, layout, names, rules, transitions
+from greenlight.operators import duplicates, events, exceptions, files, layout, names, rules, scope, titles, transitions
 from greenlight.plans import combined, lists, reports
 from greenlight.plans.queries import query, stamp
 from greenlight.session import shared_dir
@@ -294,6 +294,20 @@ def identity_list(d):
     return out.select("version_id", "record_id", "status", "score")
 
 
+@query
+def identity_suggestions(d):
+    """Versions to verify, with the closest master title at 80% for unknown ids and unlike titles."""
+    out = lists.identity_list(d.versions, d.master, "needs_verification", scorer="levenshtein", suggest=0.8)
+    return out.select("version_id", "record_id", "status", "score", "message")
+
+
+@query
+def title_suggestions(d):
+    """The closest master title at 80%, by sequence similarity, for every version that is to be published under an unknown id."""
+    unknown = scope.publishable(d.versions, d.master).join(d.master.select("record_id"), "record_id", "left_anti")
+    return titles.search(unknown, d.master, 0.8)
+
+
 @query
 def extraction_list(d):
     out = lists.extraction_list(d.versions, d.master, "reviewed_differences", text="dated 199", scorer="levenshtein")

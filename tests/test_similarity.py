@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from greenlight.functions import similarity
+from greenlight.operators import titles
 from greenlight.operators.resolve import best_title_match
 
 
@@ -81,6 +82,50 @@ def test_best_title_match_equals_brute_force(spark, threshold):
     assert len(expected) > 20
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def edit_score(left, right):
+    a, b = (" ".join("".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split()) for t in (left, right))
+    return round(100 * (1 - edits(a, b) / max(len(a), len(b))), 2) if a and b else None
+
+
+@pytest.mark.parametrize("scorer, threshold", [("sequence", 0.6), ("sequence", 0.8), ("levenshtein", 0.8), ("levenshtein", 0.5)])
+def test_title_search_equals_brute_force(spark, scorer, threshold, monkeypatch):
+    monkeypatch.setattr(titles, "BLOCK", 3)
+    rng = random.Random(5)
+    stem = "Shipment {} for customer {} dated 19{}".format
+    masters = [(f"M{i:02d}", stem(rng.randint(1, 99), rng.randint(100, 130), rng.randint(90, 99))) for i in range(30)]
+    masters += [("M80", "a"), ("M81", "0000000000 0000000000"), ("M82", ""), ("M83", "zz zz"), ("M84", masters[3][1]), (None, "zz zz")]
+    asked = [(f"V{i:02d}", mutate(rng, rng.choice(masters)[1] + rng.choice(["", " volume 3", "!"]))) for i in range(40)]
+    asked += [("V90", "0000000000 00000000"), ("V91", "nothing like it at all"), ("V92", None), ("V93", "ab"), ("V93", "ab"), ("V94", "é" * 9), ("V95", "x" * 5000)]
+    judge = score if scorer == "sequence" else edit_score
+    official = spark.createDataFrame([(*m, 1) for m in masters], "record_id string, title string, a int")
+    found = titles.search(spark.createDataFrame([(*q, 1) for q in asked], "version_id string, title string, lb int"), official, threshold, scorer)
+    want = []
+    for vid, title in asked:
+        scores = [(judge(title or "", text), rid) for rid, text in masters if rid]
+        top = max((s for s, _ in scores if s is not None and s >= 100 * threshold), default=None)
+        if top is not None:
+            want.append((vid, min(r for s, r in scores if s == top), top))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    assert len(want) > 20
+
+
+def test_title_search_of_empty_tables(spark):
+    none = spark.createDataFrame([], "version_id string, record_id string, title string")
+    one = spark.createDataFrame([("V", "P", "a title")], "version_id string, record_id string, title string")
+    assert titles.search(none, one).count() == titles.search(one, none).count() == 0
+    with pytest.raises(ValueError):
+        titles.search(one, one, 0.3)
+
+
 def test_levenshtein_sibling(spark):
     df = spark.createDataFrame([("kitten", "sitting"), ("", "x")], "a string, b string")
     rows = df.select(similarity.levenshtein_similarity("a", "b").alias("s")).collect()
