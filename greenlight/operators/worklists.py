@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from greenlight.functions.text import filled, natural_key
 from greenlight.operators.status import format_rank
-from greenlight.session import cut_lineage
+from greenlight.session import cut_lineage, shared_dir
 
 PAGE_SIZES = (25, 50, 100, 200)
 
@@ -191,6 +193,70 @@ def page(df: DataFrame, order: list[Column], number: int, size: int = 25, key: s
     return df.join(F.broadcast(keys), key, "left_semi")  # at most ``size`` keys
 
 
+@dataclass(frozen=True)
+class Ranges:
+    """The narrow rows of a list, stored in ranges of its order: one folder a range, so that a page reads one or two."""
+
+    folder: str
+    schema: StructType
+    key: str
+    order: tuple[Column, ...]
+    sizes: tuple[tuple[int, int], ...]  # (range, rows) in order
+
+    @property
+    def total(self) -> int:
+        return sum(n for _, n in self.sizes)
+
+    def before(self) -> dict[int, int]:
+        """How many rows precede each range."""
+        out, seen = {}, 0
+        for number, n in self.sizes:
+            out[number] = seen
+            seen += n
+        return out
+
+
+def in_ranges(df: DataFrame, order: list[Column], key: str, columns: list[str], ranges: int | None = None) -> Ranges:
+    """Store ``key`` and the ``columns`` the order needs in ranges of that order, which ``key`` makes a total one.
+
+    One shuffle, once for all pages of a list. Only the number of rows of each range comes to the driver; there are
+    as many ranges as shuffle partitions unless ``ranges`` says otherwise.
+    """
+    spark = df.sparkSession
+    total = (*order, F.col(key).asc())
+    folder = f"{shared_dir(spark)}/ranges-{uuid.uuid4().hex}"
+    narrow = df.select(*dict.fromkeys([key, *columns])).repartitionByRange(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), *total)
+    narrow = narrow.withColumn("range", F.spark_partition_id())
+    narrow.write.partitionBy("range").parquet(folder)
+    counted = spark.read.schema(narrow.schema).parquet(folder).groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()
+    return Ranges(folder, narrow.schema, key, total, tuple(sorted((r["range"], r["n"]) for r in counted)))
+
+
+def page_of(spark: SparkSession, held: Ranges, number: int, size: int | str = 25) -> tuple[PageInfo, DataFrame]:
+    """A page of a stored order: its facts, and (key, position) of its rows, counted from 1.
+
+    A number beyond the last page is the last page; 'all' is one page. Only the ranges that hold rows of the page are
+    read, and their rows are counted range by range, so that the last page costs what the first does.
+    """
+    info = page_info(held.total, number, size)
+    before = held.before()
+    wanted = [k for k, n in held.sizes if before[k] < info.end and before[k] + n >= info.start]
+    stored = spark.read.schema(held.schema).parquet(held.folder)
+    rows = stored if len(wanted) == len(held.sizes) else stored.where(F.col("range").isin(wanted))
+    offsets = spark.createDataFrame([(k, before[k]) for k in wanted] or [(-1, 0)], "range int, before long")  # a row a range
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*held.order)) + F.col("before")
+    placed = rows.join(F.broadcast(offsets), "range").select(held.key, place.alias("position"))
+    return info, placed.where(F.col("position").between(info.start, info.end))
+
+
+def rows_of_page(df: DataFrame, held: Ranges, number: int, size: int | str = 25) -> tuple[PageInfo, DataFrame]:
+    """A page with the wide rows of ``df`` and their position; at most a page of keys meets the table."""
+    info, keys = page_of(df.sparkSession, held, number, size)
+    if size != "all":
+        keys = F.broadcast(keys)  # a page of rows
+    return info, df.join(keys, held.key)
+
+
 # -- queues ------------------------------------------------------------------
 
 

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -174,3 +175,15 @@ def test_references(spark):
     refs = spark.createDataFrame([("tree", "r/a"), ("file", "r/b/z"), ("file", "r/gone")], "kind string, path string")
     assert [r["path"] for r in files.unreferenced_files(listed, refs).collect()] == ["r/ab"]
     assert [r["path"] for r in files.missing_references(refs.filter("kind = 'file'"), listed).collect()] == ["r/gone"]
+
+
+def test_covered_paths_equal_a_prefix_test(spark):
+    rng = random.Random(3)
+    part = lambda: rng.choice(["a", "b", "a-b", "a b", "é", "aa", "."])
+    paths = sorted({"/".join(part() for _ in range(rng.randint(1, 5))) for _ in range(400)} | {"/abs/a", "a" * 3000 + "/b"})
+    for trees in (["a/b", "a", "b/a-b/", "aa/aa/aa", "/abs", "é/é", "a" * 3000], ["a/b/a", "a-b"], [""], []):
+        want = [p for p in paths if any(t and (p + "/").startswith(t.rstrip("/") + "/") for t in trees)]
+        found = files.covered_paths(
+            spark.createDataFrame([(p, 1) for p in paths + paths[:5]], "path string, end int"), spark.createDataFrame([(t,) for t in trees + trees[:1]], "path string").repartition(3)
+        )
+        assert sorted(r["path"] for r in found.collect()) == want

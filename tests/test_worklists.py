@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from greenlight.operators import aggregates, worklists
@@ -40,3 +42,31 @@ def test_bounded_preview(spark):
 
 def test_known_categories():
     assert aggregates.known_categories(["Missing PDF", "nope", "Missing PDF", " "]) == ["Missing PDF"]
+
+
+def test_deep_pages_read_only_their_ranges(spark):
+    n = 1003
+    df = spark.range(n).selectExpr("concat('k', (id * 7919) % 1003) AS k", "id % 5 AS g", "'wide' AS w")
+    order = [F.col("g").desc()]
+    held = worklists.in_ranges(df, order, "k", ["g"], ranges=8)
+    assert held.total == n and len(held.sizes) > 4
+    want = [r["k"] for r in df.orderBy(F.col("g").desc(), "k").collect()]
+    for number, size in [(1, 25), (2, 100), (21, 50), (10**6, 25), (0, 25), (-3, 25), (4, 7)]:
+        info, rows = worklists.page_of(spark, held, number, size)
+        got = [(r["position"], r["k"]) for r in rows.orderBy("position").collect()]
+        assert got == [(p, want[p - 1]) for p in range(info.start, info.end + 1)]
+        pruned = re.search(r"PartitionFilters: \[(.*?)\]", rows._jdf.queryExecution().executedPlan().toString()).group(1)
+        assert 1 <= len(re.search(r"range#\d+ (?:IN \([\d,]+\)|= \d+)", pruned).group(0).split(",")) <= 2
+    info, rows = worklists.page_of(spark, held, 3, "all")
+    assert (info.number, info.pages, rows.count()) == (1, 1, n)
+    info, rows = worklists.rows_of_page(df, held, 10**6, 50)
+    assert sorted((r["position"], r["k"], r["w"]) for r in rows.collect()) == [(p, want[p - 1], "wide") for p in range(1001, 1004)]
+
+
+def test_deep_pages_of_few_rows(spark):
+    df = spark.createDataFrame([("b", None), ("a", None), ("c", 1)], "k string, g int")
+    held = worklists.in_ranges(df, [F.col("g").asc()], "k", ["g"])
+    assert [r["k"] for r in worklists.page_of(spark, held, 5)[1].orderBy("position").collect()] == ["a", "b", "c"]
+    none = worklists.in_ranges(df.limit(0), [F.col("g").asc()], "k", ["g"])
+    info, rows = worklists.page_of(spark, none, 2)
+    assert (info.total, info.start, rows.count()) == (0, 0, 0)
