@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from greenlight import domain, schema
@@ -10,7 +12,7 @@ from greenlight.operators import duplicates, events, exceptions, files, layout,
 from greenlight.plans import combined, lists, reports
 from greenlight.plans.queries import query, stamp
 from greenlight.session import shared_dir
-from greenlight.streaming import log
+from greenlight.streaming import log, stores
 
 
 @query
@@ -98,31 +100,57 @@ def log_tail(d):
     return events.tail_events(_log(d), 100).select("event_id", "action", stamp("ts").alias("ts"))
 
 
-def _stream_folder(d, name, df):
-    """The table as files of a folder, so that a stream can read it."""
-    base = f"{shared_dir(d.spark)}/greenlight/{d.spark.sparkContext.applicationId}/{d.sf_dir.strip('/').replace('/', '_')}"
-    path = f"{base}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return d.spark.readStream.schema(df.schema).parquet(path)
+def _arrivals(d, name):
+    """A folder of its own for what arrives in a stream and what comes out of it."""
+    return f"{shared_dir(d.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _end(rows):
+    """A row long after all others, which lets the watermark pass them; its own window never closes."""
+    return rows.orderBy(F.col("ts").desc(), "event_id").limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1000 DAYS")).withColumn("event_id", F.lit(-1).cast(rows.schema["event_id"].dataType))
 
 
 @query
 def log_hourly(d):
-    stream = _stream_folder(d, "log", domain.event_log(d.spark, d.sf_dir).withColumn("ts", F.col("ts").cast("timestamp")))
-    out = log.drain(log.event_counts(stream, delay="40 days"), "log_hourly", "complete")
-    return out.withColumn("window_start", stamp("window_start"))
+    """Events an hour, category and status, counted by a stream that appends closed hours to files."""
+    folder = _arrivals(d, "hourly")
+    rows = domain.event_log(d.spark, d.sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in (rows, _end(rows)):
+        stores.feed(part, f"{folder}/in")
+        stores.append_to_files(log.event_counts(d.spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), delay="1 day"), folder)
+    return stores.appended(d.spark, folder).withColumn("window_start", stamp("window_start"))
 
 
 @query
 def log_sessions(d):
-    out = log.log_sessions(domain.event_log(d.spark, d.sf_dir))
-    return out.select("actor", "n_events", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), F.date_format("expires", "yyyy-MM-dd HH:mm:ss").alias("expires"))
+    """Sessions by a stream in append mode. The log arrives in two halves; some events of the last half hour of the
+    first come late, with the second, and others come twice."""
+    folder = _arrivals(d, "sessions")
+    rows = domain.event_log(d.spark, d.sf_dir).select("event_id", "actor", F.col("ts").cast("timestamp").alias("ts"))
+    middle = F.lit(rows.agg(F.timestamp_seconds((F.min(F.unix_micros("ts")) + F.max(F.unix_micros("ts"))) / 2e6)).first()[0])
+    recent = (F.col("ts") < middle) & (F.col("ts") >= middle - F.expr("INTERVAL 30 MINUTES"))
+    late, twice = recent & (F.col("event_id") % 2 == 0), recent & (F.col("event_id") % 2 == 1)
+    for part in (rows.where((F.col("ts") < middle) & ~late), rows.where((F.col("ts") >= middle) | late | twice), _end(rows)):
+        stores.feed(part, f"{folder}/in")
+        stores.append_to_files(log.log_sessions(d.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")), folder)
+    out = stores.appended(d.spark, folder)
+    return out.select("actor", "n_events", stamp("started").alias("started"), stamp("expires").alias("expires"))
 
 
 @query
 def active_stream(d):
-    stream = _stream_folder(d, "claims", d.claims.select("version_id", "record_id", "origin", "discarded", "created_at"))
-    return log.drain(log.active_stream(stream), "active_stream", "complete")
+    """Active versions by a stream into the version store: all versions arrive standing, then the discards retract
+    some, after a compaction."""
+    folder = _arrivals(d, "active")
+    rows = d.claims.select("version_id", "discarded", "origin", "record_id", F.col("created_at").cast("timestamp").alias("created_at"))
+    columns = [c.split(" ")[0] for c in stores.STORED.split(", ")]
+    stores.open_store(d.spark, folder)
+    for seq, part in enumerate((rows.withColumn("discarded", F.lit(False)), rows.where("discarded"))):
+        stores.feed(part.withColumn("seq", F.lit(seq).cast("long")).select(*columns), f"{folder}/in")
+        stores.keep_versions(d.spark.readStream.schema(stores.STORED).parquet(f"{folder}/in"), folder)
+        if not seq:
+            stores.compact(d.spark, folder)
+    return stores.active_versions(stores.read_versions(d.spark, folder))
 
 
 # -- text, digests, layout ----------------------------------------------------

@@ -1,8 +1,9 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
-from greenlight.streaming import log
+from greenlight.streaming import log, stores
 
 
 def event(i, ts, actor="a", action="process_pdfs"):
@@ -56,3 +57,58 @@ def test_alert_stream(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert spark.read.parquet(str(tmp_path / "out")).first()["n"] == 3
+
+
+def test_version_store_retracts_and_compacts(spark, tmp_path):
+    folder, rng = str(tmp_path / "store"), random.Random(4)
+    stores.open_store(spark, folder)
+    assert stores.active_versions(stores.read_versions(spark, folder)).count() == 0
+    held = {}
+
+    def add(*rows):
+        for version, seq, discarded, origin, record in rows:
+            if version is not None and (version not in held or (seq, discarded) > held[version][:2]):
+                held[version] = (seq, discarded, origin, record)
+        stores.feed(spark.createDataFrame([(*r, None) for r in rows], stores.STORED), folder + "/in")
+        stores.keep_versions(spark.readStream.schema(stores.STORED).parquet(folder + "/in"), folder)
+        best = {}
+        for version, (_, discarded, origin, record) in held.items():
+            rank = (origin == "editor_upload", int(version[1:]))
+            if not discarded and record and rank > best.get(record, ((), ""))[0]:
+                best[record] = (rank, version)
+        got = {r["record_id"]: r["version_id"] for r in stores.active_versions(stores.read_versions(spark, folder)).collect()}
+        assert got == {record: version for record, (_, version) in best.items()}
+        return got
+
+    assert add(("F2", 1, False, "start2", "P1"), ("F10", 1, False, "start2", "P1"), (None, 1, False, "start2", "P1"), ("F7", 1, False, "start2", "")) == {"P1": "F10"}
+    assert add(("F3", 1, False, "editor_upload", "P1")) == {"P1": "F3"}
+    assert stores.compact(spark, folder) == stores.compact(spark, folder) >= 1
+    assert add(("F3", 2, True, "editor_upload", "P1")) == {"P1": "F10"}  # the discard gives the record back
+    assert add(("F10", 3, True, "start2", "P1"), ("F10", 2, False, "start2", "P1"), ("F10", 3, True, "start2", "P1")) == {"P1": "F2"}
+    assert add(("F2", 5, False, "start2", "P2"), ("F2", 4, True, "start2", "P1")) == {"P2": "F2"}  # out of order
+    stores.compact(spark, folder)
+    add(*[(f"F{rng.randint(1, 15)}", rng.randint(1, 9), rng.random() < 0.4, rng.choice(["start2", "editor_upload"]), "P1") for _ in range(1)])
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    stores.open_store(spark, folder)
+    stores.feed(spark.createDataFrame([("F1", 1, False, "start2", "P1", None)], stores.STORED), folder + "/in")
+    for checkpoint in ("one", "two"):  # without its checkpoint the stream starts anew at batch 0
+        stores.keep_versions(spark.readStream.schema(stores.STORED).parquet(folder + "/in"), folder)
+        (tmp_path / "store" / "checkpoint").rename(tmp_path / checkpoint)
+    rows = spark.read.parquet(folder + "/batches")
+    assert rows.where("batch = 0").count() == rows.count() == 1
+
+
+def test_sessions_of_late_and_repeated_events(spark, tmp_path):
+    folder, source = str(tmp_path / "out"), str(tmp_path / "in")
+    rows = [(1, "a", "2024-01-01 10:00:00"), (2, "a", "2024-01-01 10:50:00"), (3, "b", "2024-01-01 10:55:00")]
+    late = [(2, "a", "2024-01-01 10:50:00"), (4, "a", "2024-01-01 10:20:00"), (5, "a", "2024-01-01 12:45:00"), (6, "b", "2024-01-01 14:00:00")]
+    too_late, end = [(7, "a", "2024-01-01 09:00:00")], [(8, "z", "2025-01-01 00:00:00")]
+    for part in (rows, late, too_late, end):
+        stores.feed(spark.createDataFrame(part, "event_id long, actor string, ts string"), source)
+        stream = spark.readStream.schema("event_id long, actor string, ts string").parquet(source)
+        stores.append_to_files(log.log_sessions(stream), folder)
+    got = sorted((r["actor"], str(r["started"])[11:16], str(r["expires"])[11:16], r["n_events"]) for r in stores.appended(spark, folder).collect())
+    assert got == [("a", "10:00", "14:45", 4), ("b", "10:55", "12:55", 1), ("b", "14:00", "16:00", 1)]
