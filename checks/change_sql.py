@@ -155,17 +155,34 @@ SQL["edit_impacts"] = query(
       (4, 'danger', 'Corrected files will be archived and unlinked'), (5, 'warning', 'Active versions will be recalculated'), (6, 'warning', 'Existing plagiarism report will be marked old')) i(k, level, label)
     WHERE (k IN (1, 2) AND t) OR (k = 3 AND p) OR (k = 4 AND p AND corrected_pdf <> '') OR (k = 5 AND origin = 'editor_upload') OR (k = 6 AND similarity = 10 AND report_path <> '')""",
 )
-SQL["apply_scores"] = query(
-    ["scope"],
-    """SELECT row_no, CASE WHEN problem = '' THEN target END AS version_id, CASE WHEN problem <> '' THEN problem WHEN nt > 1 THEN 'duplicate' ELSE 'updated' END AS disposition,
-      CASE WHEN problem = '' THEN ns END AS similarity, CASE WHEN problem = '' THEN sg END AS single,
-      CASE WHEN problem = '' THEN CASE WHEN (ns IS DISTINCT FROM os OR sg IS DISTINCT FROM og) AND rp <> '' THEN true ELSE rs END END AS report_stale FROM (
-      SELECT x.*, v.similarity AS os, v.single AS og, v.report_path AS rp, v.report_stale AS rs, count(*) FILTER (problem = '') OVER (PARTITION BY CASE WHEN problem = '' THEN target ELSE 'none' || row_no END) AS nt FROM (
-        SELECT r.*, CASE WHEN ex <> '' THEN ex WHEN c.n = 1 THEN c.vid END AS target, CASE WHEN ex = '' AND c.n > 1 THEN 'ambiguous' WHEN ex = '' AND c.n IS NULL THEN 'unmatched' ELSE '' END AS problem
-        FROM ext r LEFT JOIN (SELECT record_id, count(*) AS n, min(version_id) AS vid FROM scoped GROUP BY 1) c USING (record_id)) x LEFT JOIN versions v ON v.version_id = x.target)""",
-    f"""e0 AS (SELECT {rn('version_id')} AS row_no, CASE WHEN {EVEN} THEN '' ELSE version_id END AS ex, record_id,
+_EXT = f"""e0 AS (SELECT {rn('version_id')} AS row_no, CASE WHEN {EVEN} THEN '' ELSE version_id END AS ex, record_id,
       CASE WHEN similarity = 0 THEN 1 WHEN similarity = 5 THEN NULL ELSE CAST(floor(similarity + 1) AS DOUBLE) END AS ns, CAST(single AS DOUBLE) AS sg, format_status FROM av),
-    ext AS (SELECT * FROM e0 UNION ALL SELECT row_no + 10000000, ex, record_id, ns, sg, format_status FROM e0 WHERE format_status = 'pending')""",
+    ext AS (SELECT * FROM e0 UNION ALL SELECT row_no + 10000000, ex, record_id, ns, sg, format_status FROM e0 WHERE format_status = 'pending')"""
+
+
+def _scores(rows):
+    """Targets, problems and new scores of an external file."""
+    return f"""SELECT x.*, v.similarity AS os, v.single AS og, v.report_path AS rp, v.report_stale AS rs, count(*) FILTER (problem = '') OVER (PARTITION BY CASE WHEN problem = '' THEN target ELSE 'none' || row_no END) AS nt FROM (
+        SELECT r.*, CASE WHEN ex <> '' THEN ex WHEN c.n = 1 THEN c.vid END AS target, CASE WHEN ex = '' AND c.n > 1 THEN 'ambiguous' WHEN ex = '' AND c.n IS NULL THEN 'unmatched' ELSE '' END AS problem
+        FROM {rows} r LEFT JOIN (SELECT record_id, count(*) AS n, min(version_id) AS vid FROM scoped GROUP BY 1) c USING (record_id)) x LEFT JOIN versions v ON v.version_id = x.target"""
+
+
+def _dispositions(rows):
+    return f"""SELECT row_no, CASE WHEN problem = '' THEN target END AS version_id,
+      CASE WHEN problem <> '' THEN problem WHEN nt > 1 THEN 'duplicate' WHEN worst > 1 THEN 'refused' ELSE 'updated' END AS disposition,
+      CASE WHEN problem = '' THEN ns END AS similarity, CASE WHEN problem = '' THEN sg END AS single,
+      CASE WHEN problem = '' THEN CASE WHEN (ns IS DISTINCT FROM os OR sg IS DISTINCT FROM og) AND rp <> '' THEN true ELSE rs END END AS report_stale
+      FROM (SELECT *, max(CASE WHEN problem = '' THEN nt ELSE 0 END) OVER () AS worst FROM ({_scores(rows)}))"""
+
+
+SQL["apply_scores"] = query(["scope"], _dispositions("ext"), _EXT)
+SQL["apply_scores_once"] = query(["scope"], _dispositions("e0"), _EXT)
+SQL["write_scores"] = query(
+    ["scope"],
+    f"""SELECT v.version_id, CAST(CASE WHEN w.version_id IS NULL THEN v.similarity ELSE w.similarity END AS DOUBLE) AS similarity,
+      CAST(CASE WHEN w.version_id IS NULL THEN v.single ELSE w.single END AS DOUBLE) AS single, CASE WHEN w.version_id IS NULL THEN v.report_stale ELSE w.report_stale END AS report_stale
+    FROM versions v LEFT JOIN (SELECT * FROM ({_dispositions("(SELECT * FROM e0 WHERE sg = 2)")}) WHERE disposition = 'updated') w ON w.version_id = v.version_id""",
+    _EXT,
 )
 BATCH = f"""
 prov AS (SELECT record_id, version_id, CASE WHEN format_status = 'needs_edit' THEN sha256(version_id) ELSE pdf_current_hash END AS sha FROM scoped WHERE pdf_current_hash IS NOT NULL
@@ -197,13 +214,18 @@ SQL["batch_dispositions"] = query(
       CASE WHEN n_same > 1 THEN 'The same id and batch token appears more than once.' WHEN kind <> '' THEN reason ELSE perr END AS r FROM bs) b LEFT JOIN versions v ON v.version_id = b.vid""",
     BATCH,
 )
+_REPORTS = BATCH.replace("br AS (SELECT * FROM br0", "br AS (SELECT row_no, CASE WHEN row_no % 89 = 0 THEN regexp_replace(filename, 'pdf$', 'docx') ELSE filename END AS filename, pp, sp FROM (SELECT * FROM br0").replace(
+    "FROM br0 WHERE row_no % 97 = 0)", "FROM br0 WHERE row_no % 97 = 0))"
+).replace("WHERE nerr = ''),", "WHERE nerr = '' AND filename LIKE '%.pdf'),", 1)
 SQL["batch_report_dispositions"] = query(
     ["scope"],
-    """SELECT row_no, filename, NULL AS record_id, NULL AS token, NULL AS version_id, 'invalid' AS disposition, nerr AS reason, NULL AS report_path FROM bn WHERE nerr <> ''
-    UNION ALL SELECT row_no, filename, record_id, token, CASE WHEN d = 'updated' THEN vid END, d, CASE WHEN d = 'updated' THEN '' WHEN d = 'invalid' THEN 'Several reports for one version.' ELSE reason END,
+    """SELECT row_no, filename, NULL AS record_id, NULL AS token, NULL AS version_id, 'invalid' AS disposition, CASE WHEN nerr <> '' THEN nerr ELSE 'A report must be a PDF file.' END AS reason,
+      NULL AS report_path FROM bn WHERE nerr <> '' OR filename NOT LIKE '%.pdf'
+    UNION ALL SELECT row_no, filename, record_id, token, CASE WHEN d = 'updated' THEN vid END, d, CASE WHEN n_same > 1 THEN 'The same id and batch token appears more than once.'
+      WHEN d = 'updated' THEN '' WHEN d = 'invalid' THEN 'Several reports for one version.' ELSE reason END,
       CASE WHEN d = 'updated' THEN 'in/' || filename END FROM (
-      SELECT *, CASE WHEN kind <> '' THEN kind WHEN count(*) FILTER (kind = '') OVER (PARTITION BY vid) > 1 THEN 'invalid' ELSE 'updated' END AS d FROM bs)""",
-    BATCH,
+      SELECT *, CASE WHEN n_same > 1 THEN 'invalid' WHEN kind <> '' THEN kind WHEN count(*) FILTER (kind = '' AND n_same = 1) OVER (PARTITION BY vid) > 1 THEN 'invalid' ELSE 'updated' END AS d FROM bs)""",
+    _REPORTS,
 )
 _MAN = """SELECT '{s}' AS scope, record_id, version_id, record_id || '_B2.pdf' AS file_name, pdf_current_hash AS sha256,
   CASE WHEN pdf_current_hash IS NULL THEN 'No publication PDF.' WHEN count(pdf_current_hash) OVER (PARTITION BY record_id) > 1 THEN 'Export file name is not unique.' ELSE '' END AS reason,

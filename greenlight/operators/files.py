@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from greenlight.functions.text import file_extension, file_name, filled
@@ -89,16 +94,78 @@ def needs_processing() -> Column:
     )
 
 
-def hash_files(files: DataFrame, known: DataFrame) -> DataFrame:
-    """(path, length, modified, sha256): hash only files whose stat signature is new.
+HASHED = "path string, length long, modified timestamp, sha256 string, bytes_read long, error string"
+
 
-    ``files`` has path, length, modified and content; ``known`` is an earlier result.
-    Content is read after the anti join removed the known ones.
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length, modified) of all files below a folder. The listing alone: no content is read.
+
+    Spark's listing leaves out empty files and names that begin with a dot or an underscore.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return found.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def _reader(chunk: int):
+    schema = pa.schema([
+        ("path", pa.string()), ("length", pa.int64()), ("modified", pa.timestamp("us", tz="UTC")), ("sha256", pa.string()), ("bytes_read", pa.int64()), ("error", pa.string()),
+    ])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            digests, sizes, errors = [], [], []
+            for path in batch.column("path").to_pylist():
+                digest, size, error = hashlib.sha256(), 0, None
+                try:
+                    store, name = _store_of(path)
+                    with store.open_input_stream(name, compression=None) as file:
+                        while piece := file.read(chunk):
+                            digest.update(piece)
+                            size += len(piece)
+                except (OSError, pa.ArrowInvalid) as problem:  # gone or closed to us since the listing: a row, not a failed job
+                    error = str(problem)
+                digests.append(None if error else digest.hexdigest())
+                sizes.append(size)
+                errors.append(error)
+            columns = [batch.column(c) for c in ("path", "length", "modified")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(errors, pa.string())], schema=schema)
+
+    return read
+
+
+def _store_of(path: str):
+    """The file system of a path as Spark lists it, which isn't escaped, and the name there."""
+    from pyarrow import fs
+
+    scheme, host, name = re.fullmatch(r"(?:([A-Za-z][\w+.-]*):(?://([^/]*))?)?(/.*)", path, re.S).groups()
+    if scheme in (None, "file"):
+        return fs.LocalFileSystem(), name
+    store, base = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+    return store, base.rstrip("/") + name
+
+
+def hash_files(listed: DataFrame, known: DataFrame, chunk: int = 1 << 20) -> DataFrame:
+    """(path, length, modified, sha256, bytes_read, error) of all listed files, of which only new ones are read.
+
+    ``listed`` has path, length and modified, as of ``list_files``; ``known`` is an earlier result. What was hashed
+    under the same path, length and time is taken over by a join of the narrow rows. The others are dealt out evenly
+    and read by the tasks themselves, ``chunk`` bytes at a time, so a file of any length takes the memory of a chunk.
+    A file that can't be read is a row with its error and no digest, and is read again next time.
     """
     keys = ["path", "length", "modified"]
-    fresh = files.join(known.select(*keys), keys, "left_anti").select(
-        *keys, F.sha2("content", 256).alias("sha256")
-    )
+    hashed = known.where("sha256 IS NOT NULL").groupBy(*keys).agg(F.max("sha256").alias("sha256"))
+    kept = listed.select(*keys).distinct().join(hashed, keys).select(*keys, "sha256", F.lit(0).cast("long").alias("bytes_read"), F.lit(None).cast("string").alias("error"))
+    parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fresh = listed.select(*keys).distinct().join(hashed, keys, "left_anti").repartition(parts)
+    return kept.unionByName(fresh.mapInArrow(_reader(chunk), HASHED))
+
+
+def hash_contents(files: DataFrame, known: DataFrame) -> DataFrame:
+    """(path, length, modified, sha256) of rows that carry their content: those of a new signature are hashed."""
+    keys = ["path", "length", "modified"]
+    fresh = files.join(known.select(*keys), keys, "left_anti").select(*keys, F.sha2("content", 256).alias("sha256"))
     kept = known.join(files.select(*keys), keys, "left_semi").select(*keys, "sha256")
     return kept.unionByName(fresh)
 

@@ -210,15 +210,34 @@ def external_rows(d) -> DataFrame:
     return rows.unionByName(again).drop("format_status")
 
 
-@query
-def apply_scores(d):
-    out = results.apply_scores(external_rows(d), d.versions, d.master)
+def _told(out):
     return out.select(
         "row_no", "version_id", "disposition", F.col("similarity").cast("double").alias("similarity"),
         F.col("single").cast("double").alias("single"), "report_stale",
     )
 
 
+@query
+def apply_scores(d):
+    """A file that names some versions twice: refused as a whole."""
+    return _told(results.apply_scores(external_rows(d), d.versions, d.master))
+
+
+@query
+def apply_scores_once(d):
+    """The same file with each row once."""
+    return _told(results.apply_scores(external_rows(d).where("row_no < 10000000"), d.versions, d.master))
+
+
+@query
+def write_scores(d):
+    """Scores after both files: the one with repeats changes nothing."""
+    rows = external_rows(d)
+    after = results.write_scores(d.versions, results.apply_scores(rows, d.versions, d.master))
+    after = results.write_scores(after, results.apply_scores(rows.where("row_no < 10000000 AND single = '2.00'"), d.versions, d.master))
+    return after.select("version_id", F.col("similarity").cast("double").alias("similarity"), F.col("single").cast("double").alias("single"), "report_stale")
+
+
 def _provenance(d) -> DataFrame:
     sent = d.scoped.filter("pdf_current_hash IS NOT NULL")
     base = sent.select(F.lit("B1").alias("token"), F.lit("all").alias("scope"), "record_id", "version_id", F.col("pdf_current_hash").alias("sha256"),
@@ -251,7 +270,8 @@ def batch_dispositions(d):
 
 @query
 def batch_report_dispositions(d):
-    files = batch_rows(d).select("row_no", "filename", F.concat(F.lit("in/"), F.col("filename")).alias("path"))
+    rows = batch_rows(d).withColumn("filename", F.when(F.col("row_no") % 89 == 0, F.regexp_replace("filename", "pdf$", "docx")).otherwise(F.col("filename")))
+    files = rows.select("row_no", "filename", F.concat(F.lit("in/"), F.col("filename")).alias("path"))
     return results.apply_batch_reports(files, _provenance(d), d.versions, d.master)
 
 

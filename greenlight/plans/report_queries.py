@@ -415,4 +415,4 @@ def hash_reuse(d):
     )
     even = F.substring("path", -1, 1).cast("int") % 2 == 0
     known = docs.select("path", F.when(even, F.col("length")).otherwise(-1).alias("length"), "modified", F.lit("stored").alias("sha256"))
-    return files.hash_files(docs, known).select("path", "length", "sha256")
+    return files.hash_contents(docs, known).select("path", "length", "sha256")

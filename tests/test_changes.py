@@ -1,3 +1,4 @@
+import hashlib
 import random
 from datetime import datetime
 
@@ -109,6 +110,35 @@ def test_external_scores(spark):
     assert (int(after["similarity"]), int(after["single"]), after["report_stale"]) == (41, 1, True)
 
 
+def test_a_score_file_with_two_rows_for_a_version_is_refused(spark):
+    m = master(spark, {"record_id": "P1"}, {"record_id": "P2"})
+    v = versions(spark, {"version_id": "F1"}, {"version_id": "F2", "record_id": "P2"})
+    rows = spark.createDataFrame(
+        [(2, "F1", "", "40"), (3, "", "P2", "50"), (4, "", "P1", "60"), (5, "gone", "", "1")], "row_no long, version_id string, record_id string, similarity string"
+    )
+    out = results.apply_scores(rows, v, m)
+    assert {r["row_no"]: r["disposition"] for r in out.collect()} == {2: "duplicate", 3: "refused", 4: "duplicate", 5: "unmatched"}
+    assert results.write_scores(v, out).exceptAll(v).count() == 0
+    none = results.apply_scores(rows.limit(0), v, m)
+    assert none.count() == 0 and results.write_scores(v, none).exceptAll(v).count() == 0
+
+
+def test_reports_that_come_twice_are_invalid_before_they_are_looked_up(spark):
+    m = master(spark, {"record_id": "P1"}, {"record_id": "P2"})
+    v = versions(spark, {"version_id": "F1"}, {"version_id": "F2", "record_id": "P2"})
+    prov = spark.createDataFrame(
+        [("T", "all", "P1", "F1", "h1"), ("U", "all", "P1", "F1", "h1"), ("T", "all", "P2", "F2", "h1")], "token string, scope string, record_id string, version_id string, sha256 string"
+    )
+    names = ["P1_T.pdf", "P1_U.pdf", "P2_T.pdf", "P2_T.docx", "P9_X.pdf", "P9_X.PDF", "P9_Y.pdf", "P2.pdf"]
+    files_in = spark.createDataFrame([(k, n, f"in/{n}") for k, n in enumerate(names)], "row_no long, filename string, path string")
+    got = {names[r["row_no"]]: (r["disposition"], r["reason"], r["version_id"]) for r in results.apply_batch_reports(files_in, prov, v, m).collect()}
+    several, repeated = "Several reports for one version.", results.REPEATED
+    assert got["P1_T.pdf"] == got["P1_U.pdf"] == ("invalid", several, None)
+    assert got["P2_T.pdf"] == ("updated", "", "F2") and got["P2_T.docx"] == ("invalid", results.NOT_PDF, None)
+    assert got["P9_X.pdf"] == got["P9_X.PDF"] == ("invalid", repeated, None)
+    assert got["P9_Y.pdf"][0] == "stale" and got["P2.pdf"][0] == "invalid"
+
+
 def test_manual_and_imported_author_edits_differ(spark):
     v = versions(spark, {"version_id": "F1", "duplicate_review_status": "review_ok", "name_waiver_approved": True})
     edits = spark.createDataFrame([("F1", ["authors"], "New")], "version_id string, changed_fields array<string>, new_authors string")
@@ -166,7 +196,7 @@ def test_hashes_are_reused_by_signature(spark):
     schema = "path string, length long, modified timestamp, content binary"
     listed = spark.createDataFrame([("a", 1, at, b"a"), ("b", 1, at, b"b"), ("c", 2, at, b"cc")], schema)
     known = spark.createDataFrame([("a", 1, at, "kept"), ("b", 9, at, "old"), ("z", 1, at, "gone")], "path string, length long, modified timestamp, sha256 string")
-    got = {r["path"]: r["sha256"] for r in files.hash_files(listed, known).collect()}
+    got = {r["path"]: r["sha256"] for r in files.hash_contents(listed, known).collect()}
     assert got["a"] == "kept" and got["b"].startswith("3e23e8160039594a") and set(got) == {"a", "b", "c"}
 
 
@@ -187,3 +217,34 @@ def test_covered_paths_equal_a_prefix_test(spark):
             spark.createDataFrame([(p, 1) for p in paths + paths[:5]], "path string, end int"), spark.createDataFrame([(t,) for t in trees + trees[:1]], "path string").repartition(3)
         )
         assert sorted(r["path"] for r in found.collect()) == want
+
+
+def test_only_new_files_are_read(spark, tmp_path):
+    store = tmp_path / "store"
+    (store / "sub folder").mkdir(parents=True)
+    contents = {"a.pdf": b"alpha", "sub folder/b%20c.zip": bytes(range(256)) * 5000, "old": b"old", "sub folder/é.pdf": b"e"}
+    for name, data in contents.items():
+        (store / name).write_bytes(data)
+    listed = files.list_files(spark, str(store))
+    assert "content" not in listed.columns
+    none = spark.createDataFrame([], files.HASHED)
+    first = files.hash_files(listed, none, chunk=1000)
+    first.write.parquet(str(tmp_path / "first"))
+    first = spark.read.parquet(str(tmp_path / "first"))
+    digests = sorted(hashlib.sha256(data).hexdigest() for data in contents.values())
+    assert sorted(r["sha256"] for r in first.collect()) == digests
+    assert {r["bytes_read"] == r["length"] and r["error"] is None for r in first.collect()} == {True}
+    (store / "a.pdf").write_bytes(b"beta and more")
+    (store / "new.pdf").write_bytes(b"new")
+    (store / "old").unlink()
+    second = files.hash_files(files.list_files(spark, str(store)), first).collect()
+    assert sum(r["bytes_read"] for r in second) == len(b"beta and more") + len(b"new")
+    assert len(second) == 5 - 1 and hashlib.sha256(b"old").hexdigest() not in {r["sha256"] for r in second}
+
+
+def test_a_file_that_is_gone_is_a_row_with_its_error(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    listed = spark.createDataFrame([(f"file:{tmp_path}/gone.pdf", 3, at)] * 2, "path string, length long, modified timestamp")
+    known = listed.selectExpr("*", "cast(null as string) AS sha256", "0L AS bytes_read", "'gone' AS error")
+    rows = files.hash_files(listed, known).collect()
+    assert [(r["sha256"], r["bytes_read"]) for r in rows] == [(None, 0)] and rows[0]["error"]
