@@ -18,10 +18,7 @@ ex_txt AS (SELECT *, type_label || ': ' || concat_ws(' - ', CASE status WHEN 'al
     'current ' || {shown('current_value')}, limit_label, 'approved ' || {shown('approved_value')}) || CASE WHEN reason <> '' THEN E'\\nReason: ' || reason ELSE '' END AS txt FROM exc),
 ex_on AS (SELECT record_id AS rid, type, exception_key, txt FROM ex_txt WHERE record_id <> ''
   UNION ALL SELECT r.record_id, type, exception_key, txt FROM ex_txt JOIN name_recs r ON exception_key = 'author_limit:' || r.norm WHERE ex_txt.record_id = ''),
-crowd AS (SELECT record_id FROM av WHERE record_id <> '' GROUP BY 1 HAVING count(*) > 1),
-ex_ln AS (SELECT rid, type, exception_key, txt FROM ex_on WHERE rid NOT IN (SELECT record_id FROM crowd)
-  UNION ALL SELECT rid, type, '', type || ': ' || count(*) || ' rows' FROM ex_on WHERE rid IN (SELECT record_id FROM crowd) GROUP BY rid, type),
-ex_rec AS (SELECT rid, string_agg(txt, E'\\n\\n' ORDER BY type, exception_key) AS exceptions FROM ex_ln WHERE rid IN (SELECT record_id FROM master) GROUP BY rid)
+ex_rec AS (SELECT rid, count(*) AS n_exceptions FROM ex_on WHERE rid IN (SELECT record_id FROM master) GROUP BY rid)
 """
 DETAIL = f"""
 {FOUND.strip()},
@@ -29,9 +26,7 @@ DETAIL = f"""
 {PER.strip()},
 bl_on AS (SELECT record_id AS rid, category, version_id, message FROM blocking WHERE record_id <> ''
   UNION ALL SELECT r.record_id, category, version_id, message FROM blocking b JOIN name_recs r ON exception_key = 'author_limit:' || r.norm WHERE b.record_id = ''),
-bl_ln AS (SELECT rid, category, version_id || ' ' || message AS srt, category || ': ' || message AS txt FROM bl_on WHERE rid NOT IN (SELECT record_id FROM crowd)
-  UNION ALL SELECT rid, category, '', category || ': ' || count(*) || ' rows' FROM bl_on WHERE rid IN (SELECT record_id FROM crowd) GROUP BY rid, category),
-bl_rec AS (SELECT rid, string_agg(txt, E'\\n' ORDER BY category, srt) AS blocking_text FROM bl_ln WHERE rid IN (SELECT record_id FROM master) GROUP BY rid),
+bl_rec AS (SELECT rid, count(*) AS n_blocking FROM bl_on WHERE rid IN (SELECT record_id FROM master) GROUP BY rid),
 det AS (SELECT m.record_id AS mid, m.title AS m_title, m.decision AS md, g.n_active, a.* FROM master m LEFT JOIN record_groups g USING (record_id)
   LEFT JOIN av a ON a.record_id = m.record_id AND g.n_active = 1)
 """
@@ -45,23 +40,30 @@ SQL["record_detail"] = query(
         WHEN {norm('m_title')} = {norm('extracted_title')} AND {norm('title')} = {norm('extracted_title')} THEN 'Master and Final titles differ'
         ELSE concat_ws('; ', CASE WHEN {norm('m_title')} <> {norm('extracted_title')} THEN 'Master title differs' END, CASE WHEN {norm('title')} <> {norm('extracted_title')} THEN 'Final title differs' END) END AS comparison,
       coalesce(extracted_authors, '') AS extracted_authors, CASE WHEN extracted_authors <> '' THEN {NAMES_N} END AS n_names, pages, similarity, single,
-      coalesce(exceptions, '') AS exceptions,
-      CASE md WHEN 'not_publishing' THEN 'Not publishing' WHEN 'decision_required' THEN 'Decision required' ELSE CASE WHEN blocking_text IS NOT NULL OR version_id IS NULL THEN 'Not ready' ELSE 'Ready' END END AS readiness,
-      coalesce(blocking_text, '') AS blocking
+      coalesce(n_exceptions, 0) AS n_exceptions,
+      CASE md WHEN 'not_publishing' THEN 'Not publishing' WHEN 'decision_required' THEN 'Decision required' ELSE CASE WHEN n_blocking IS NOT NULL OR version_id IS NULL THEN 'Not ready' ELSE 'Ready' END END AS readiness,
+      coalesce(n_blocking, 0) AS n_blocking
     FROM det LEFT JOIN ex_rec ON ex_rec.rid = mid LEFT JOIN bl_rec ON bl_rec.rid = mid""",
     DETAIL,
 )
+SQL["record_lines"] = query(
+    ["current", "counts", "groups"],
+    """SELECT record_id, 'version' AS kind, version_id AS sort_1, '' AS sort_2, version_id AS text FROM av WHERE record_id IN (SELECT record_id FROM master)
+    UNION ALL SELECT rid, 'exception', type, exception_key, txt FROM ex_on WHERE rid IN (SELECT record_id FROM master)
+    UNION ALL SELECT rid, 'blocking', category, version_id || ' ' || message, category || ': ' || message FROM bl_on WHERE rid IN (SELECT record_id FROM master)""",
+    DETAIL,
+)
 SQL["manifest"] = query(
     ["current", "counts"],
-    f"""SELECT record_id, extracted_title, extracted_authors, CASE WHEN extracted_authors <> '' THEN {NAMES_N} END AS n_names, pages, similarity, single, coalesce(exceptions, '') AS exceptions
+    f"""SELECT record_id, extracted_title, extracted_authors, CASE WHEN extracted_authors <> '' THEN {NAMES_N} END AS n_names, pages, similarity, single, coalesce(n_exceptions, 0) AS n_exceptions
     FROM current_v LEFT JOIN ex_rec ON rid = record_id WHERE pdf_current_hash IS NOT NULL AND source_current_hash IS NOT NULL""",
     EXC.strip() + ",\n" + PER.strip(),
 )
 SQL["warnings"] = query(
     ["current", "counts", "groups"],
     """SELECT 'Readiness blocker' AS type, record_id, version_id, category, message FROM blocking
-    UNION ALL SELECT 'Skipped from draft package', rid, coalesce(version_id, ''), c, CASE c WHEN 'Missing Final Submission' THEN 'Skipped because this Paper Master record has no active final submission.'
-      WHEN 'Missing PDF' THEN 'Skipped because no publication PDF file is available.' ELSE 'Skipped because no publication source file is available.' END
+    UNION ALL SELECT 'Skipped from draft package', rid, coalesce(version_id, ''), c, CASE c WHEN 'Missing Final Submission' THEN 'Left out: no active version.'
+      WHEN 'Missing PDF' THEN 'Left out: its PDF is not there.' ELSE 'Left out: its source file is not there.' END
     FROM (SELECT rid, version_id, CASE WHEN version_id IS NULL THEN 'Missing Final Submission' WHEN pdf_current_hash IS NULL THEN 'Missing PDF' WHEN source_current_hash IS NULL THEN 'Missing Source File' END AS c FROM rec)
     WHERE c IS NOT NULL""",
     FOUND,

@@ -36,6 +36,12 @@ def note_summary(d):
     return reports.note_summary(d.master)
 
 
+@query
+def record_lines(d):
+    """Versions, exceptions and blocking findings of every record, a row each."""
+    return reports.record_lines(d.master, d.versions, d.waivers, d.settings)
+
+
 @query
 def manifest(d):
     return reports.manifest(d.master, d.versions, d.waivers, d.settings, draft=True)

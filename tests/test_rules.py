@@ -143,5 +143,19 @@ def test_record_detail(spark):
     got = {r["record_id"]: r for r in reports.record_detail(m, v, waivers(spark), S).collect()}
     assert got["P1"]["readiness"] == "Ready" and got["P1"]["comparison"] == "All titles match"
     assert got["P2"]["readiness"] == "Not ready"
-    assert got["P2"]["blocking"] == "Page Limit Exceeded: 20 pages, over the limit of 12."
-    assert got["P2"]["exceptions"] == "Page count: Not allowed - current 20 - 6-12 pages"
+    assert (got["P2"]["n_blocking"], got["P2"]["n_exceptions"], got["P1"]["n_blocking"]) == (1, 1, 0)
+    lines = {(r["record_id"], r["kind"]): r["text"] for r in reports.record_lines(m, v, waivers(spark), S).collect()}
+    assert lines[("P2", "blocking")] == "Page Limit Exceeded: 20 pages, over the limit of 12."
+    assert lines[("P2", "exception")] == "Page count: Not allowed - current 20 - 6-12 pages"
+
+
+def test_lines_of_a_record_with_several_versions(spark):
+    """A record of several active versions shows none of them in its row, and all of them and their messages as lines."""
+    m = master(spark, {"record_id": "P1"})
+    v = versions(spark, {"version_id": "F1", "pages": 20}, {"version_id": "F2", "pages": 21}, {"version_id": "F9", "record_id": "gone"})
+    row = reports.record_detail(m, v, waivers(spark), S).first()
+    lines = reports.record_lines(m, v, waivers(spark), S).collect()
+    assert (row["version_id"], row["n_active"], row["readiness"]) == ("", 2, "Not ready")
+    assert sorted(r["text"] for r in lines if r["kind"] == "version") == ["F1", "F2"]
+    assert {r["text"] for r in lines if r["sort_1"] == "page_count"} == {f"Page count: Not allowed - current {n} - 6-12 pages" for n in (20, 21)}
+    assert row["n_exceptions"] == sum(r["kind"] == "exception" for r in lines) and row["n_blocking"] == sum(r["kind"] == "blocking" for r in lines) > 2
