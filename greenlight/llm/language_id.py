@@ -4,23 +4,27 @@ A text is its UTF-8 bytes with Latin letters lower-cased and every run of ASCII
 features are the relative frequencies of hashed byte 2- to 4-grams, so a linear classifier's value is the mean
 weight over the grams and a text is scored in one pass, in bounded pieces, whatever its length.
 
-The classifiers are fitted on the driver from at most ``per_label`` texts for each label: families one against
-the rest, then each pair of languages of one family. Which languages belong together is a parameter.
+The classifiers are fitted on the driver from at most ``per_label`` texts for each label and the 3000 most common
+of the 32,768 hashed grams: families one against the rest, then each pair of languages of one family. Which languages
+belong together is a parameter. The driver gets one count a label, so the labels must be the bounded set of a language
+column.
 
 Defined results
 - Null text and text without a letter: ``und`` with score 0.
 - Labels that are null are not learned. With one label in the training rows, every text with a letter gets it;
   with none, all get ``und``.
-- Rows are judged one by one, repeated or not; extra columns don't matter.
+- Very long texts are read in pieces and judged whole. Equal pair wins go to the higher sum of pair values, then to the
+  label that sorts first; equal families likewise.
+- Rows are judged one by one, repeated or not; an empty table gives no rows; extra columns don't matter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +34,7 @@ from greenlight.llm.words import slices
 PER_LABEL = 400
 BITS = 15
 ORDERS = (2, 3, 4)
-PIECE = 2 << 20
+PIECE = 256 << 10
 UNKNOWN = "und"
 
 #: Families of ISO 639-1 languages (fixed values); a language that isn't listed is a family of its own.
@@ -95,27 +99,34 @@ def gram_bounds(offsets: np.ndarray, order: int, first_places: int) -> tuple[np.
 
 
 def _sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
-    np.cumsum(values, axis=0, dtype=np.float64, out=total[1:])
-    last = len(values)
-    return total[np.minimum(ends, last)] - total[np.minimum(starts, last)]
+    """Sums of the rows of ``values`` from each start to its end; the ranges are in order."""
+    full = ends > starts
+    out = np.zeros((len(starts), *values.shape[1:]))
+    if full.any():
+        edges = np.stack([starts[full], ends[full]], axis=1).ravel()
+        edges = edges[:-1] if edges[-1] >= len(values) else edges
+        out[full] = np.add.reduceat(values, edges, axis=0, dtype=np.float64)[::2]
+    return out
+
 
+def text_features(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets and relative frequencies of each text, one text at a time."""
 
-def text_features(column) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Buckets and relative frequencies of each text."""
-    counts: dict[int, np.ndarray] = {}
+    def sparse(counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(counted)
+        return at.astype(np.int32), counted[at] / max(1.0, counted.sum())
+
+    own, current = np.zeros(1 << BITS), 0
     for rows, data, offsets, places in pieces(column):
         coded = [(code, *gram_bounds(offsets, order, places)) for order, code in zip(ORDERS, grams(data))]
         for k, row in enumerate(rows.tolist()):
-            own = counts.setdefault(row, np.zeros(1 << BITS))
+            if row > current:
+                yield sparse(own)
+                own[:], current = 0.0, row
             for code, starts, ends in coded:
                 own += np.bincount(code[starts[k] : ends[k]], minlength=1 << BITS)
-    out = []
-    for row in range(len(column)):
-        own = counts.pop(row)
-        at = np.flatnonzero(own)
-        out.append((at.astype(np.int32), own[at] / max(1.0, own.sum())))
-    return out
+    if len(column):
+        yield sparse(own)
 
 
 def fit_svm(x: np.ndarray, positive: np.ndarray, cost: float = 10.0, rounds: int = 150) -> tuple[np.ndarray, float]:
@@ -241,7 +252,7 @@ def sample(docs: DataFrame, training: Column, per_label: int) -> DataFrame:
 def learn(docs: DataFrame, training: Column, per_label: int = PER_LABEL, family_of: dict[str, str] = FAMILY_OF) -> Model:
     def featured(batches):
         for batch in batches:
-            found = text_features(batch.column("text"))
+            found = list(text_features(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("lang"), pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.float64()))],
                 ["lang", "at", "value"],
@@ -256,11 +267,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` with ``lang_pred`` and ``score`` added (columns of these names are replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def judge(text: pd.Series) -> pd.DataFrame:
-        column = pa.array(text, pa.string(), from_pandas=True)
-        names, score = shared.value.predict(column)
-        return pd.DataFrame({"lang_pred": names, "score": score})
+    @F.arrow_udf("lang_pred string, score double")
+    def judge(text: pa.Array) -> pa.Array:
+        names, score = shared.value.predict(text)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     letter = F.expr(r"coalesce(cast(text as string), '') rlike '\\p{L}'")

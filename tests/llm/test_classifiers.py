@@ -1,5 +1,7 @@
 import random
+import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +46,40 @@ def test_language_pieces_equal_the_whole(spark):
         language_id.PIECE = small
 
 
+def naive_margins(model, text):
+    """Mean weight over all grams of one text, gram by gram."""
+    data = re.sub(rb"[^a-z\x80-\xff]+", b" ", re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: m[0].lower(), text).encode())
+    found = [int(language_id.grams(np.frombuffer(data[k : k + n], np.uint8))[language_id.ORDERS.index(n)][0])
+             for n in language_id.ORDERS for k in range(len(data) - n + 1)]
+    return sum(model.weights[g].astype(float) for g in found) / max(1, len(found)) + model.bias
+
+
+def test_language_equals_a_naive_scorer(spark):
+    rows = corpus(60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs, F.lit(True), per_label=20)
+    texts = [r[1] for r in rows[:12]] + ["", "a", "ab", "ÄÖ Über, x9y", "die"]
+    margins = model.margins(pa.array(texts))
+    for k, text in enumerate(texts):
+        want = naive_margins(model, text)
+        assert abs(margins[k] - want).max() < 1e-5
+        n = len(model.families)
+        codes = model.languages[model.families[int(want[:n].argmax())]]
+        votes = {c: 0.0 for c in codes}
+        for p, (a, b) in enumerate(model.pairs):
+            if a in codes:
+                votes[a if want[n + p] > 0 else b] += 1
+        assert model.predict(pa.array([text]))[0][0] == max(votes, key=votes.get)
+
+
+def test_language_of_an_empty_table_and_repeated_rows(spark):
+    docs = spark.createDataFrame(corpus(40), "doc_id long, text string, lang string")
+    model = language_id.learn(docs, F.lit(True), per_label=20)
+    assert language_id.predict(docs.limit(0), model).count() == 0
+    twice = language_id.predict(docs.union(docs), model).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("lang_pred", "score").alias("kinds")).collect()
+    assert len(twice) == 40 and all(r.n == 2 and r.kinds == 1 for r in twice)
+
+
 @pytest.mark.parametrize("langs,want", [([], "und"), (["en"], "en")])
 def test_language_with_few_labels(spark, langs, want):
     docs = spark.createDataFrame([(k, "some text here", lang) for k, lang in enumerate(langs + [None])], "doc_id long, text string, lang string")
