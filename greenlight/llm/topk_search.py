@@ -1,6 +1,6 @@
 """Exact top-k inner products by the threshold algorithm, in blocks of queries and blocks of vectors.
 
-Vectors are dealt into blocks of bounded size by the hash of their id, and every block of queries meets every
+Vectors are dealt into blocks of bounded size by a hash of id and components, and every block of queries meets every
 block of vectors once. A meeting sorts the block by each dimension and walks the lists from the end that a
 query's sign favours, a stretch at a time: vectors seen for the first time are scored in full, and the walk
 ends when the bound on all unseen vectors, the inner product with the values at the present depth, is below
@@ -9,7 +9,8 @@ the k-th score so far. The best k of all blocks are then ranked per query.
 Defined results
 - Components become ``floor(scale * x)`` as long. Vectors that are null or hold null or non-finite
   components, and rows without an id, take no part.
-- Of rows that share an id the one with the smallest vector stands for all.
+- Rows that share an id are candidates each, and queries each; a query id's ranks are those of all its rows together.
+  Rows that are equal in id and components are searched once and counted as often as they occur.
 - A query never meets its own id; ties go to the smaller id. Vectors of another length than the query's have
   no score with it. Scores must fit a long; an empty table gives no rows. Extra columns are ignored.
 """
@@ -27,16 +28,16 @@ FIRST_STRETCH = 16
 EXACT_DOUBLE = 1 << 53
 EXACT_LONG = 1 << 63
 
-SCORED = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+SCORED = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("copies", pa.int32())])
 
 
 def quantised(vectors: DataFrame, scale: int, id_column: str, vector_column: str) -> DataFrame:
-    """vec_id and whole-number components of the vectors that take part, one row for each id."""
+    """vec_id and whole-number components of the vectors that take part, and how many rows hold both."""
     x = F.col(vector_column).cast("array<double>")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     rows = vectors.where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull()).where(finite)
     rows = rows.select(F.col(id_column).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v)).alias("vec"))
-    return rows.groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    return rows.groupBy("vec_id", "vec").agg(F.count("*").alias("copies"))
 
 
 def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
@@ -64,13 +65,13 @@ class Lists:
         return np.array(self.values[rows].astype(object) @ query.astype(object), dtype=object)
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows for one query, and of fewer if there are fewer."""
+        """Row numbers and scores of the k best rows for one query, and of fewer if there are fewer."""
         n = len(self.ids)
         dims = np.flatnonzero(query)
         down = query[dims] > 0
         weights = query[dims].astype(object) if self.largest >= 1 << 26 else query[dims]
         seen = self.ids == query_id
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         depth, stretch = 0, FIRST_STRETCH
         while depth < n:
             stop = min(n, depth + stretch)
@@ -82,33 +83,36 @@ class Lists:
                 fresh[:], stop = True, n
             rows = np.flatnonzero(fresh & ~seen)
             seen |= fresh
-            ids = np.concatenate([ids, self.ids[rows]])
+            found = np.concatenate([found, rows])
             scores = np.concatenate([scores, self.scores(rows, query)])
-            if len(ids) > k:
-                if len(ids) > 8 * k and scores.dtype != object:
+            if len(found) > k:
+                if len(found) > 8 * k and scores.dtype != object:
                     near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-                    ids, scores = ids[near], scores[near]
-                best = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[best], scores[best]
+                    found, scores = found[near], scores[near]
+                best = np.lexsort((self.ids[found], -scores))[:k]
+                found, scores = found[best], scores[best]
             at = np.where(down, n - stop, stop - 1)
             bound = (self.sorted[at, dims] * weights).sum()
-            if len(ids) == k and bound < scores[-1] or seen.all():
+            if len(found) == k and bound < scores[-1] or seen.all():
                 break
             depth, stretch = stop, stretch * 2
-        return ids, scores
+        return found, scores
 
 
 def _meet(k: int):
     def meet(queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        out_q, out_v, out_s = [], [], []
+        out_q, out_v, out_s, out_c = [], [], [], []
         if queries.num_rows and vectors.num_rows:
             block = Lists(vectors.column("vec_id").to_numpy(), _matrix(vectors.column("vec"), vectors.num_rows))
-            for query_id, query in zip(queries.column("vec_id").to_pylist(), _matrix(queries.column("vec"), queries.num_rows)):
-                ids, scores = block.search(query_id, query, k)
-                out_q += [query_id] * len(ids)
-                out_v += ids.tolist()
+            copies = np.minimum(vectors.column("copies").to_numpy(), k)
+            own = queries.column("vec_id").to_pylist(), queries.column("copies").to_pylist()
+            for query_id, repeats, query in zip(*own, _matrix(queries.column("vec"), queries.num_rows)):
+                rows, scores = block.search(query_id, query, k)
+                out_q += [query_id] * len(rows)
+                out_v += block.ids[rows].tolist()
                 out_s += scores.tolist()
-        return pa.table([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.int64())], schema=SCORED)
+                out_c += np.minimum(copies[rows] * min(repeats, k), k).tolist()
+        return pa.table([pa.array(x, kind) for x, kind in zip((out_q, out_v, out_s, out_c), SCORED.types)], schema=SCORED)
 
     return meet
 
@@ -121,11 +125,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     ids = vectors.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("vec_id"))
     counted = ids.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
     n_blocks, q_blocks = -(-max(1, counted["n"]) // vector_block), -(-max(1, counted["q"]) // query_block)
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("vec_id", "vec"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     queries = rows.where(is_query).withColumn("qb", block(q_blocks)).withColumn("vb", every(n_blocks))
     lists = rows.withColumn("vb", block(n_blocks)).withColumn("qb", every(q_blocks))
     keys = ("qb", "vb", "dims")
-    met = queries.groupBy(*keys).cogroup(lists.groupBy(*keys)).applyInArrow(_meet(k), "query_id long, vec_id long, score long")
+    met = queries.groupBy(*keys).cogroup(lists.groupBy(*keys)).applyInArrow(_meet(k), "query_id long, vec_id long, score long, copies int")
+    met = met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))  # at most k
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

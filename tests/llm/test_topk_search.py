@@ -8,16 +8,12 @@ from greenlight.llm import topk_search
 
 
 def brute_force(rows, k, scale):
-    whole = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            q = [math.floor(scale * x) for x in v]
-            whole[i] = min(whole.get(i, q), q)
+    whole = [(i, [math.floor(scale * x) for x in v]) for i, v in rows
+             if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, q in whole.items():
-        if i % 5 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in whole.items() if j != i and len(v) == len(q))
-            out += [(i, rank, j, -s) for rank, (s, j) in enumerate(scored[:k], 1)]
+    for i in {i for i, _ in whole if i % 5 == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for own, q in whole if own == i for j, v in whole if j != i and len(v) == len(q))
+        out += [(i, rank, j, -s) for rank, (s, j) in enumerate(scored[:k], 1)]
     return sorted(out)
 
 
@@ -27,6 +23,7 @@ def test_equals_brute_force(spark, blocks):
     rows = [(k, [float(x) for x in rng.normal(size=6).astype(np.float32)]) for k in range(80)]
     rows += [(100 + k, [0.5] * 6) for k in range(30)] + [(200 + k, [0.0] * 6) for k in range(6)] + [(215, [-1.0] * 6), (220, [1e9, -1e9, 3e9, 1.0, 0.0, 2.0])]
     rows += [(300, [0.1, math.nan] + [0.0] * 4), (301, [math.inf] * 6), (302, [None] * 6), (303, None), (None, [0.9] * 6), (305, [0.2] * 4), (306, [0.3] * 4), (5, [9.0] * 6), (310, [])]
+    rows += [(77, [4.0] * 6)] * 3 + [(77, [-4.0] * 6), (78, [4.0] * 6)] + [(315, [-0.5] * 6)] * 2
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, score int").repartition(3)
     got = topk_search.top_k(df, F.col("vec_id") % 5 == 0, k=4, query_block=blocks[0], vector_block=blocks[1])
     assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == brute_force(rows, 4, 1024)
