@@ -4,10 +4,12 @@ A rule is a canonical ``host/path`` with a verdict. It fits a url whose host is
 whose path starts with the rule's; the longest rule that fits decides. Listed keys set one bit in each of
 the eight 32-bit words of one block, so a probe touches one block. The filter's size follows the list up to
 ``max_bytes``, which bounds the broadcast; a fuller filter only lets more keys through to the exact join,
-which removes every false positive.
+which removes every false positive. Urls without a possible hit get the default at once and meet neither the join nor
+a shuffle.
 
 Defined results
 - A null url and one without ``://`` have empty host and path; no rule with a path fits them.
+- Urls of any length are judged whole.
 - Rules with a null host, path or verdict are left out; of rules with the same key, ``block`` wins.
 - Repeated rows are judged row by row; extra columns are ignored. An empty list gives ``default`` to all.
 """
@@ -82,7 +84,7 @@ def _prune(shared):
             kept = np.add.reduceat(np.append(keep, False).astype(np.int64), np.cumsum(lengths) - lengths) * (lengths > 0) if len(lengths) else lengths
             offsets = np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)
             pruned = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), lists.flatten().filter(pa.array(keep)))
-            columns = {n: batch.column(n) for n in ("page_id", "host", "path", "n")} | {"keys": pruned}
+            columns = {n: batch.column(n) for n in ("page_id", "host", "path")} | {"keys": pruned}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return prune
@@ -107,18 +109,20 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", max_bytes:
     ]
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    rows = rows.groupBy("page_id", "host", "path").agg(F.count("*").alias("n"))
-    if shapes:
-        shared = spark.sparkContext.broadcast(build_filter(listed.select(F.xxhash64("key").alias("hash")), max_bytes))
-        keys = F.array_distinct(F.array(*(F.concat(F.substring_index("host", ".", -j), F.substring("path", 1, n)) for j, n in shapes)))
-        rows = rows.withColumn("keys", keys).withColumn("hashes", F.transform("keys", lambda key: F.xxhash64(key)))
-        rows = rows.mapInArrow(_prune(shared), "page_id long, host string, path string, n long, keys array<string>")
-    else:
-        rows = rows.withColumn("keys", F.array().cast("array<string>"))
-    possible = rows.select("page_id", "host", "path", "n", F.explode_outer("keys").alias("key"))
+    missed = lambda rows: rows.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    if not shapes:
+        return missed(rows)
+    shared = spark.sparkContext.broadcast(build_filter(listed.select(F.xxhash64("key").alias("hash")), max_bytes))
+    pairs = F.array(*(F.struct(F.lit(-j).alias("labels"), F.lit(n).alias("chars")) for j, n in sorted(shapes)))
+    cut = lambda s: F.concat(F.call_function("substring_index", "host", F.lit("."), s["labels"]), F.call_function("substring", "path", F.lit(1), s["chars"]))
+    rows = rows.withColumn("keys", F.array_distinct(F.transform(pairs, cut))).withColumn("hashes", F.transform("keys", lambda key: F.xxhash64(key)))
+    rows = rows.mapInArrow(_prune(shared), "page_id long, host string, path string, keys array<string>")
+    hits = rows.where(F.size("keys") > 0).groupBy("page_id", "host", "path", "keys").agg(F.count("*").alias("n"))
+    possible = hits.select("page_id", "host", "path", "n", F.explode("keys").alias("key"))
     best = F.max(F.when(F.col("verdict").isNotNull(), F.struct(F.length("key").alias("size"), F.col("key").alias("rule"), "verdict"))).alias("best")
     found = possible.join(listed.select("key", "verdict"), "key", "left").groupBy("page_id", "host", "path", "n").agg(best)
-    return found.select(
+    found = found.select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
         F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"),
     ).drop("copy")
+    return missed(rows.where(F.size("keys") == 0)).unionByName(found)

@@ -40,6 +40,24 @@ def test_filter_has_no_false_negatives(spark):
     assert url_filter.maybe_contains(bloom, other).mean() < 0.01
 
 
+def test_long_list_without_broadcast_joins_hits_only(spark):
+    """With a list too large to broadcast, urls without a possible hit don't come to the join."""
+    rules = spark.range(100_000).selectExpr("concat('h', id, '.org') as host", "concat('/', id % 50) as path", "'block' as verdict")
+    pages = spark.range(4000).selectExpr("id as page_id", "concat('http://www.h', id * 100, '.org/', if(id % 4 = 0, cast(id * 100 % 50 as string), 'x'), '/p') as url")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        judged = url_filter.judge(pages, rules)
+        blocked = judged.where("verdict = 'block'").collect()
+        assert {r.page_id for r in blocked} == {k for k in range(1000) if k % 4 == 0} and all(r.rule == f"h{r.page_id * 100}.org/0" for r in blocked)
+        assert judged.count() == 4000
+        plan = judged._jdf.queryExecution().optimizedPlan().toString()
+        union = plan.index("Union")
+        assert "Join" not in plan[: union] and plan.count("Join LeftOuter") == 1 and "size(keys" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_empty(spark):
     pages = spark.createDataFrame([(1, "http://a.net/es/")], "page_id long, url string")
     none = spark.createDataFrame([], "host string, path string, verdict string")
