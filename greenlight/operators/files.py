@@ -288,6 +288,11 @@ def candidate_totals(candidates: DataFrame, scan_errors: DataFrame) -> DataFrame
     return totals.withColumn("blocked", errors.scalar())
 
 
+def largest(files: DataFrame, k: int = 20) -> DataFrame:
+    """The ``k`` largest files; ties go to the path that sorts first."""
+    return files.orderBy(F.desc("length"), "path").limit(k)
+
+
 def artifact_counts(files: DataFrame, classes) -> DataFrame:
     """Count by the first pattern contained in the path; ``classes`` is [(pattern, name)]."""
     name = F.when(F.lit(False), "")

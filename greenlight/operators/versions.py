@@ -41,6 +41,19 @@ def recompute(v: DataFrame, rule: str = "final_id") -> DataFrame:
     return base.withColumns({"active": won, "replaced": eligible & ~won}).drop("won")
 
 
+def recompute_touched(v: DataFrame, changed: DataFrame, rule: str = "final_id") -> DataFrame:
+    """``v`` with the rows of ``changed`` in place of those with their ids (or added), and the flags as a full
+    ``recompute`` would set them. ``v`` must carry current flags: only records that a changed row is or was filed
+    under are judged again, all other rows pass through without a shuffle of their own."""
+    own = changed.select("version_id")
+    ids = v.join(own, "version_id", "left_semi").select("record_id").union(changed.select("record_id"))
+    ids = ids.filter(filled("record_id")).distinct()
+    others = v.join(own, "version_id", "left_anti")
+    again = others.join(ids, "record_id", "left_semi").unionByName(changed.select(*v.columns))
+    rest = others.join(ids, "record_id", "left_anti")
+    return rest.select(*v.columns).unionByName(recompute(again, rule).select(*v.columns))
+
+
 def select_active(v: DataFrame, rule: str = "final_id") -> DataFrame:
     return recompute(v, rule).drop("replaced")
 
