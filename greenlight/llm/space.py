@@ -1,14 +1,5 @@
 """Disk space of finished steps."""
 
-from __future__ import annotations
+from greenlight.session import release
 
-import gc
-
-from pyspark.sql import SparkSession
-
-
-def release(spark: SparkSession) -> None:
-    """Ask both collectors to run, so that Spark's cleaner deletes the shuffle files of frames that are out of use
-    now and not when the driver next happens to run short of memory."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+__all__ = ["release"]
