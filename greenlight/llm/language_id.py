@@ -259,8 +259,17 @@ def learn(docs: DataFrame, training: Column, per_label: int = PER_LABEL, family_
             )
 
     rows = sample(docs, training, per_label).mapInArrow(featured, "lang string, at array<int>, value array<double>").toArrow()
-    array = lambda name, kind: [np.array(x, kind) for x in rows[name].to_pylist()]
-    return fit(list(zip(rows["lang"].to_pylist(), array("at", np.int32), array("value", np.float64))), family_of)
+    at, value = lists_of(rows["at"]), lists_of(rows["value"])
+    return fit(list(zip(rows["lang"].to_pylist(), at, value)), family_of)
+
+
+def lists_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of an Arrow column as slices of its own memory, without a Python object for each number."""
+    out: list[np.ndarray] = []
+    for chunk in column.chunks:
+        values, offsets = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        out += [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+    return out
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -111,3 +111,13 @@ def test_quality_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.score(docs, quality.learn(docs, labels, F.lit(True))).first().score == pytest.approx(0.5)
     assert quality.score(docs.limit(0), quality.Ensemble([], [], 0.0)).count() == 0
+
+
+def test_lists_of_an_arrow_column_are_slices_of_its_memory():
+    import pyarrow as pa
+    from greenlight.llm.language_id import lists_of
+
+    whole = pa.array([[9], [1, 2], [], [3]], pa.list_(pa.int32()))
+    column = pa.chunked_array([whole.slice(1), pa.array([[4, 5]], pa.list_(pa.int32()))])
+    assert [x.tolist() for x in lists_of(column)] == [[1, 2], [], [3], [4, 5]]
+    assert all(x.base is not None for x in lists_of(column))
