@@ -29,7 +29,7 @@ def edit_outcomes(d):
 @query
 def edited_versions(d):
     """The version table after the edits, judged again only where an edit touched."""
-    current = cut_lineage(versions.recompute(d.versions))  # the table as it stands, with flags that hold
+    current = versions.recompute(d.versions)  # the table as it stands, with flags that hold; read in pruned columns, not copied
     outcomes = cut_lineage(edits.edit_outcomes(current, d.master, _moves(d)))
     out = edits.edit_versions(current, d.master, _moves(d), outcomes)
     return out.select("version_id", "record_id", "excluded", "id_verified", "active", "replaced")
