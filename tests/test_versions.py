@@ -100,3 +100,23 @@ def test_stored_versions_are_narrow_and_dealt_out_by_record(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert plan.count("Exchange hashpartitioning") == 1  # the master's
+
+
+def test_versions_written_in_shares_are_the_same_and_leave_no_second_table(spark, tmp_path):
+    """A table over the size of one share is made share by share: the same rows, each bucket whole, no table of facts beside it."""
+    from greenlight import domain
+    from greenlight.settings import Settings
+
+    folder = "/root/testdata/sf0.001"
+    before = {t.name for t in spark.catalog.listTables()}
+    name = domain.write_versions(spark, folder, Settings(), str(tmp_path / "v"), small_rows=1000)
+    stored = spark.table(name)
+    whole = versions.recompute(domain.version_claims(spark, folder))
+    whole = whole.withColumn("active", F.col("active") | F.col("stale_active"))
+    columns = ["version_id", "record_id", "active", "replaced"]
+    kept = domain.version_rows(stored, "active", "replaced").select(columns)
+    assert sorted(kept.collect()) == sorted(whole.select(columns).collect())
+    assert {t.name for t in spark.catalog.listTables()} - before == {name}
+    files = [f.name for f in (tmp_path / "v").iterdir() if f.suffix == ".parquet"]
+    bucket = [f.split("_")[-1].split(".")[0] for f in files]
+    assert max(bucket.count(b) for b in bucket) <= 2  # one of the own records and one of the others
