@@ -147,17 +147,17 @@ def candidates(distinct: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
     by_key = Window.partitionBy("key").orderBy("h")
     seen = keyed.select(
         "key", "h", "sim", F.row_number().over(by_key).alias("k"), F.first(F.struct("h", "sim")).over(by_key).alias("first"),
+        F.count(F.lit(1)).over(by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("many"),
         F.collect_list(F.struct("h", "sim")).over(by_key.rowsBetween(-NEIGHBOURS, -1)).alias("before"),
-    ).where("k > 1")
+    ).where("many > 1")
     far = F.when(F.col("k") > NEIGHBOURS + 1, F.array("first")).otherwise(F.array().cast("array<struct<h:bigint,sim:bigint>>"))
-    met = F.filter(F.concat("before", far), lambda x: near(x["sim"], F.col("sim")))
-    found = seen.select("key", "k", "h", "sim", "first", met.alias("met")).where((F.size("met") > 0) | (F.col("k") > NEIGHBOURS + 1))
-    found = cut_lineage(found)
-    pairs = found.select(F.explode("met").alias("x"), "h").select(F.col("x.h").alias("a"), F.col("h").alias("b")).distinct()
-    pairs = cut_lineage(pairs)
-    crowded = found.where(F.col("k") > NEIGHBOURS + 1).select("key").distinct()
+    met = F.transform(F.filter(F.concat("before", far), lambda x: near(x["sim"], F.col("sim"))), lambda x: x["h"])
+    # a key with more lines than that keeps them all, so that they are not dealt out by key again
+    found = seen.select((F.col("many") > NEIGHBOURS + 1).alias("crowded"), "key", "h", "sim", met.alias("met"))
+    found = cut_lineage(found.where((F.size("met") > 0) | F.col("crowded")))
+    pairs = cut_lineage(found.select(F.explode("met").alias("a"), F.col("h").alias("b")).distinct())
     release(distinct.sparkSession)
-    return pairs, keyed.join(crowded, "key", "left_semi")
+    return pairs, found.where("crowded").select("key", "h", "sim")
 
 
 def _member(key: Column, keys: DataFrame) -> Column:

@@ -95,3 +95,16 @@ def test_unspaced_lines_take_part(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_lines_of_crowded_keys_are_kept_and_not_dealt_out_again(spark):
+    """A key with more lines than are held against each other gives them all, out of the table that holds the pairs."""
+    rows = spark.createDataFrame([(h, (h % 40) << 1 if h < 40 else h << 40) for h in range(60)], "h long, sim long")
+    pairs, crowded = line_dedup.candidates(rows, 60)
+    by_key = {}
+    for r in crowded.collect():
+        by_key.setdefault(r["key"], set()).add(r["h"])
+    assert by_key and all(len(x) > line_dedup.NEIGHBOURS + 1 for x in by_key.values())
+    assert any(set(range(40)) <= x for x in by_key.values())
+    assert "Exchange" not in crowded._jdf.queryExecution().executedPlan().toString()
+    assert pairs.where("a = b").count() == 0
