@@ -150,9 +150,14 @@ def frequent_table(texts: DataFrame, words: int, power: int, least_frequent: int
             break
         least = k
     keys = found.where(F.col("count") >= F.lit(2.0**least)).select("key").toArrow()["key"].to_numpy()
-    table = np.zeros(1 << CLASS_BITS, bool)
-    table[keys >> (32 - CLASS_BITS)] = True
-    return np.packbits(table)
+    return _bits(keys >> (32 - CLASS_BITS))
+
+
+def _bits(places: np.ndarray) -> np.ndarray:
+    """The bit table with these bits set, first bit first, without a byte for each bit on the driver."""
+    table = np.zeros(1 << (CLASS_BITS - 3), np.uint8)
+    np.bitwise_or.at(table, places >> 3, (128 >> (places & 7)).astype(np.uint8))
+    return table
 
 
 def is_frequent(packed: np.ndarray, tokens: np.ndarray) -> np.ndarray:

@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from greenlight.llm import jaccard_join
@@ -99,3 +100,16 @@ def test_links_between_two_classes_under_one_key(spark):
 
 def test_empty(spark):
     assert jaccard_join.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_the_class_table_is_made_without_a_byte_for_each_bit():
+    import tracemalloc
+
+    places = np.array([0, 1, 9, 9, (1 << jaccard_join.CLASS_BITS) - 1])
+    tracemalloc.start()
+    table = jaccard_join._bits(places)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < (1 << jaccard_join.CLASS_BITS - 3) * 1.1
+    found = np.flatnonzero(jaccard_join.is_frequent(table, np.arange(16, dtype=np.uint64) << np.uint64(jaccard_join.TOKEN_BITS - jaccard_join.CLASS_BITS)))
+    assert found.tolist() == [0, 1, 9] and table[-1] == 1
