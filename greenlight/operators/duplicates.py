@@ -39,7 +39,8 @@ def persisted_hash(kind: str, chosen: Column | None = None) -> Column:
 
 
 def member_keys(scoped: DataFrame, s: Settings, strict: bool = False) -> DataFrame:
-    """(kind, key, version_id, record_id, base_name): every duplicate key of every row, one pass.
+    """(kind, key, version_id, record_id, base_name): every duplicate key of every row, one pass. The base name goes
+    with the file name's key only.
 
     ``strict`` uses the hashes of the present files instead of the stored ones.
     """
@@ -49,20 +50,20 @@ def member_keys(scoped: DataFrame, s: Settings, strict: bool = False) -> DataFra
         source = F.coalesce("source_current_hash", F.lit(""))
     else:
         pdf, source = persisted_hash("pdf"), persisted_hash("source")
+    none = F.lit(None).cast("string")
     keyed = scoped.select(
         "version_id",
         "record_id",
-        base.alias("base_name"),
         F.explode(
             F.array(
-                F.struct(F.lit("title").alias("kind"), normalize_title_unicode("extracted_title").alias("key")),
-                F.struct(F.lit("pdf").alias("kind"), pdf.alias("key")),
-                F.struct(F.lit("source").alias("kind"), source.alias("key")),
-                F.struct(F.lit("filename").alias("kind"), F.lower(base).alias("key")),
+                F.struct(F.lit("title").alias("kind"), normalize_title_unicode("extracted_title").alias("key"), none.alias("base_name")),
+                F.struct(F.lit("pdf").alias("kind"), pdf.alias("key"), none.alias("base_name")),
+                F.struct(F.lit("source").alias("kind"), source.alias("key"), none.alias("base_name")),
+                F.struct(F.lit("filename").alias("kind"), F.lower(base).alias("key"), base.alias("base_name")),
             )
         ).alias("k"),
     )
-    return keyed.select("k.kind", "k.key", "version_id", "record_id", "base_name").filter("key != ''")
+    return keyed.select("k.kind", "k.key", "version_id", "record_id", "k.base_name").filter("key != ''")
 
 
 def duplicate_groups(members: DataFrame) -> DataFrame:
@@ -81,7 +82,10 @@ def duplicate_groups(members: DataFrame) -> DataFrame:
 
 def duplicate_members(members: DataFrame) -> DataFrame:
     """Every member of a duplicate group with the number of the others."""
-    groups = duplicate_groups(members).drop("first_version_id").withColumnRenamed("base_name", "group_name")
+    # the first version is looked for only where its name is told, so that counts of the other kinds shuffle alone
+    named = F.when(F.col("kind") == "filename", F.struct("version_id", "base_name"))
+    groups = members.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n_members"), F.min(named)["base_name"].alias("group_name"))
+    groups = groups.filter("n_members > 1")
     return members.drop("base_name").join(groups, ["kind", "key"]).withColumn(
         "n_others", F.col("n_members") - 1
     )
