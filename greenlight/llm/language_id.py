@@ -133,14 +133,13 @@ def fit_svm(x: np.ndarray, positive: np.ndarray, cost: float = 10.0, rounds: int
     """A linear SVM (squared hinge, L2) by accelerated gradient steps; classes weigh the same."""
     y = np.where(positive, 1.0, -1.0)
     weight = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum())) * cost
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     y, weight = y.astype(x.dtype), weight.astype(x.dtype)
-    step = 1.0 / (1.0 + 2.0 * cost * float((x * x).sum(axis=1).max()))
-    w = ahead = np.zeros(x.shape[1], x.dtype)
+    step = 1.0 / (1.0 + 2.0 * cost * (1.0 + float(np.einsum("ij,ij->i", x, x).max())))
+    w = ahead = np.zeros(x.shape[1] + 1, x.dtype)  # the last one is the bias
     t = 1.0
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        new = ahead - x.dtype.type(step) * (ahead - 2 * (x.T @ (weight * y * slack)))
+        pull = weight * y * np.maximum(0, 1 - y * (x @ ahead[:-1] + ahead[-1]))
+        new = ahead - x.dtype.type(step) * (ahead - 2 * np.append(x.T @ pull, pull.sum()))
         t, before = (1.0 + np.sqrt(1.0 + 4.0 * t * t)) / 2.0, t
         ahead = new + x.dtype.type((before - 1.0) / t) * (new - w)
         w = new
@@ -217,8 +216,13 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], family_of: dict[str,
     for row, (_, at, value) in enumerate(samples):
         inside = place[at] >= 0
         x[row, place[at][inside]] = value[inside]
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-4
-    x = (x - mean) / spread / np.float32(np.sqrt(len(used)))
+    mean, spread = np.zeros(len(used), np.float32), np.zeros(len(used), np.float32)
+    for k in range(0, len(used), 64):  # in place: the features are the largest table on the driver
+        part, here = x[:, k : k + 64], slice(k, k + 64)
+        mean[here], spread[here] = part.mean(axis=0), part.std(axis=0) + 1e-4
+        part -= mean[here]
+        part /= spread[here]
+    x /= np.float32(np.sqrt(len(used)))
     family = np.array([family_of.get(c, c) for c in labels], object)
 
     def put(k, rows, positive):

@@ -121,3 +121,20 @@ def test_lists_of_an_arrow_column_are_slices_of_its_memory():
     column = pa.chunked_array([whole.slice(1), pa.array([[4, 5]], pa.list_(pa.int32()))])
     assert [x.tolist() for x in lists_of(column)] == [[1, 2], [], [3], [4, 5]]
     assert all(x.base is not None for x in lists_of(column))
+
+
+def test_features_of_the_language_model_are_scaled_without_copies():
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    samples = []
+    for k in range(1200):
+        at = np.unique(r.integers(0, 3000, 400)).astype(np.int32)
+        value = r.random(len(at)) * (1 + (at % 4 == k % 4))
+        samples.append((("en", "de", "fr", "ru")[k % 4], at, value / value.sum()))
+    tracemalloc.start()
+    model = language_id.fit(samples, language_id.FAMILY_OF)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * 1200 * 3000 * 4
+    assert model.families == ["germanic", "romance", "slavic"] and np.isfinite(model.weights).all()
