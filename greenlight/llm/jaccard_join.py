@@ -27,6 +27,8 @@ Defined results
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,6 +48,8 @@ SHARE_BYTES = 16 << 20
 HOLD = 3_000_000
 APART = 3
 STAR_ROUNDS = 6
+BLOCK_PAIRS = 500
+BLOCK_SETS = 10_000
 
 
 def token_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -338,6 +342,44 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return compared
 
 
+def _overlaps(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+    """How many tokens each asked pair shares, out of the sets of two blocks."""
+    handles = held.column("handle").to_numpy()
+    column = held.column("tokens").combine_chunks()
+    ends = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+    tokens = np.unique(column.flatten().to_numpy(), return_inverse=True)[1]
+    order = np.argsort(handles)
+    a, b = (order[np.searchsorted(handles[order], asked.column(c).to_numpy())] for c in ("a", "b"))
+    by_a = np.argsort(a, kind="stable")
+    a, b = a[by_a], b[by_a]
+    shared, marked = np.zeros(len(a), np.int64), np.zeros(len(tokens), bool)
+    edges = np.append(np.flatnonzero(np.diff(a, prepend=-1)), len(a))
+    for i, j in zip(edges[:-1], edges[1:]):
+        mine = tokens[ends[a[i]] : ends[a[i] + 1]]
+        marked[mine] = True
+        for k in range(i, j):
+            shared[k] = np.count_nonzero(marked[tokens[ends[b[k]] : ends[b[k] + 1]]])
+        marked[mine] = False
+    return pa.table({"a": pa.array(handles[a]), "b": pa.array(handles[b]), "i": pa.array(shared), "s": pa.array(np.diff(ends)[a] + np.diff(ends)[b])})
+
+
+def _compare_blocks(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b, a_sid, b_sid) among pairs of which a set may have very many: handles are dealt to blocks, and a set
+    goes to each two blocks that have a pair of it once, not once a pair."""
+    pairs = cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    n = pairs.count()
+    blocks = max(1, isqrt(n // BLOCK_PAIRS), n // BLOCK_SETS)
+    block = lambda x: F.pmod(F.xxhash64(x), F.lit(blocks))
+    asked = pairs.select("a", "b", block("a").alias("p"), block("b").alias("q"))
+    needed = asked.select(F.inline(F.array(*(F.struct(F.col(x).alias("handle"), F.col("p").alias("held_p"), F.col("q").alias("held_q")) for x in "ab")))).distinct()
+    held = needed.join(sets.select("handle", "tokens"), "handle")
+    found = asked.groupBy("p", "q").cogroup(held.groupBy("held_p", "held_q")).applyInArrow(_overlaps, "a long, b long, i long, s long")
+    linked = cut_lineage(found.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"))
+    release(pairs.sparkSession)
+    one = lambda x: sets.select(F.col("handle").alias(x), F.col("sid").alias(f"{x}_sid"))
+    return linked.join(one("a"), "a").join(one("b"), "b").select("a", "b", "a_sid", "b_sid")
+
+
 def _labelled(members: DataFrame, linked: DataFrame) -> DataFrame:
     """Members of keys with their present class; only of keys whose members are of several."""
     found = members
@@ -357,7 +399,7 @@ def _possible(a: str, b: str, percent: int):
 
 
 def _crowded(members: DataFrame, linked: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Comparisons that decide all links among the members (key, single, handle, n, rare) of keys with many sets."""
+    """Links (a, b, a_sid, b_sid) that decide all links among the members (key, single, handle, n, rare) of keys with many sets."""
     members = _labelled(members, linked)
     done = None
     left = members
@@ -374,6 +416,8 @@ def _crowded(members: DataFrame, linked: DataFrame, sets: DataFrame, percent: in
         done = compared if done is None else done.unionByName(compared)
         if k == 0:
             first = pivot.select("key", F.col("p.handle").alias("pivot"))
+        if compared.where("linked").isEmpty():
+            break
         members = _labelled(members, linked)
         # those that aren't in the class of a pivot yet get one of their own
         pivot = pivot.select("key", F.col("p.handle").alias("handle"))
@@ -395,8 +439,8 @@ def _crowded(members: DataFrame, linked: DataFrame, sets: DataFrame, percent: in
         & (F.coalesce(F.abs(F.col("far") - F.col("a_far")), F.lit(0.0)) <= room)
         & (100 * F.least("n", "a_n") >= percent * F.greatest("n", "a_n")) & _possible("", "a_", percent)
     )
-    last = _compare(undecided.select("a", F.col("handle").alias("b")), sets, percent)
-    return done.unionByName(last)
+    last = _compare_blocks(undecided.select("a", F.col("handle").alias("b")), sets, percent)
+    return done.where("linked").select("a", "b", "a_sid", "b_sid").unionByName(last)
 
 
 def links(docs: DataFrame, words: int, percent: int, least_frequent: int = LEAST_FREQUENT, small_key: int = SMALL_KEY) -> tuple[DataFrame, DataFrame]:
@@ -431,7 +475,7 @@ def links(docs: DataFrame, words: int, percent: int, least_frequent: int = LEAST
     else:
         decided = _crowded(crowded, linked, cut_lineage(sets_of(crowded.select("handle"), only, words)), percent)
     if decided is not None:
-        linked = linked.unionByName(decided.where("linked").select("a", "b", "a_sid", "b_sid"))
+        linked = linked.unionByName(decided)
     return described.select("doc_id", "text_key", "n", "sid"), linked.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
 
 

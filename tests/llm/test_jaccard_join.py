@@ -113,3 +113,15 @@ def test_the_class_table_is_made_without_a_byte_for_each_bit():
     assert most < (1 << jaccard_join.CLASS_BITS - 3) * 1.1
     found = np.flatnonzero(jaccard_join.is_frequent(table, np.arange(16, dtype=np.uint64) << np.uint64(jaccard_join.TOKEN_BITS - jaccard_join.CLASS_BITS)))
     assert found.tolist() == [0, 1, 9] and table[-1] == 1
+
+
+@pytest.mark.parametrize("size", [1, 500])
+def test_pairs_by_blocks(spark, monkeypatch, size):
+    monkeypatch.setattr(jaccard_join, "BLOCK_PAIRS", size)
+    r = random.Random(4)
+    sets = {h: sorted(r.sample(range(14), r.randint(9, 14))) for h in range(-20, 20)}
+    frame = spark.createDataFrame([(h, bytes([h + 20]), t) for h, t in sets.items()], "handle long, sid binary, tokens array<long>")
+    pairs = [(a, b) for a in sets for b in sets if a < b and r.random() < 0.5]
+    got = jaccard_join._compare_blocks(spark.createDataFrame([*pairs, *((b, a) for a, b in pairs[:9])], "a long, b long"), frame, 70).collect()
+    same = lambda a, b: 100 * len({*sets[a]} & {*sets[b]}) >= 70 * len({*sets[a]} | {*sets[b]})
+    assert sorted((x.a, x.b, x.a_sid[0] - 20, x.b_sid[0] - 20) for x in got) == sorted((a, b, a, b) for a, b in pairs if same(a, b))
