@@ -94,8 +94,10 @@ def equal_decimal(left, right) -> Column:
 
 
 def size_label(value, places: int = 1) -> Column:
+    """Bytes, KB, MB or GB; a half rounds to even, as in Python and SQL (format_string alone rounds it up)."""
     size = _col(value).cast("double")
+    shown = lambda power, unit: F.format_string(f"%.{places}f {unit}", F.bround(size / 1024**power, places))
     out = F.when(size < 1024, F.format_string("%d B", _col(value).cast("long")))
     for power, unit in ((1, "KB"), (2, "MB")):
-        out = out.when(size < 1024 ** (power + 1), F.format_string(f"%.{places}f {unit}", size / 1024**power))
-    return out.otherwise(F.format_string(f"%.{places}f GB", size / 1024**3))
+        out = out.when(size < 1024 ** (power + 1), shown(power, unit))
+    return out.when(size.isNotNull(), shown(3, "GB"))

@@ -214,9 +214,11 @@ def text_functions(d):
 @query
 def file_names(d):
     pages = domain.table(d.spark, d.sf_dir, "pages")
+    path = F.regexp_replace("url", "^https?:/", "")
+    path = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("//"), path))  # no url is a path of the store
     return pages.select(
         "page_id", text.file_extension("url").alias("ext"), text.classify_file("url").alias("kind"),
-        text.portable_path(F.regexp_replace("url", "^https?:/", ""), {"media": "/m.thththth.example.net"}).alias("path"),
+        F.when(path.isNotNull(), text.portable_path(path, {"media": "/m.thththth.example.net"})).alias("path"),
         text.upload_version_id(F.concat(F.lit("v"), F.col("page_id").cast("string"), F.lit("_file_submit_pdf.ZIP"))).alias("upload_id"),
         text.upload_kind(F.concat(F.lit("v"), F.col("page_id").cast("string"), F.lit("_file_submit_pdf."), F.when(F.col("page_id") % 2 == 0, "zip").otherwise("bin"))).alias("upload_kind"),
         scores.size_label(F.length("html") * F.col("page_id") * 37, 2).alias("size"),

@@ -109,3 +109,20 @@ def test_portable_path(spark):
     assert one(spark, f, "/srv/media/a/b.pdf") == "media:a/b.pdf"
     assert one(spark, f, "/other/b.pdf") == "b.pdf"
     assert one(spark, f, "rel/b.pdf") == "rel/b.pdf"
+
+
+def test_size_label_rounds_a_half_to_even_and_keeps_null(spark):
+    sizes = spark.createDataFrame([(1152,), (1408,), (3 * 131072 + 2**20,), (5 * 2**30,), (None,)], "n long")
+    assert [r[0] for r in sizes.select(scores.size_label("n", 2)).collect()] == ["1.12 KB", "1.38 KB", "1.38 MB", "5.00 GB", None]
+    assert [r[0] for r in sizes.select(scores.size_label("n")).collect()] == ["1.1 KB", "1.4 KB", "1.4 MB", "5.0 GB", None]
+
+
+def test_file_names_of_a_page_without_html_or_url(spark, tmp_path):
+    from greenlight.plans import report_queries  # noqa: F401
+    from greenlight.plans.queries import REGISTRY
+
+    pages = [(1, "https://a.example/x/y.pdf", "h" * (128 * 9)), (2, None, "h"), (3, "https://a.example/z", None), (4, "ftp://a.example/q/r", "h")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in REGISTRY["file_names"](spark, str(tmp_path)).collect()}
+    assert [got[k]["path"] for k in (1, 2, 3, 4)] == ["y.pdf", None, "z", "r"]
+    assert [got[k]["size"] for k in (1, 2, 3, 4)] == ["41.62 KB", "74 B", None, "148 B"]
