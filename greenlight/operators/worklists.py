@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from greenlight.functions.text import filled, natural_key
+from greenlight.functions.text import filled, natural_key, natural_parts, natural_piece
 from greenlight.operators.status import format_rank
 from greenlight.session import cut_lineage, shared_dir
 
@@ -193,6 +193,40 @@ def page(df: DataFrame, order: list[Column], number: int, size: int = 25, key: s
     return df.join(F.broadcast(keys), key, "left_semi")  # at most ``size`` keys
 
 
+#: The natural keys in the orders of the version list that many rows come down to, and their places; else current first.
+NATURAL = {
+    "paper_id_asc": [("record_id", 1)], "paper_id_desc": [("record_id", 1)], "final_id_asc": [("version_id", 0)], "final_id_desc": [("version_id", 0)],
+    "upload_date_asc": [], "upload_date_desc": [], "title_asc": [("record_id", 1), ("title", 0)],
+}
+
+
+def first_versions(v: DataFrame, sort: str, last: int) -> DataFrame:
+    """(version_id, position) of the first ``last`` versions in an order of the version list.
+
+    The first parts of a natural key are compared before the whole key, so that it is made for the rows that tie in
+    them only.
+    """
+    order = version_order(sort)
+    for name, place in NATURAL.get(sort, [("record_id", 2)]):  # the last place first
+        parts, start = f"_parts_{name}", f"_start_{name}"
+        v = v.withColumn(parts, natural_parts(name))
+        v = v.withColumn(start, F.struct(*[F.when(F.size(parts) > i, natural_piece(F.get(parts, F.lit(i)))) for i in range(4)])).drop(parts)
+        order.insert(place, F.col(start).desc() if sort.endswith("_desc") else F.col(start).asc())
+    return first_rows(v, order, "version_id", last)
+
+
+def first_rows(df: DataFrame, order: list[Column], key: str, last: int) -> DataFrame:
+    """(key, position) of the first ``last`` rows in the order, which ``key`` makes a total one; for pages near the front.
+
+    Each task keeps as many rows as are asked for and nothing else leaves it. An expression of the order is only
+    evaluated where those before it tie.
+    """
+    total = (*order, F.col(key).asc())
+    top = df.orderBy(*total).limit(last)
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*total))  # ``last`` rows at most
+    return top.select(key, place.cast("long").alias("position"))
+
+
 @dataclass(frozen=True)
 class Ranges:
     """The narrow rows of a list, stored in ranges of its order: one folder a range, so that a page reads one or two."""

@@ -3,6 +3,7 @@ import re
 from pyspark.sql import functions as F
 
 from greenlight.operators import aggregates, worklists
+from tests.conftest import versions
 
 
 def test_page_info_clamps():
@@ -70,3 +71,15 @@ def test_deep_pages_of_few_rows(spark):
     none = worklists.in_ranges(df.limit(0), [F.col("g").asc()], "k", ["g"])
     info, rows = worklists.page_of(spark, none, 2)
     assert (info.total, info.start, rows.count()) == (0, 0, 0)
+
+
+def test_first_versions_agree_with_the_whole_order_and_write_nothing(spark):
+    ids = [f"{a}{n}-{k}{'0' * (n % 3)}{n % 7}" for n in range(60) for a, k in (("F", 10), ("f", 9), ("", 1), ("X0", 8))]
+    rows = [{"version_id": f"{i}#{k}", "record_id": ["", "P1", "P01", "P10", "X"][k % 5] + "7" * (k % 3), "title": i, "active": k % 2 == 0, "upload_date": f"2024-01-0{k % 4 + 1}"} for k, i in enumerate(ids)]
+    v = versions(spark, *rows)
+    for sort in ("paper_id_asc", "paper_id_desc", "final_id_asc", "final_id_desc", "upload_date_asc", "upload_date_desc", "title_asc", "current_first"):
+        first = worklists.first_versions(v, sort, 100)
+        plan = first._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+        got = [r["version_id"] for r in first.orderBy("position").collect()]
+        assert got == [r["version_id"] for r in v.orderBy(*worklists.version_order(sort), "version_id").limit(100).collect()], sort
