@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from greenlight.functions import similarity
+from greenlight.functions.text import normalize_title
 from greenlight.operators import titles
 from greenlight.operators.resolve import best_title_match
 
@@ -136,3 +137,20 @@ def test_registered_functions(spark):
     similarity.register_functions(spark)
     assert spark.sql("SELECT fold_unicode('ＡＢ') AS f").first()["f"] == "ab"
     assert spark.range(1).select(F.expr("title_ratio('tide', 'diet')")).first()[0] == 25.0
+
+
+def test_titles_with_words_added_are_searched_once_above_their_beginning(spark, monkeypatch):
+    made = [(f"P{k}", f"Shipment {k} for customer {k * 7 % 100} dated 1995-01-{k % 28 + 1:02d}") for k in range(100, 160)]
+    official = spark.createDataFrame([*made, ("P900", "Shipment 101 for customer 7 dated 1995-01-18 revise")], "record_id string, title string")
+    asked = spark.createDataFrame([(f"F{i}", f"{t} revised") for i, t in made] + [("F0", "Shipment")], "version_id string, title string")
+    passes, real = [], titles.like_pairs
+    monkeypatch.setattr(titles, "like_pairs", lambda *args: passes.append(1) or real(*args))
+    for scorer, score in (("sequence", titles._score("sequence")), ("levenshtein", titles._score("levenshtein"))):
+        passes.clear()
+        got = {r["version_id"]: (r["suggested_id"], r["score"]) for r in titles.search(asked.where("version_id <> 'F0'"), official, 0.8, scorer).collect()}
+        assert len(passes) == 1  # no title is left for the search in steps
+        pairs = asked.select("version_id", normalize_title("title").alias("a")).crossJoin(official.select("record_id", normalize_title("title").alias("b")))
+        scored = pairs.withColumns({"la": F.length("a"), "lb": F.length("b")}).withColumn("score", score).where("score >= 80")
+        best = scored.groupBy("version_id").agg(F.max("score").alias("s"), F.min_by("record_id", F.struct(-F.col("score"), "record_id")).alias("r"))
+        assert got == {r["version_id"]: (r["r"], r["s"]) for r in best.collect()} and got["FP101"][0] == "P900"
+    assert titles.search(asked, official, 0.8).count() == 60
