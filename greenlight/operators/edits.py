@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from greenlight.functions.text import strip
 from greenlight.operators import scope, transitions, versions
-from greenlight.session import cut_lineage
+from greenlight.session import cut_lineage, release
 
 MISSING = "the version no longer exists"
 REPEATED = "the version is edited twice"
@@ -59,5 +59,8 @@ def edit_versions(v: DataFrame, m: DataFrame, edits: DataFrame, outcomes: DataFr
     of the records named by an old or a new id computed again. Rows of other records pass through as they are."""
     accepted = edits.join(outcomes.filter("accepted").select("version_id"), "version_id", "left_semi")
     before = v.join(accepted.select("version_id"), "version_id", "left_semi")
+    before = before.withColumn("_was", F.col("record_id"))
     changed = cut_lineage(transitions.mirror_decision(transitions.apply_edits(before, accepted), m))  # edited rows only, read three times
-    return versions.recompute_touched(v, changed, rule)
+    del accepted, before
+    release(v.sparkSession)  # the shuffles behind them, before those of the next step
+    return versions.recompute_touched(v, changed.drop("_was"), rule, changed.select(F.col("_was").alias("record_id")))

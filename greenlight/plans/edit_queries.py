@@ -10,7 +10,7 @@ from greenlight.operators import edits, files, versions
 from greenlight.plans.change_queries import even_pages
 from greenlight.plans.page_queries import _inventory
 from greenlight.plans.queries import query
-from greenlight.session import cut_lineage, shared_dir
+from greenlight.session import cut_lineage, release, shared_dir
 from greenlight.sources import store
 
 
@@ -26,11 +26,17 @@ def edit_outcomes(d):
     return edits.edit_outcomes(d.versions, d.master, _moves(d))
 
 
+#: What a move to another record reads or changes of a version, besides the flags; the rest of a row stays where it is.
+MOVED = ("version_id", "record_id", "origin", "discarded", "created_at", "id_verified", "report_path", "report_stale",
+         "excluded", "exclusion_reason", "exclusion_notes", "excluded_at")
+
+
 @query
 def edited_versions(d):
     """The version table after the edits, judged again only where an edit touched."""
-    current = versions.recompute(d.versions)  # the table as it stands, with flags that hold; read in pruned columns, not copied
+    current = versions.recompute(d.versions.select(*MOVED))  # the table as it stands, with flags that hold; read in pruned columns, not copied
     outcomes = cut_lineage(edits.edit_outcomes(current, d.master, _moves(d)))
+    release(d.spark)
     out = edits.edit_versions(current, d.master, _moves(d), outcomes)
     return out.select("version_id", "record_id", "excluded", "id_verified", "active", "replaced")
 
